@@ -52,24 +52,25 @@ def _fill_along(df: DataFrame, cols: list[str] | None, order_by: list[str], part
     by = [col(b) for b in partition_by or []]
     value = {c: F.when(present(df, c), col(c)) for c in cols}
     staged = order_buckets(df, order_by)
-    # The nearest value in order: the last one of a frame, or the first one when filling back.
-    pick = F.first if back else F.last
     order = F.struct(*[col(c) for c in order_by])
     nearest = F.min_by if back else F.max_by
     edges = staged.groupBy(*by, "_bucket").agg(
         *[nearest(value[c], F.when(value[c].isNotNull(), order)).alias(f"_edge{i}") for i, c in enumerate(cols)]
     )
-    outside = W.partitionBy(*by).orderBy(F.col("_bucket").desc() if back else F.col("_bucket").asc())
-    outside = outside.rowsBetween(W.unboundedPreceding, -1)
+
+    def direction(c: Column) -> Column:
+        return c.desc() if back else c.asc()
+
+    # Filling back reads the rows in reverse: a frame that only grows costs one step per row.
+    outside = W.partitionBy(*by).orderBy(direction(F.col("_bucket"))).rowsBetween(W.unboundedPreceding, -1)
     carried = edges.select(
         *[b.alias(f"_by{i}") for i, b in enumerate(by)],
         F.col("_bucket").alias("_b"),
         *[F.last(f"_edge{i}", True).over(outside).alias(f"_carry{i}") for i in range(len(cols))],
     )
-    frame = (0, W.unboundedFollowing) if back else (W.unboundedPreceding, 0)
-    inside = W.partitionBy(*by, "_bucket").orderBy(*[col(c) for c in order_by]).rowsBetween(*frame)
-    # A fill value is computed under its own name first, so that every column sees the unfilled table.
-    local = staged.select("*", *[pick(value[c], True).over(inside).alias(f"_near{i}") for i, c in enumerate(cols)])
+    inside = W.partitionBy(*by, "_bucket").orderBy(*[direction(col(c)) for c in order_by])
+    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = staged.select("*", *[F.last(value[c], True).over(inside).alias(f"_near{i}") for i, c in enumerate(cols)])
     condition = F.col("_b") == F.col("_bucket")
     for i, b in enumerate(by):
         condition = condition & F.col(f"_by{i}").eqNullSafe(b)

@@ -39,7 +39,7 @@ def bucket_edges(df: DataFrame, value: Column) -> tuple[list[float], list[float]
 
     One pass, a bounded sketch. Edges only balance the work; results do not depend on them.
     """
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    grid = F.expr("array(" + ",".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS)) + ")")
     n, sketch = df.agg(F.count(value), F.percentile_approx(value, grid, SKETCH_ACCURACY)).first()
     step = max(1, math.ceil(MAX_BUCKETS * ROWS_PER_BUCKET / max(n, 1)))
     picked = (sketch or [])[step - 1 :: step]

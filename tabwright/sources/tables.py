@@ -58,7 +58,7 @@ def _infer(df: DataFrame, rate: float) -> list[tuple[str, Column]]:
                 fits = fits & ~c.rlike("[dDfF]$")
             if pattern:
                 fits = fits & c.rlike(pattern)
-            checks.append((F.bool_and(fits) & (F.count(c) > 0)).alias(f"{kind}_{i}"))
+            checks.append((F.bool_and(F.when(c.isNotNull(), fits)) & (F.count(c) > 0)).alias(f"{kind}_{i}"))
     row = sample.agg(*checks).first()
     chosen = []
     for i, name in enumerate(df.columns):
@@ -68,8 +68,9 @@ def _infer(df: DataFrame, rate: float) -> list[tuple[str, Column]]:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Header CSV, one file per partition, quotes doubled."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Header CSV, one file per partition, quotes doubled, outer spaces kept."""
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
