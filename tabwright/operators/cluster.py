@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -49,13 +51,22 @@ def scaled_inputs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(scaled).drop(*inputs)
 
 
-def kmeans(df: DataFrame, cols: list[str] | None = None, k: int = 3, seed: int = 42, n_init: int = 10) -> Clustering:
+def kmeans(
+    df: DataFrame, cols: list[str] | None = None, k: int = 3, seed: int = 42, n_init: int = 10, parallelism: int = 4
+) -> Clustering:
     """Standardised k-means, the start with the lowest cost out of ``n_init``; adds ``cluster``."""
     if not MIN_CLUSTERS <= k <= MAX_CLUSTERS:
         raise ValueError(f"k must lie in {MIN_CLUSTERS}..{MAX_CLUSTERS}")
     inputs = scaled_inputs(df, cols).persist()
     try:
-        runs = [KMeans(k=k, seed=seed + i, predictionCol="cluster").fit(inputs) for i in range(n_init)]
+        inputs.count()
+
+        def run(i: int) -> KMeansModel:
+            return KMeans(k=k, seed=seed + i, predictionCol="cluster").fit(inputs)
+
+        # The starts share the cached rows; a few run at a time.
+        with ThreadPool(min(parallelism, n_init)) as pool:
+            runs = pool.map(inheritable_thread_target(df.sparkSession)(run), range(n_init))
         best = min(runs, key=lambda m: m.summary.trainingCost)
         cost = best.summary.trainingCost
     finally:

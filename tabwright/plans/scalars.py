@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+WIDE = 8  # more values than this are computed at once, since every use of a subquery is planned anew
+
+
 def scalar_row(df: DataFrame, **aggregates: Column) -> dict[str, Column]:
-    """Named aggregates of ``df`` as scalar-subquery columns.
+    """Named aggregates of ``df`` as columns to use in other expressions, without a join.
 
-    They are computed once, in the query that uses them, without a join.
+    A few become scalar subqueries of the query that uses them; many become literals from one job.
     """
+    if len(aggregates) > WIDE:
+        packed = df.agg(*[expr.alias(name) for name, expr in aggregates.items()])
+        values = packed.first()
+        return {f.name: F.lit(values[f.name]).cast(f.dataType) for f in packed.schema}
     row = df.agg(F.struct(*[expr.alias(name) for name, expr in aggregates.items()]).alias("row")).scalar()
     return {name: row[name] for name in aggregates}
 
