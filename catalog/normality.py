@@ -110,7 +110,7 @@ def _lambda_sql(source: str, x: str, power: str, jacobian: str) -> str:
             near{i} AS (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS c, lag(lam) OVER w AS low, lead(lam) OVER w AS high FROM score{i} WINDOW w AS (ORDER BY i)),
             best{i} AS (SELECT * FROM near{i} ORDER BY score DESC, i LIMIT 1)"""
         )
-    return "WITH " + ", ".join(passes) + ", found AS (SELECT lam + step * (a - c) / (2 * (a - 2 * score + c)) AS lam FROM best3)"
+    return "WITH " + ", ".join(passes) + ", found AS (SELECT round(lam + step * (a - c) / (2 * (a - 2 * score + c)), 6) AS lam FROM best3)"
 
 
 BOXCOX = "(pow({x}, lam) - 1) / lam"
@@ -128,5 +128,5 @@ def _fitted(name, method, source, key, x, power, jacobian, digits):
         return done.select(key, F.round("transformed", digits).alias("transformed"))
 
 
-_fitted("H7_transform_boxcox", "Box-Cox", "part", "p_partkey", "p_retailprice", BOXCOX, "ln(p_retailprice)", 2)
+_fitted("H7_transform_boxcox", "Box-Cox", "part", "p_partkey", "p_retailprice", BOXCOX, "ln(p_retailprice)", 4)
 _fitted("H8_transform_yeojohnson", "Yeo-Johnson", "events", "event_id", "value", YEO, "sign(value) * ln(abs(value) + 1)", 4)

@@ -48,11 +48,7 @@ def regression_line(df: DataFrame, x: str, y: str, n: int = 100) -> DataFrame:
 
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson over the complete pairs; null where one side is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    varies = (F.min(F.when(both, a)) < F.max(F.when(both, a))) & (F.min(F.when(both, b)) < F.max(F.when(both, b)))
-    covariance = F.covar_pop(a, b)
-    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-    return F.when(varies, F.try_divide(covariance, spread))
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b)))
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:

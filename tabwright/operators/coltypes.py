@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -96,13 +97,22 @@ def _all_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string")
 
 
+def _shape(date_format: str) -> str:
+    """A pattern for the texts that a date format can match at all."""
+    letters = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]+", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "d": "[0-9]{1,2}"}
+    letters |= {"HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "'T'": "T", ".": "[.]"}
+    parts = re.split("(" + "|".join(re.escape(k) for k in letters) + ")", date_format)
+    return "^" + "".join(letters.get(part, part) for part in parts) + "$"
+
+
+def _parses(value: Column, date_format: str) -> Column:
+    """True where the text parses; the pattern spares the parser texts that must fail."""
+    return F.when(value.rlike(_shape(date_format)), F.try_to_timestamp(value, F.lit(date_format)).isNotNull()).otherwise(False)
+
+
 def _date_rate(value: Column) -> list[Column]:
     """Number of values that parse, for each format."""
-    plausible = (F.length(value) <= 40) & value.rlike("[0-9]") & ~value.startswith("\u0000")
-    return [
-        F.sum(F.when(plausible & F.try_to_timestamp(value, F.lit(f)).isNotNull(), F.col("cnt")).otherwise(0))
-        for f in DATE_FORMATS
-    ]
+    return [F.sum(F.when(_parses(value, f), F.col("cnt")).otherwise(0)) for f in DATE_FORMATS]
 
 
 def to_timestamp_rate(df: DataFrame, name: str) -> DataFrame:
@@ -111,7 +121,7 @@ def to_timestamp_rate(df: DataFrame, name: str) -> DataFrame:
     n = F.count(value)
     shares = [
         F.struct(
-            (F.count(F.when(F.length(value) <= 40, F.try_to_timestamp(value, F.lit(f)))) / n).alias("rate"),
+            (F.count_if(_parses(value, f)) / n).alias("rate"),
             F.lit(-i).alias("order"),
             F.lit(f).alias("format"),
         )
@@ -196,8 +206,7 @@ def _approximate_facts(df: DataFrame) -> DataFrame:
         number = c.cast("double") if isinstance(dtype, T.BooleanType) else as_double(c, dtype)
         dated = F.lit(0).cast("bigint")
         if is_string(dtype):
-            plausible = F.when((F.length(c) <= 40) & c.rlike("[0-9]"), c)
-            dated = F.greatest(*[F.count(F.try_to_timestamp(plausible, F.lit(f))) for f in DATE_FORMATS])
+            dated = F.greatest(*[F.count_if(_parses(c, f)) for f in DATE_FORMATS])
         rows.append(
             F.struct(
                 F.lit(field.name).alias("column"),

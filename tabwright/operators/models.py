@@ -135,9 +135,11 @@ def train_random_forest_classifier(
 def train_gbt_classifier(
     df, features_col="features", label_col="label", prediction_col="prediction", rounds: int = 100, depth: int = 3, rate: float = 0.1
 ):
-    return GBTClassifier(
-        **_columns(features_col, label_col, prediction_col), **_scores(prediction_col), maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED,
-    ).fit(df)
+    trees = GBTClassifier(
+        **_columns(features_col, label_col, prediction_col), maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED,
+    )
+    names = _scores(prediction_col)
+    return trees.setProbabilityCol(names["probabilityCol"]).setRawPredictionCol(names["rawPredictionCol"]).fit(df)
 
 
 def train_naive_bayes(df, features_col="features", label_col="label", prediction_col="prediction"):

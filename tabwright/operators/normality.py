@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.normal import log_upper_tail, quantile_sql, upper_tail
 from ..functions.numbers import as_double
 from ..plans.ranks import value_ranks
-from ..plans.scalars import col, scalar_row
+from ..plans.scalars import col, scalar_row, spread
 from .describe import numbers_of
 
 ALPHA = 0.05
@@ -166,18 +166,24 @@ def yeojohnson(x: Column, lam: Column | float) -> Column:
 
 
 def search_lambda(numbers: DataFrame, name: str, family: str, low: float = -2.0, high: float = 2.0, points: int = 41, passes: int = 3) -> float:
-    """The power with the largest likelihood: a grid per pass, one aggregate each, then a parabola."""
+    """The power with the largest likelihood, to six decimals.
+
+    One aggregate per grid, each grid within the best cell of the last, then a parabola.
+    """
     x = col(name)
+    numbers = spread(numbers)
     power, jacobian = (
-        (boxcox, F.sum(F.ln(x))) if family == "Box-Cox" else (yeojohnson, F.sum(F.signum(x) * F.log1p(F.abs(x))))
+        (boxcox, F.ln(x)) if family == "Box-Cox" else (yeojohnson, F.signum(x) * F.log1p(F.abs(x)))
     )
+    n, logs = numbers.agg(F.count(x), F.sum(jacobian)).first()
     done = 0
     while True:
         step = (high - low) / (points - 1)
         grid = [low + i * step for i in range(points)]
-        # The variance stays stable where plain sums of powers would not.
-        row = numbers.agg(F.count(x), jacobian, *[F.var_pop(power(x, lam)) for lam in grid]).first()
-        n, logs, variances = row[0], row[1], row[2:]
+        # Every task reduces its rows to one variance per grid point before the shuffle.
+        tried = numbers.where(x.isNotNull()).select(x, F.posexplode(F.lit(grid)).alias("i", "lam"))
+        rows = tried.groupBy("i").agg(F.var_pop(power(x, F.col("lam")))).orderBy("i").collect()
+        variances = [r[1] for r in rows]
         if not n or not all(variances):
             raise TransformError("needs at least two different values")
         score = [-n / 2 * math.log(v) + (lam - 1) * logs for lam, v in zip(grid, variances)]
@@ -190,8 +196,8 @@ def search_lambda(numbers: DataFrame, name: str, family: str, low: float = -2.0,
         if done == passes:
             if 0 < best < points - 1:
                 a, b, c = score[best - 1 : best + 2]
-                return grid[best] + step * (a - c) / (2 * (a - 2 * b + c))
-            return grid[best]
+                return round(grid[best] + step * (a - c) / (2 * (a - 2 * b + c)), 6)
+            return round(grid[best], 6)
         low, high = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
 
 

@@ -32,3 +32,12 @@ def quoted(name: str) -> str:
 
 def col(name: str) -> Column:
     return F.col(quoted(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that one small file would leave to a single task.
+
+    Large tables already have more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

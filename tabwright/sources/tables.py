@@ -48,17 +48,18 @@ def read_table_csv(
 def _infer(df: DataFrame, rate: float) -> list[tuple[str, Column]]:
     """Per column the narrowest of bigint, double, boolean, timestamp that fits every value."""
     sample = df if rate >= 1 else df.sample(rate, seed=42)
-    tests = {"bigint": "^[+-]?[0-9]{1,18}$", "double": None, "boolean": "^(?i)(true|false)$", "timestamp_ntz": "^[0-9]{4}-[0-9]{2}-[0-9]{2}"}
+    # What the text of each type looks like.
+    tests = {
+        "bigint": r"^[+-]?\d{1,18}$",
+        "double": r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$",
+        "boolean": "^(?i)(true|false)$",
+        "timestamp_ntz": r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$",
+    }
     checks = []
     for i, name in enumerate(df.columns):
         c = F.trim(col(name))
         for kind, pattern in tests.items():
-            fits = c.try_cast(kind).isNotNull()
-            if kind == "double":
-                fits = fits & ~c.rlike("[dDfF]$")
-            if pattern:
-                fits = fits & c.rlike(pattern)
-            checks.append((F.bool_and(F.when(c.isNotNull(), fits)) & (F.count(c) > 0)).alias(f"{kind}_{i}"))
+            checks.append((F.bool_and(c.rlike(pattern)) & (F.count(c) > 0)).alias(f"{kind}_{i}"))
     row = sample.agg(*checks).first()
     chosen = []
     for i, name in enumerate(df.columns):
