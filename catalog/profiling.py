@@ -93,6 +93,12 @@ def _e6(spark, sf):
     return _joined(special_char_report(view(spark, sf, "mixed_orders")))
 
 
+@query("E6_special_char_report_long_text", _special_sql("documents", "text"))
+def _e6_long(spark, sf):
+    texts = table(spark, sf, "documents").select("text")
+    return _joined(special_char_report(texts, {"text": "text"}))
+
+
 @query(
     "E7_conversion_loss",
     cte("mixed_orders")

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import as_double
-from ..plans.scalars import col, scalar_row
+from ..plans.scalars import col, scalar_row, shared
 from .coltypes import is_numeric, is_string
 
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 10
@@ -57,20 +57,16 @@ def kmeans(
     """Standardised k-means, the start with the lowest cost out of ``n_init``; adds ``cluster``."""
     if not MIN_CLUSTERS <= k <= MAX_CLUSTERS:
         raise ValueError(f"k must lie in {MIN_CLUSTERS}..{MAX_CLUSTERS}")
-    inputs = scaled_inputs(df, cols).persist()
-    try:
-        inputs.count()
+    with shared(scaled_inputs(df, cols).select("features")) as inputs:
 
         def run(i: int) -> KMeansModel:
-            return KMeans(k=k, seed=seed + i, predictionCol="cluster").fit(inputs)
+            return KMeans(k=k, seed=seed + i, maxIter=300, solver="block", predictionCol="cluster").fit(inputs)
 
         # The starts share the cached rows; a few run at a time.
         with ThreadPool(min(parallelism, n_init)) as pool:
             runs = pool.map(inheritable_thread_target(df.sparkSession)(run), range(n_init))
         best = min(runs, key=lambda m: m.summary.trainingCost)
         cost = best.summary.trainingCost
-    finally:
-        inputs.unpersist()
     return Clustering(best, best.transform(scaled_inputs(df, cols)).drop("features"), k, cost)
 
 

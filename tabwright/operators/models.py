@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hash_uniform
 from ..plans.ranks import number_rows
-from ..plans.scalars import col
+from ..plans.scalars import col, shared
 from .networks import fit_network, fourier_map, fourier_weights
 from .prep import (
     bootstrap_augment, drop_duplicate_rows, interaction_features, polynomial_features, remove_outliers, train_test_split,
@@ -293,11 +293,8 @@ def train_models(train: DataFrame, names: list[str], problem: str, params: dict[
 
 def compare_models(train: DataFrame, test: DataFrame, names: list[str], problem: str = "Regression", params: dict[str, dict] | None = None) -> DataFrame:
     """One row per model with its test metrics."""
-    train = train.persist()
-    try:
-        fitted = train_models(train, names, problem, params)
-    finally:
-        train.unpersist()
+    with shared(train) as rows:
+        fitted = train_models(rows, names, problem, params)
     return score_models(test, fitted, problem)
 
 
@@ -320,11 +317,8 @@ def check_params(name: str, params: dict[str, Any]) -> None:
 def tune(train: DataFrame, test: DataFrame, name: str, params: dict[str, Any], problem: str = "Regression") -> DataFrame:
     """(position, model, metrics…, delta): the model refitted with ``params`` and its gain over the default."""
     check_params(name, params)
-    train = train.persist()
-    try:
-        default, tuned = train_models(train, [name], problem), train_models(train, [name], problem, {name: params})
-    finally:
-        train.unpersist()
+    with shared(train) as rows:
+        default, tuned = train_models(rows, [name], problem), train_models(rows, [name], problem, {name: params})
     metric = "r2" if problem == "Regression" else "accuracy"
     before = score_models(test, default, problem).select(metric).scalar()
     scored = score_models(test, tuned, problem)
@@ -351,17 +345,15 @@ def with_fold(df: DataFrame, key: str, folds: int = 5, label_col: str | None = N
 
 def cross_validate(df: DataFrame, key: str, name: str, problem: str = "Regression", folds: int = 5, params: dict | None = None, label_col: str = "label") -> DataFrame:
     """(fold, score): R² or accuracy on each held-out fold; classes keep their shares."""
-    folded = with_fold(df, key, folds, label_col if problem == "Classification" else None).persist()
     metric = "r2" if problem == "Regression" else "accuracy"
-    parts = []
-    try:
+    with shared(with_fold(df, key, folds, label_col if problem == "Classification" else None)) as folded:
+        parts = []
         for i in range(folds):
             fitted = train_models(folded.where(F.col("fold") != i), [name], problem, {name: params or {}}, label_col)
             scored = score_models(folded.where(F.col("fold") == i), fitted, problem, label_col)
             parts.append(scored.select(F.lit(i).alias("fold"), F.col(metric).alias("score")))
+        # One number per fold.
         scores = [tuple(r) for r in reduce(DataFrame.unionByName, parts).collect()]
-    finally:
-        folded.unpersist()
     return df.sparkSession.createDataFrame(scores, "fold int, score double")
 
 
@@ -371,11 +363,8 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 
 def _ensemble(train: DataFrame, names: list[str], problem: str, params: dict | None) -> dict[str, Any]:
-    train = train.persist()
-    try:
-        return train_models(train, names, problem, params)
-    finally:
-        train.unpersist()
+    with shared(train) as rows:
+        return train_models(rows, names, problem, params)
 
 
 def voting_regressor(
@@ -412,24 +401,22 @@ def stacking_regressor(
     """
     params = params or STACK_MEMBERS
     names = list(params)
-    train = train.persist()
-    members = train_models(train, names, "Regression", params)
 
     def meta_inputs(d: DataFrame, fitted: dict[str, Any]) -> DataFrame:
         applied = reduce(lambda x, m: m[0].transform(x), fitted.values(), d)
         return assemble(applied, [p for _, p in fitted.values()], "meta")
 
-    if out_of_fold:
-        folded = with_fold(train, key, folds)
-        parts = []
-        for i in range(folds):
-            fitted = train_models(folded.where(F.col("fold") != i), names, "Regression", params)
-            parts.append(meta_inputs(folded.where(F.col("fold") == i), fitted).select("meta", "label"))
-        inputs = reduce(DataFrame.unionByName, parts)
-    else:
-        inputs = meta_inputs(train, members).select("meta", "label")
-    model = train_linear_regression(inputs, "meta", "label", "prediction")
-    train.unpersist()
+    with shared(train) as rows:
+        members = train_models(rows, names, "Regression", params)
+        inputs = meta_inputs(rows, members).select("meta", "label")
+        if out_of_fold:
+            folded = with_fold(rows, key, folds)
+            parts = []
+            for i in range(folds):
+                fitted = train_models(folded.where(F.col("fold") != i), names, "Regression", params)
+                parts.append(meta_inputs(folded.where(F.col("fold") == i), fitted).select("meta", "label"))
+            inputs = reduce(DataFrame.unionByName, parts)
+        model = train_linear_regression(inputs, "meta", "label", "prediction")
     return model.transform(meta_inputs(test, members)).drop("meta", *[p for _, p in members.values()])
 
 

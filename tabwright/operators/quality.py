@@ -21,6 +21,7 @@ TEXT_FIXES = [
 ]
 MAX_EXAMPLES = 10
 MAX_CHECKED_VALUES = 50
+HEAD = 64  # characters of long text that are compared first
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -80,24 +81,34 @@ def missing_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def _issue_report(df: DataFrame, names: list[str], bad: Column) -> DataFrame:
-    """Count, share and up to ten examples of the string cells for which ``bad`` (over ``value``) holds."""
+def _smallest(values: DataFrame, value: str) -> DataFrame:
+    """(column, value, place): the ten smallest distinct values of each column.
+
+    The rank filter keeps ten rows per column and task before its shuffle.
+    """
+    place = F.row_number().over(W.partitionBy("column").orderBy(value))
+    return values.select("column", value).distinct().select("column", value, place.alias("_place")).where(F.col("_place") <= MAX_EXAMPLES)
+
+
+def _issue_report(df: DataFrame, names: list[str], bad: Column, long_text: bool = False) -> DataFrame:
+    """Count, share and up to ten examples of the string cells for which ``bad`` (over ``value``) holds.
+
+    Of ``long_text`` only the heads are shuffled; they tell which few texts can be among the ten
+    smallest, and those alone are compared in full.
+    """
     if not names:
         return df.sparkSession.createDataFrame([], "column string, issues bigint, pct double, examples array<string>")
-    values = unpivot(df, names).where(bad).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    n_rows = scalar_row(df, n=F.count(F.lit(1)))["n"]
-    totals = values.groupBy("column").agg(F.sum("cnt").alias("issues"))
-    # The rank filter keeps ten rows per column and task before the shuffle.
-    place = F.row_number().over(W.partitionBy("column").orderBy("value"))
-    examples = (
-        values.select("column", "value", place.alias("_place"))
-        .where(F.col("_place") <= MAX_EXAMPLES)
-        .groupBy("column")
-        .agg(F.array_sort(F.collect_list("value")).alias("examples"))
-    )
+    cells = unpivot(df, names)
+    totals = cells.groupBy("column").agg(F.count_if(bad).alias("issues"), F.count(F.lit(1)).alias("_n")).where("issues > 0")
+    found = cells.where(bad)
+    if long_text:
+        head = F.substring("value", 1, HEAD)
+        limits = _smallest(found.select("column", head.alias("_head")), "_head").groupBy("column").agg(F.max("_head").alias("_limit"))
+        found = found.join(limits, "column").where(head <= F.col("_limit"))
+    examples = _smallest(found, "value").groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("examples"))
     return totals.join(examples, "column").select(
-        "column", "issues", F.round(F.col("issues") / n_rows * 100, 2).alias("pct"), "examples"
-    ).orderBy("column")
+        "column", "issues", F.round(F.col("issues") / F.col("_n") * 100, 2).alias("pct"), "examples"
+    )
 
 
 def non_numeric_report(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
@@ -110,8 +121,9 @@ def non_numeric_report(df: DataFrame, types: dict[str, str] | None = None) -> Da
 def special_char_report(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Categorical and text columns: values with characters other than word characters and spaces."""
     kinds = types or feature_types(df.select(*[col(c) for c in string_columns(df)]))
-    names = [c for c in string_columns(df) if kinds.get(c) in ("categorical", "text")]
-    return _issue_report(df, names, F.col("value").rlike(NON_WORD))
+    bad = F.col("value").rlike(NON_WORD)
+    short, long_ = ([c for c in string_columns(df) if kinds.get(c) == k] for k in ("categorical", "text"))
+    return _issue_report(df, short, bad).unionByName(_issue_report(df, long_, bad, long_text=True))
 
 
 def suggest_cleaning(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:

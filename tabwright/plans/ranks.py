@@ -1,7 +1,7 @@
 """Global ranks, prefix sums and exact quantiles without a one-task window.
 
 Rows go to ordered buckets that any task can compute alone. Windows run inside a bucket; only the
-bucket totals, at most a few thousand per group, meet in one place.
+bucket totals, a bounded number per group, meet in one place.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..functions.hashing import digest, digest_prefix
 from .scalars import col, quoted
 
-MAX_BUCKETS = 2048
+MAX_BUCKETS = 16_384
 ROWS_PER_BUCKET = 50_000
 SKETCH_ACCURACY = 10_000
 
@@ -37,14 +37,20 @@ def as_order_number(df: DataFrame, name: str) -> Column:
 def bucket_edges(df: DataFrame, value: Column) -> tuple[list[float], list[float]]:
     """Approximate quantile edges of ``value`` and the values that fill whole buckets alone.
 
-    One pass, a bounded sketch. Edges only balance the work; results do not depend on them.
+    A count decides how many buckets there are; the edges come from one bounded sketch. They only
+    balance the work, results do not depend on them.
     """
-    grid = F.expr("array(" + ",".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS)) + ")")
-    n, sketch = df.agg(F.count(value), F.percentile_approx(value, grid, SKETCH_ACCURACY)).first()
-    step = max(1, math.ceil(MAX_BUCKETS * ROWS_PER_BUCKET / max(n, 1)))
-    picked = (sketch or [])[step - 1 :: step]
-    hot = sorted({a for a, b in zip(picked, picked[1:]) if a == b})
-    edges = set(picked)
+    n = df.agg(F.count(value)).first()[0]
+    buckets = min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET))
+    if buckets < 2:
+        return [], []
+    # A value that spans four grid steps fills the buckets between them alone.
+    steps = 4 * buckets
+    grid = F.expr("array(" + ",".join(f"{i / steps!r}D" for i in range(1, steps)) + ")")
+    sketch = df.agg(F.percentile_approx(value, grid, max(SKETCH_ACCURACY, 4 * steps))).first()[0]
+    hot = sorted({a for a, b in zip(sketch, sketch[4:]) if a == b})
+    edges = set(sketch[3::4])
+    edges.update(hot)
     edges.update(math.nextafter(v, math.inf) for v in hot)
     return sorted(edges), hot
 
@@ -118,17 +124,17 @@ def number_rows(df: DataFrame, key: str, by: list[str] | None = None, seed: int
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], small: int = 2_000_000, gather: int = 20_000
+    df: DataFrame, cols: list[str], probs: list[float], small: int = 3_000_000, gather: int = 20_000
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of double columns, as ``{column: [value per prob]}``.
 
-    Columns with at most ``small`` values take one aggregate. Beyond that a sketch brackets every
+    Up to ``small`` values in all columns together take one aggregate. Beyond that a sketch brackets every
     wanted rank, a counting pass narrows the bracket, and only the few values left inside are
     sorted. No pass shuffles rows; each shrinks the brackets by about the sketch accuracy.
     """
     row = df.agg(*[F.count(col(c)) for c in cols]).first()
     sizes = dict(zip(cols, row))
-    if max(sizes.values()) <= small:
+    if sum(sizes.values()) <= small:
         values = df.agg(*[F.percentile(col(c), F.array(*[F.lit(p) for p in probs])) for c in cols]).first()
         return {c: list(v) if v is not None else [None] * len(probs) for c, v in zip(cols, values)}
     wanted = {

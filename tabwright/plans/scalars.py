@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -41,3 +45,16 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+ROWS_PER_TASK = 25_000
+
+
+@contextmanager
+def shared(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table for several passes; a small one is read by few tasks, so that short jobs stay short."""
+    kept = df.persist()
+    try:
+        yield kept.coalesce(max(1, math.ceil(kept.count() / ROWS_PER_TASK)))
+    finally:
+        kept.unpersist()
