@@ -15,6 +15,7 @@ from ..plans.scalars import col, scalar_row, shared
 from .coltypes import is_numeric, is_string
 
 MIN_CLUSTERS, MAX_CLUSTERS = 2, 10
+ROWS_PER_TASK = 25_000
 
 
 @dataclass
@@ -57,7 +58,7 @@ def kmeans(
     """Standardised k-means, the start with the lowest cost out of ``n_init``; adds ``cluster``."""
     if not MIN_CLUSTERS <= k <= MAX_CLUSTERS:
         raise ValueError(f"k must lie in {MIN_CLUSTERS}..{MAX_CLUSTERS}")
-    with shared(scaled_inputs(df, cols).select("features")) as inputs:
+    with shared(scaled_inputs(df, cols).select("features"), ROWS_PER_TASK) as inputs:
 
         def run(i: int) -> KMeansModel:
             return KMeans(k=k, seed=seed + i, maxIter=300, solver="block", predictionCol="cluster").fit(inputs)

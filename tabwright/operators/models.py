@@ -160,7 +160,7 @@ class Chain:
 
 def train_svm_classifier(
     df, features_col="features", label_col="label", prediction_col="prediction", cost: float = 100.0, kernel: str = "rbf",
-    components: int = 256, degree: int = 3,
+    components: int = 256, degree: int = 3, max_iter: int = 50,
 ):
     """Support vector classification on scaled features.
 
@@ -187,7 +187,7 @@ def train_svm_classifier(
 
     model = LinearSVC(
         featuresCol=made, labelCol=label_col, predictionCol=prediction_col, rawPredictionCol=f"{prediction_col}_raw",
-        regParam=1.0 / (cost * max(df.count(), 1)), standardization=False, maxIter=100,
+        regParam=1.0 / (cost * max(df.count(), 1)), standardization=False, maxIter=max_iter,
     ).fit(step(df))
     return Chain(step, model, made)
 

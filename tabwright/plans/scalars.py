@@ -47,14 +47,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-ROWS_PER_TASK = 25_000
-
-
 @contextmanager
-def shared(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep a table for several passes; a small one is read by few tasks, so that short jobs stay short."""
+def shared(df: DataFrame, rows_per_task: int | None = None) -> Iterator[DataFrame]:
+    """Keep a table for several passes.
+
+    With ``rows_per_task`` a small table is read by few tasks, so that many short jobs stay short.
+    """
     kept = df.persist()
     try:
-        yield kept.coalesce(max(1, math.ceil(kept.count() / ROWS_PER_TASK)))
+        yield kept.coalesce(max(1, math.ceil(kept.count() / rows_per_task))) if rows_per_task else kept
     finally:
         kept.unpersist()
