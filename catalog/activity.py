@@ -10,7 +10,7 @@ from tabwright.streaming.activity import activity_stream, daily_counts
 
 from . import query
 from .describing import rounded
-from .views import cte, table, view
+from .views import table, view
 
 NOW = "2024-01-20 12:00:00"
 LATER = "2024-04-10 00:00:00"

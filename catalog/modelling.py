@@ -9,6 +9,7 @@ from tabwright.operators.models import (
 )
 from tabwright.operators.neighbors import knn_classifier
 from tabwright.operators.prep import binarize_by_median, standard_scale, train_test_split
+from tabwright.session import settle
 
 from . import query
 from .describing import rounded
@@ -20,7 +21,8 @@ SPLIT = LINES + ", " + split_sql("order_lines", "l_orderkey")
 
 
 def _rows(spark, sf, problem="Regression"):
-    rows = view(spark, sf, "order_lines").select("l_orderkey", *FEATURES, "label", "flag")
+    # The model table is an aggregate that split, fit and score all read: it is written once.
+    rows = settle(view(spark, sf, "order_lines").select("l_orderkey", *FEATURES, "label", "flag"))
     return binarize_by_median(rows.withColumnRenamed("label", "price"), "price") if problem == "Classification" else rows
 
 

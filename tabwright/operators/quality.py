@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions.numbers import to_numeric
 from ..functions.text import NON_WORD, strip
-from ..plans.scalars import col, scalar_row, unpivot
-from .coltypes import feature_types, is_string, numeric_columns, present, string_columns
+from ..plans.scalars import col, unpivot
+from .coltypes import feature_types, numeric_columns, present, string_columns
 
 # Bytes per cell of the fixed-width types, and the methods offered per issue.
 CELL_BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}

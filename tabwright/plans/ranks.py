@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.hashing import digest, digest_prefix
-from .scalars import col, quoted
+from .scalars import col
 
 MAX_BUCKETS = 16_384
 ROWS_PER_BUCKET = 50_000
