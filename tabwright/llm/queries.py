@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabwright.llm import quality_rules, sql
+from tabwright.llm import quality_rules, simhash, sql
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -12,3 +12,8 @@ __all__ = ["ORACLE", "QUERIES"]
 @query("op6_quality_rules", sql.OP6)
 def op6(spark, sf_dir):
     return quality_rules.assess(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash")
+def op4(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
