@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tabwright.llm import quality_rules, simhash, sql
+import public_tokenizers
+
+from tabwright.llm import byte_bpe, decontamination, quality_rules, simhash, sql
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 @query("op6_quality_rules", sql.OP6)
 def op6(spark, sf_dir):
@@ -17,3 +21,14 @@ def op6(spark, sf_dir):
 @query("op4_simhash")
 def op4(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_byte_bpe")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
+
+
+@query("op1_decontamination")
+def op1(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
