@@ -43,6 +43,12 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return os.path.join(shared_dir(spark), f"{stem}-{uuid.uuid4().hex}")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a query wrote and no longer needs, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so that a lost executor costs a re-read."""
     spark = df.sparkSession
