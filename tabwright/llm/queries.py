@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tabwright.llm import byte_bpe, decontamination, quality_rules, simhash, sql
+import corpus_pipeline
+
+from tabwright.llm import byte_bpe, decontamination, quality_rules, secret_scan, simhash, sql
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -32,3 +34,13 @@ def op3(spark, sf_dir):
 @query("op1_decontamination")
 def op1(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_secret_scan")
+def op10(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
