@@ -166,7 +166,11 @@ def keep_good(docs: DataFrame, policy: Policy = CURRENT, text: str = "text") ->
     prefix = fresh_name(docs, "quality")
     while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
         prefix += "_"
-    out = ledger(docs, text, prefix).filter(passes(policy, f"{prefix}fail_bits"))
+    # A filter on measures would have them computed anew inside it, once per array element. The optimizer leaves a filter above a
+    # projection that isn't deterministic, and the row number, which is never negative, makes it so.
+    row = f"{prefix}row"
+    out = ledger(docs, text, prefix).withColumn(row, F.monotonically_increasing_id())
+    out = out.filter(passes(policy, f"{prefix}fail_bits") & (F.col(row) >= 0))
     return out.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
