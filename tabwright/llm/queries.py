@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from tabwright.llm import byte_bpe, decontamination, quality_rules, secret_scan, simhash, sql
+from tabwright.llm import byte_bpe, decontamination, license_scan, quality_rules, secret_scan, simhash, sql
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -44,3 +44,8 @@ def op10(spark, sf_dir):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op2_license_scan", sql.OP2)
+def op2(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))

@@ -1,5 +1,42 @@
 """SQL that checks the queries of this package on the same tables."""
 
+from tabwright.llm.license_scan import GENERAL, RULES
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_RULES = ", ".join(f"({k}, {_text(r.label)}, {r.priority}, {_text(r.keyword)}, {_text(r.pattern)})" for k, r in enumerate(RULES))
+_GATE = " OR ".join(f"contains(s, {_text(w.replace(' ', '  '))})" for w in GENERAL)
+
+OP2 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g'), ' ') AS x FROM documents),
+d AS (SELECT r, doc_id, CASE WHEN x = '' THEN '' ELSE ' ' || x || ' ' END AS s FROM t),
+rules(rule, label, priority, keyword, pattern) AS (VALUES {_RULES}),
+phrases(label, pattern) AS (VALUES ('mit', ' mit  license '), ('apache', ' apache  license '), ('gpl', ' general  public  license ')),
+words AS (SELECT r, doc_id, s, length(regexp_replace(s, '[^ ]', '', 'g')) // 2 AS n FROM d),
+base AS (SELECT r, label, list_sum(list_transform(gaps[1:i], lambda g: length(regexp_replace(g, '[^ ]', '', 'g')) // 2))
+  + (i - 1) * length(regexp_replace(pattern, '[^ ]', '', 'g')) // 2 AS w
+  FROM (SELECT r, label, pattern, gaps, unnest(range(1, len(gaps))) AS i FROM (SELECT r, label, pattern, string_split(s, pattern) AS gaps FROM d, phrases WHERE contains(s, pattern)))),
+hit AS (SELECT r, rule, label, priority, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
+  SELECT r, rule, label, priority, string_split_regex(s, pattern) AS gaps, regexp_extract_all(s, pattern) AS hits
+  FROM (SELECT r, s FROM d WHERE {_GATE}), rules WHERE contains(s, keyword))),
+det AS (SELECT r, rule, label, priority, list_sum(list_transform(gaps[1:i], lambda g: length(regexp_replace(g, '[^ ]', '', 'g')) // 2))
+  + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(regexp_replace(g, '[^ ]', '', 'g')) // 2)), 0) AS a,
+  length(regexp_replace(hits[i], '[^ ]', '', 'g')) // 2 AS n FROM hit),
+kept AS (SELECT * FROM det x WHERE NOT EXISTS (SELECT 1 FROM det y WHERE y.r = x.r AND y.a <= x.a AND y.a + y.n >= x.a + x.n
+  AND (y.a, y.n, y.rule) <> (x.a, x.n, x.rule) AND (y.priority > x.priority OR y.priority = x.priority AND (y.n > x.n OR y.rule < x.rule)))),
+b AS (SELECT r, count(*) AS n, min(w) AS f, max(w) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(priority) AS p, sum(k) AS k FROM (
+  SELECT r, label, priority, 1 AS k FROM kept UNION ALL SELECT r, label, 1, 0 FROM base) GROUP BY r)
+SELECT doc_id, words.n::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+  (CASE coalesce(every.p, 0) WHEN 0 THEN 0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.75 WHEN 3 THEN 0.9 ELSE 1 END)::DOUBLE AS score,
+  coalesce(every.k, 0)::BIGINT AS n_found
+FROM words LEFT JOIN b USING (r) LEFT JOIN every USING (r)"""
+
 OP6 = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
 w AS (SELECT row_number() OVER () AS r, doc_id, s, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS ws,
