@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import fresh_name, quoted, whole
 
-#: Distinct pieces whose ids a Python worker remembers; the memo starts anew beyond. Longer pieces aren't kept.
+#: Distinct pieces in each of the two halves of a Python worker's memo; when the young half is full it becomes the old one. Longer
+#: pieces aren't kept.
 REMEMBERED = 200_000
 REMEMBERED_BYTES = 64
 #: Pairs whose compatibility a worker remembers.
@@ -49,7 +50,9 @@ class ByteBpe:
         self.shorter: dict[int, int] = {}  # the longest token that is a proper start of this one
         self.parts: dict[int, tuple[int, int]] = {}  # the last merge behind a token
         self.merges: dict[tuple[int, int], int] = {}
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.lengths = {i: len(t) for i, t in self.tokens.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         reachable = self._learn_merges()
         self.automaton = ahocorasick.Automaton()
@@ -119,38 +122,46 @@ class ByteBpe:
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         if (whole_piece := self.ids.get(piece)) is not None:
             return (whole_piece,)
-        tokens, n = self.tokens, len(piece)
+        lengths, shorter, pairs, n = self.lengths, self.shorter, self.pairs, len(piece)
         longest: list[int] = [-1] * n
         for end, i in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - len(tokens[i])] = i  # ends rise, so the last one kept is the longest
+            longest[end + 1 - lengths[i]] = i  # ends rise, so the last one kept is the longest
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
         while at < n:
-            end = at + len(tokens[token])
-            if alive[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-            elif token in self.shorter:
-                token = self.shorter[token]
+            end = at + lengths[token]
+            if alive[end]:
+                fits = not out or pairs.get((out[-1], token))
+                if fits is None:
+                    fits = self.compatible(out[-1], token)
+                if fits:
+                    out.append(token)
+                    at = end
+                    token = longest[at] if at < n else -1
+                    continue
+            if token in shorter:
+                token = shorter[token]
             else:
                 alive[at] = 0
                 token = out.pop()
-                at -= len(tokens[token])
+                at -= lengths[token]
         return tuple(out)
 
     def _ids_of(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        found = self.encode_piece(raw)
-        if len(raw) <= REMEMBERED_BYTES:
-            if len(self.memo) >= REMEMBERED:
-                self.memo.clear()
-            self.memo[piece] = found
+        found = self.older.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            found = self.encode_piece(raw)
+            if len(raw) > REMEMBERED_BYTES:
+                return found
+        if len(self.memo) >= REMEMBERED:
+            self.older, self.memo = self.memo, {}
+        self.memo[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
-        get, fresh = self.memo.get, self._ids_of
+        get, fresh = self.memo.get, self._ids_of  # a half that has become the old one meanwhile is still right
         return list(chain.from_iterable([get(p) or fresh(p) for p in self.pieces.findall(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
