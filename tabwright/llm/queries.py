@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from tabwright.llm import byte_bpe, decontamination, license_scan, quality_rules, secret_scan, simhash, sql
+from tabwright.llm import byte_bpe, decontamination, license_scan, quality_rules, secret_scan, simhash, sql, substring_dedup
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -49,3 +50,9 @@ def pipeline(spark, sf_dir):
 @query("op2_license_scan", sql.OP2)
 def op2(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_substring_dedup", sql.OP9)
+def op9(spark, sf_dir):
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

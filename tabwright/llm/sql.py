@@ -53,3 +53,14 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN word_chars > 12 * n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 32 ELSE 0 END
   + CASE WHEN 2 * n_upper > word_chars THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, 'web-2' AS policy FROM b"""
+
+
+OP9 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, doc_id, a, array_to_string(ws[a:a + 19], ' ') AS g FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 18)) AS a FROM t)),
+cov AS (SELECT r, a FROM (SELECT r, doc_id, a, min({'d': doc_id, 'a': a}) OVER (PARTITION BY g) AS f FROM win) WHERE f < {'d': doc_id, 'a': a}),
+gone AS (SELECT DISTINCT r, unnest(range(a, a + 20)) AS p FROM cov),
+words AS (SELECT r, p, ws[p] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM t)),
+kept AS (SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)"""
