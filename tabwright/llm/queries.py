@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from tabwright.llm import byte_bpe, decontamination, license_scan, quality_rules, secret_scan, simhash, sql, substring_dedup
+from tabwright.llm import byte_bpe, decontamination, license_scan, quality_rules, secret_scan, sharding, simhash, sql, substring_dedup
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -56,3 +56,8 @@ def op2(spark, sf_dir):
 def op9(spark, sf_dir):
     out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_sharding")
+def op5(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
