@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from tabwright.llm import byte_bpe, decontamination, html_text, license_scan, quality_rules, secret_scan, sharding, simhash, sql, substring_dedup
+from tabwright.llm import byte_bpe, decontamination, html_text, license_scan, quality_rules, secret_scan, sharding, simhash, sql, substring_dedup, warc
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -66,3 +66,8 @@ def op5(spark, sf_dir):
 @query("op7_html_extraction")
 def op7(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_warc_derivatives")
+def op8(spark, sf_dir):
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
