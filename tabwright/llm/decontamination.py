@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-All n-grams of the test items are counted over the whole corpus. In every run of ``SPAN`` consecutive n-grams of an item the rarest
-one becomes a seed, so a stretch of ``SPAN + NGRAM - 1`` unedited words always holds a seed and frequent phrases seed
-only where nothing rarer is near. A seed found in a document lays the item over it; the words around are aligned with the item by
-Smith-Waterman on words, which scores edited and paraphrased copies too.
+An n-gram of a test item is rare if chance seldom makes it: the product of its words' shares of all words in the corpus, counted over
+all documents. (Its own count would not do: a passage that has leaked a thousand times is frequent, and an n-gram that an edited copy
+has lost is rare.) All n-grams below ``RARE`` are seeds, and so is the rarest of every ``SPAN`` consecutive ones, so a stretch of
+``SPAN + NGRAM - 1`` unedited words always holds a seed. A seed found in a document lays the item over it; the words around are
+aligned with the item by Smith-Waterman on words, which scores edited and paraphrased copies too.
 
 The items are a stated query set. They reach the tasks in blocks of bounded size, and each block is held against all documents
 where they lie: texts never move.
@@ -29,6 +30,8 @@ from tabwright.llm.common import quoted, whole
 
 NGRAM = 3
 SPAN = 6
+#: Chance of an n-gram at a place, up to which it is a seed wherever it stands.
+RARE = 1e-6
 #: Bytes of item text that one block sends to the tasks.
 BLOCK_BYTES = 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -77,8 +80,7 @@ class Items:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
         self.grams = [codes_of(w, n)[1] for w in self.words]
-        self.codes = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, np.uint64)
-        self.seeds = self.codes
+        self.seeds = np.empty(0, np.uint64)
         self.places: dict[int, list[tuple[int, int]]] = {}
 
     def known(self, text: str | None) -> np.ndarray:
@@ -93,25 +95,23 @@ class Items:
         hit = np.flatnonzero(wanted[at] == codes)
         return hit, at[hit]
 
-    def choose_seeds(self, counts: np.ndarray, span: int = SPAN) -> None:
-        """Keep the rarest n-gram of every ``span`` consecutive ones of an item. ``counts`` goes with ``codes``."""
-        chosen: dict[int, list[tuple[int, int]]] = {}
-        for item, grams in enumerate(self.grams):
-            order = np.lexsort((grams, counts[np.searchsorted(self.codes, grams)]))
+    def choose_seeds(self, counts: np.ndarray, span: int = SPAN, rare: float = RARE) -> None:
+        """``counts``: how often each word of the vocabulary stands in the corpus, and last the number of all its words."""
+        share = np.log(np.maximum(counts[:-1], 1) / max(counts[-1], 1))
+        chosen: set[int] = set()
+        for words, grams in zip(self.words, self.grams, strict=True):
+            chance = np.lib.stride_tricks.sliding_window_view(share[words], self.n).sum(axis=1)
             rank = np.empty(len(grams), np.int64)
-            rank[order] = np.arange(len(grams))
+            rank[np.lexsort((grams, chance))] = np.arange(len(grams))
             width = min(span, len(grams))
             best = np.lib.stride_tricks.sliding_window_view(rank, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
-            for at in np.unique(best).tolist():
-                chosen.setdefault(int(grams[at]), []).append((item, at))
-        self.places = chosen
+            chosen.update(grams[best].tolist(), grams[chance <= np.log(rare)].tolist())
         self.seeds = np.array(sorted(chosen), np.uint64)
-        # A chosen n-gram may stand elsewhere in an item, where it was not the rarest; it is a seed there too.
+        self.places = {}
         for item, grams in enumerate(self.grams):
             hit, _ = self.among(grams, self.seeds)
             for at in hit.tolist():
-                if (item, at) not in chosen[int(grams[at])]:
-                    chosen[int(grams[at])].append((item, at))
+                self.places.setdefault(int(grams[at]), []).append((item, at))
 
     def passages(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each item the stretches of the document that a seed lays it over, joined where they overlap."""
@@ -184,9 +184,9 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, in
 
 
 @lru_cache(maxsize=2)
-def _unpacked(rows: tuple, n: int, seeds: bytes) -> Items:
+def _unpacked(rows: tuple, n: int, counts: bytes) -> Items:
     items = Items(list(rows), n)
-    items.choose_seeds(np.frombuffer(seeds, np.int64))
+    items.choose_seeds(np.frombuffer(counts, np.int64))
     return items
 
 
@@ -204,31 +204,33 @@ def blocks_of(benchmark: DataFrame, key: str = "item_id", text: str = "text", bl
         yield tuple(sorted(((r.id, r.t) for r in rows), key=lambda r: (r[1], r[0] is None, r[0] or 0)))
 
 
-def count_ngrams(docs: DataFrame, rows: tuple, n: int, text: str = "text") -> np.ndarray:
-    """How often each n-gram of the items stands in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((rows, n, b""))
+def count_words(docs: DataFrame, rows: tuple, n: int, text: str = "text") -> np.ndarray:
+    """How often each word of the items stands in all documents, and last the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast((rows, n))
+    size = len(Items(list(rows), n).vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(list(shared.value[0]), n)
-        total = np.zeros(len(items.codes), np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                hit, at = items.among(codes_of(items.known(t), n)[1], items.codes)
-                np.add.at(total, at, 1)
+                ids = items.known(t)
+                total[:-1] += np.bincount(ids[ids >= 0], minlength=size)
+                total[-1] += len(ids)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], names=["word", "n"])
 
-    found = docs.select(F.col(quoted(text))).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(Items(list(rows), n).codes), np.int64)
-    for gram, many in found:
-        counts[gram] = many
+    found = docs.select(F.col(quoted(text))).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(size + 1, np.int64)
+    for word, many in found:
+        counts[word] = many
     return counts
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", n: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
-    """One broadcast for each block of items, with its n-gram counts."""
+    """One broadcast for each block of items, with the counts of its words."""
     return [
-        docs.sparkSession.sparkContext.broadcast((rows, n, count_ngrams(docs, rows, n, text).tobytes()))
+        docs.sparkSession.sparkContext.broadcast((rows, n, count_words(docs, rows, n, text).tobytes()))
         for rows in blocks_of(benchmark, item_key, block_bytes=block_bytes)
     ]
 
