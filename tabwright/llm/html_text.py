@@ -2,8 +2,9 @@
 
 A page becomes a list of blocks: the text between two block-level tags. Pass one decides what it can: blocks in menus, headers,
 footers, sidebars, notices, adverts, forms and comments, and blocks that are mostly links, are boilerplate; long blocks with enough
-stop words are text. Pass two gives every other block the label of its nearest decided neighbour, first in its own section
-of the page, then on the whole page; at equal distance a heading looks ahead, and others prefer text inside an article.
+stop words are text. Pass two gives every other block the label of its nearest decided neighbours. Inside an article a block is
+boilerplate only if both neighbours in its section are. Elsewhere the nearer one counts, first in the block's section of the page,
+then on the whole page; at equal distance a heading looks ahead, and others are boilerplate. What markup alone decides has no say there.
 
 Defined results: null and empty pages have no text. Tags without an end, ends without a tag, stray ``<`` and unfinished comments are
 taken as a browser would take them, near enough. Ids, urls and repeated rows pass as they are.
@@ -113,7 +114,7 @@ def blocks_of(page: str) -> list[Block]:
     sections, linked, heading, leaf, at = 0, False, False, False, 0
 
     def close() -> None:
-        nonlocal parts
+        nonlocal parts, sections
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
@@ -121,6 +122,9 @@ def blocks_of(page: str) -> list[Block]:
                 words = text.split()
                 stops = sum(w.lower().strip(_STRIP) in STOP_WORDS for w in words)
                 _, section, inside, bad = stack[-1] if stack else ("", 0, False, False)
+                if leaf:  # a hidden paragraph says nothing about those beside it
+                    sections += 1
+                    section = sections
                 out.append(Block(text, len(words), min(1.0, links / len(text)), stops / len(words), heading, section, inside, bad or leaf))
             parts = []
 
@@ -197,7 +201,7 @@ def _decided(labels: list[bool | None], blocks: list[Block], way: int) -> list[t
     anywhere: tuple[int, bool] | None = None
     for k in range(len(blocks))[::way]:
         out[k] = (last.get(blocks[k].section), anywhere)
-        if labels[k] is not None:
+        if labels[k] is not None and not blocks[k].boilerplate:  # markup speaks for its own content only
             anywhere = last[blocks[k].section] = (k, labels[k])
     return out
 
@@ -205,12 +209,12 @@ def _decided(labels: list[bool | None], blocks: list[Block], way: int) -> list[t
 def _inherit(k: int, block: Block, before: tuple, after: tuple) -> bool:
     for mine in (0, 1):
         a, b = before[mine], after[mine]
-        if mine and block.in_article:
-            return True  # an article without one telling block is all there is to the page
+        if block.in_article:
+            return not (a and b and not a[1] and not b[1])
         if a and b and a[1] != b[1]:
             if k - a[0] != b[0] - k:
                 return a[1] if k - a[0] < b[0] - k else b[1]
-            return b[1] if block.heading else block.in_article
+            return b[1] if block.heading else False
         if a or b:
             return (a or b)[1]
     return True
