@@ -169,7 +169,7 @@ def plan_groups(classes: DataFrame, distance: int = DISTANCE) -> list[tuple[int,
         work = []
         for i, g in enumerate(gs):
             more = growth(share, g, distance)
-            rows = {t: n * (1 + sum(comb(len(g), k) for k in range(t + 1))) for t in range(distance + 1)}
+            rows = {t: max(n, 1) * (1 + sum(comb(len(g), k) for k in range(t + 1))) for t in range(distance + 1)}
             work.append({-1: 0.0} | {t: ROW_WORK * rows[t] + pairs.get((m, i), 0.0) * more[t] for t in rows})
         options.append((*allocate(work, distance + 1 - m), gs))
     _, thresholds, gs = min(options, key=lambda o: o[0])
