@@ -18,6 +18,7 @@ and a text have the same places, so neither covers the other; texts that share a
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from functools import partial
 
@@ -137,9 +138,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def release(spark: SparkSession) -> None:
-    """Have shuffle files of finished steps deleted now and not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have shuffle files of finished steps deleted now and not when the driver next collects its garbage.
+
+    Plans, what hangs on them and its cleaning are found unused one after the other, in a round each. Files are deleted beside the caller.
+    """
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def later(places: DataFrame, *same: str) -> DataFrame:
@@ -149,31 +155,45 @@ def later(places: DataFrame, *same: str) -> DataFrame:
     return places.join(firsts, list(same)).filter(place != F.col("first"))
 
 
-def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``id``, ``tag``, ``starts``, ``ends``: word ranges that windows which start earlier elsewhere cover. ``docs``: ``id``, ``tag``, ``text``."""
-    if window < 2 or window % 2:
-        raise ValueError("the window must be of an even number of words")
-    spark = docs.sparkSession
-    # Level one: half windows found twice.
+def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
+    """Level one: the runs whose half window stands for two runs or more, anywhere."""
     halves = docs.select("text").mapInArrow(partial(_seeds, window), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
     repeated = settle(halves.filter("n > 1").select("m"))
     places = docs.select("id", "tag", "text").mapInArrow(partial(_runs, window), "m long, r long, id long, tag int, a int, more int")
-    found = settle(places.join(repeated, "m"))
-    del halves, places
-    release(spark)
-    # Level two, runs as wholes.
-    kinds = settle(found.groupBy("m", "r").agg(F.min(F.struct("id", "a", "tag")).alias("first")))
-    whole_runs = found.join(kinds, ["m", "r"]).filter(F.struct("id", "a", "tag") != F.col("first"))
-    ranges = whole_runs.select("id", "tag", "a", (F.col("a") + F.col("more") + window).alias("b"))
-    # Level two, window by window, where a half window has runs of several kinds.
+    return settle(places.join(repeated, "m"))
+
+
+def first_runs(found: DataFrame) -> DataFrame:
+    """Level two, runs as wholes: the first place of each kind."""
+    return settle(found.groupBy("m", "r").agg(F.min(F.struct("id", "a", "tag")).alias("first")))
+
+
+def edge_windows(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
+    """Level two, window by window: the windows of first runs whose half window has runs of several kinds."""
     mixed = settle(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"))
     edges = settle(kinds.join(mixed, "m").select("first.*").groupBy("id", "tag").agg(F.collect_set("a").alias("firsts")))
     texts = docs.join(edges, ["id", "tag"]).select("id", "tag", "text", "firsts")
-    singles = settle(texts.mapInArrow(partial(_windows, window), "m long, w long, id long, tag int, a int"))
-    single = later(singles, "m", "w").select("id", "tag", "a", (F.col("a") + window).alias("b"))
-    out = ranges.union(single).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+    return settle(texts.mapInArrow(partial(_windows, window), "m long, w long, id long, tag int, a int"))
+
+
+def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``id``, ``tag``, ``starts``, ``ends``: word ranges that windows which start earlier elsewhere cover. ``docs``: ``id``, ``tag``, ``text``."""
+    if window < 2 or window % 2:
+        raise ValueError("the window must be of an even number of words")
+    spark = docs.sparkSession
+    found = repeated_runs(docs, window)
+    release(spark)
+    kinds = first_runs(found)
+    runs_again = found.join(kinds, ["m", "r"]).filter(F.struct("id", "a", "tag") != F.col("first"))
+    ranges = settle(runs_again.select("id", "tag", "a", (F.col("a") + F.col("more") + window).alias("b")))
+    del found, runs_again
+    singles = edge_windows(docs, kinds, window)
+    del kinds
+    release(spark)
+    ranges = ranges.union(later(singles, "m", "w").select("id", "tag", "a", (F.col("a") + window).alias("b")))
+    out = ranges.groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("x"))
     out = settle(out.select("id", "tag", F.col("x.a").alias("starts"), F.col("x.b").alias("ends")))
-    del texts, single, ranges, whole_runs
+    del ranges, singles
     release(spark)
     return out
 
