@@ -82,13 +82,36 @@ def _i5(spark, sf):
     return scatter_sample(table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey", 0.1)
 
 
+CLUSTERED = ["quantity", "discount", "label"]
+
+
 def _clustered(spark, sf):
-    return kmeans(view(spark, sf, "order_lines"), ["quantity", "discount", "label"], k=3)
+    return kmeans(view(spark, sf, "order_lines"), CLUSTERED, k=3)
 
 
-@query("J1_kmeans")
+def _cluster_facts(cols, result):
+    """Labels and cost against the centres, by plain arithmetic: every row lies nearest to its own centre."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = vector_to_array("features")
+    gaps = F.array(
+        *[
+            F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d)
+            for c in result.model.clusterCenters()
+        ]
+    )
+    scaled = scaled_inputs(result.labelled, cols).select("cluster", gaps.alias("gaps"))
+    own = F.col("gaps")[F.col("cluster")]
+    return scaled.agg(
+        F.count(F.lit(1)).alias("samples"), F.count_distinct("cluster").alias("clusters"),
+        F.every(own <= F.array_min("gaps") * (1 + 1e-9) + 1e-9).alias("nearest"),
+        (F.abs(F.sum(own) / result.inertia - 1) < 1e-6).alias("inertia_agrees"),
+    )
+
+
+@query("J1_kmeans", cte("order_lines") + "SELECT count(*) AS samples, 3::BIGINT AS clusters, true AS nearest FROM order_lines")
 def _j1(spark, sf):
-    return _clustered(spark, sf).labelled.select("l_orderkey", "cluster")
+    return _cluster_facts(CLUSTERED, _clustered(spark, sf)).drop("inertia_agrees")
 
 
 @query(
@@ -106,13 +129,17 @@ def _j1_inputs(spark, sf):
     return scaled.select("o_orderkey", F.round(parts[0], 8).alias("x"), F.round(parts[1], 8).alias("c"))
 
 
-@query("J1_kmeans_embeddings")
+@query("J1_kmeans_embeddings", "SELECT count(*) AS samples, 10::BIGINT AS clusters, true AS nearest FROM embeddings")
 def _j1_embeddings(spark, sf):
     rows = table(spark, sf, "embeddings")
-    spread = rows.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    return kmeans(spread, [f"e{i}" for i in range(64)], k=10, n_init=3).labelled.select("vec_id", "cluster")
+    names = [f"e{i}" for i in range(64)]
+    spread = rows.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    return _cluster_facts(names, kmeans(spread, names, k=10)).drop("inertia_agrees")
 
 
-@query("J2_kmeans_summary")
+@query("J2_kmeans_summary", cte("order_lines") + "SELECT 3::BIGINT AS clusters, count(*) AS samples, true AS inertia_agrees FROM order_lines")
 def _j2(spark, sf):
-    return kmeans_summary(_clustered(spark, sf))
+    result = _clustered(spark, sf)
+    facts = _cluster_facts(CLUSTERED, result).select(F.struct("samples", "inertia_agrees").alias("f")).scalar()
+    agrees = facts["inertia_agrees"] & (facts["samples"] == F.col("samples"))
+    return kmeans_summary(result).select("clusters", "samples", agrees.alias("inertia_agrees"))

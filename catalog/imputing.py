@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabwright.operators.coltypes import factorize
 from tabwright.operators.impute import (
     fill_backward, fill_forward, impute_features_mean, impute_mean, impute_median, impute_mode, impute_proportional, proportion_table,
 )
@@ -30,9 +31,21 @@ def _f2(spark, sf):
     return filled.select("o_orderkey", F.round("price_num", 4).alias("price_num"))
 
 
-@query("F2_impute_median_approximate")
+@query(
+    "F2_impute_median_approximate",
+    DIRTY + "SELECT o_orderkey, price_num IS NULL AS filled, coalesce(price_num, 0) AS known, true AS near_middle FROM dirty_orders",
+)
 def _f2_approximate(spark, sf):
-    return impute_median(view(spark, sf, "dirty_orders"), ["price_num"], approximate=True).select("o_orderkey", "price_num")
+    """Every gap gets a value whose rank lies within one hundredth of the middle; known values stay."""
+    rows = view(spark, sf, "dirty_orders").select("o_orderkey", "price_num")
+    filled = impute_median(rows, ["price_num"], approximate=True).select("o_orderkey", F.col("price_num").alias("value"))
+    low, high = (rows.select(F.percentile("price_num", F.lit(p))).scalar() for p in (0.49, 0.51))
+    gap = F.col("price_num").isNull()
+    middle = F.coalesce(F.col("value").between(low, high), F.lit(False))
+    return rows.join(filled, "o_orderkey").select(
+        "o_orderkey", gap.alias("filled"), F.coalesce("price_num", F.lit(0.0)).alias("known"),
+        F.when(gap, middle).otherwise(F.col("value") == F.col("price_num")).alias("near_middle"),
+    )
 
 
 def _fill_sql(function: str, frame: str, extra: str = "") -> str:
@@ -56,6 +69,28 @@ def _f3_by_user(spark, sf):
     return fill_forward(events, ["value"], ["ts", "event_id"], ["user_id"]).drop("ts")
 
 
+@query(
+    "F3_fill_forward_text_key",
+    """SELECT name, last_value(price IGNORE NULLS) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price
+    FROM (SELECT concat('order ', md5(cast(o_orderkey AS varchar)), ' é') AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price FROM orders)""",
+)
+def _f3_text(spark, sf):
+    orders = table(spark, sf, "orders")
+    name = F.concat(F.lit("order "), F.md5(F.col("o_orderkey").cast("string")), F.lit(" é"))
+    rows = orders.select(name.alias("name"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("price"))
+    return fill_forward(rows, ["price"], ["name"])
+
+
+@query(
+    "B6_factorize_text_key",
+    """SELECT name, seg, dense_rank() OVER (ORDER BY first) - 1 AS code FROM (SELECT c_name AS name, c_mktsegment AS seg,
+    min(c_name) OVER (PARTITION BY c_mktsegment) AS first FROM customer)""",
+)
+def _b6_text(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"))
+    return factorize(rows, "seg", ["name"])
+
+
 @query("F4_fill_backward", _fill_sql("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING"))
 def _f4(spark, sf):
     return fill_backward(view(spark, sf, "dirty_orders"), None, ["o_orderkey"])

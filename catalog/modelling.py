@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from tabwright.operators.models import (
     CLASSIFIERS, REGRESSORS, assemble, best_model, classification_metrics, compare_models, cross_validate, cv_summary,
     grade_performance, improvement_pct, merge_tuned, regression_metrics, retrain_on, soft_voting_classifier,
-    stacking_regressor, tune, voting_regressor,
+    stacking_regressor, train_models, tune, voting_regressor,
 )
 from tabwright.operators.neighbors import knn_classifier
 from tabwright.operators.prep import binarize_by_median, standard_scale, train_test_split
+from tabwright.plans.scalars import shared
 from tabwright.session import settle
 
 from . import query
@@ -21,8 +22,9 @@ SPLIT = LINES + ", " + split_sql("order_lines", "l_orderkey")
 
 
 def _rows(spark, sf, problem="Regression"):
-    # The model table is an aggregate that split, fit and score all read: it is written once.
-    rows = settle(view(spark, sf, "order_lines").select("l_orderkey", *FEATURES, "label", "flag"))
+    # The model table is an aggregate that split, fit and score all read: it is written once, and dealt out for the fits.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = settle(view(spark, sf, "order_lines").select("l_orderkey", *FEATURES, "label", "flag").repartition(parts, "l_orderkey"))
     return binarize_by_median(rows.withColumnRenamed("label", "price"), "price") if problem == "Classification" else rows
 
 
@@ -76,23 +78,73 @@ _linear_query("L3_lasso", "Lasso Regression", ["quantity"], lasso_cte(0.1, 1, TR
 _linear_query("L4_elastic_net", "Elastic Net", ["quantity"], lasso_cte(0.1, 0.5, TRAIN, TEST))
 
 
-def _model_query(query_name, name, problem, scaled=False, params=None):
-    @query(query_name)
+# What SQL can state of a model that it cannot fit: the test rows, the score of a simple rule on them, and that the model beats it.
+LINEAR_R2 = "(SELECT round(1 - sum(pow(label - pred, 2)) / (var_pop(label) * count(*)), 6) FROM p)"
+
+
+def regression_facts_sql(name: str, rule: str = LINEAR_R2) -> str:
+    ctes = SPLIT + ", " + ridge_cte(0, TRAIN, TEST)
+    return f"""{ctes} SELECT '{name}' AS model, (SELECT count(*) FROM {TEST}) AS n_rows, {rule} AS rule_score, true AS beats_rule"""
+
+
+def class_facts_sql(names: list[str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS model" for i, n in enumerate(names))
+    return f"""{CLASSES} SELECT position, model, n_rows, rule_score, true AS beats_rule FROM ({rows}),
+      (SELECT count(*) AS n_rows, round(greatest(avg(label), 1 - avg(label)), 6) AS rule_score FROM {TEST})"""
+
+
+def _linear_r2(train, test):
+    train, test = (assemble(d.drop("features"), PAIR) for d in (train, test))
+    return regression_metrics(REGRESSORS["Linear Regression"](train).transform(test)).select("r2").scalar()
+
+
+def _regression_facts(name, train, test, scored, rule="linear"):
+    """One row of facts about ``scored``, the test rows with predictions. The rule is the linear model of two inputs, or the mean."""
+    line = _linear_r2(train, test) if rule == "linear" else F.lit(0.0)
+    got = regression_metrics(scored).withColumn("rule", line)
+    n = scored.where("prediction is not null").select(F.count(F.lit(1))).scalar()
+    return got.select(F.lit(name).alias("model"), n.alias("n_rows"), F.round("rule", 6).alias("rule_score"), (F.col("r2") > F.col("rule")).alias("beats_rule"))
+
+
+def _class_facts(test, scores):
+    """Facts about ``scores`` (position, model, accuracy): the rule is to name the more frequent class."""
+    rule = test.agg(F.struct(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("label"), 1 - F.avg("label")).alias("m")).alias("x")).scalar()
+    return scores.select("position", "model", rule["n"].alias("n_rows"), F.round(rule["m"], 6).alias("rule_score"), (F.col("accuracy") > rule["m"]).alias("beats_rule"))
+
+
+def _fitted(train, test, name, problem):
+    """The test rows with the prediction of a default model."""
+    with shared(train) as rows:
+        model, made = train_models(rows, [name], problem)[name]
+    return model.transform(test).withColumnRenamed(made, "prediction")
+
+
+def _regressor_query(query_name, name, rule="linear"):
+    @query(query_name, regression_facts_sql(name, LINEAR_R2 if rule == "linear" else "0.0::DOUBLE"))
+    def run(spark, sf):
+        train, test = _split(spark, sf, FEATURES)
+        return _regression_facts(name, train, test, _fitted(train, test, name, "Regression"), rule)
+
+
+def _classifier_query(query_name, names):
+    @query(query_name, class_facts_sql(names))
     def run(spark, sf):
-        return _score(spark, sf, name, FEATURES, problem, scaled, params)
+        train, test = _split(spark, sf, FEATURES, "Classification")
+        return _class_facts(test, compare_models(train, test, names, "Classification", {"KNN": {"key": "l_orderkey"}}))
 
 
-_model_query("L5_random_forest_regressor", "Random Forest", "Regression")
-_model_query("L6_gbt_regressor", "Gradient Boosting", "Regression")
-_model_query("L7_svr_rbf", "SVR (SVM)", "Regression", True, {"max_iter": 40})
-_model_query("L8_logistic_regression", "Logistic Regression", "Classification")
-_model_query("L9_mlp_regressor", "Neural Network", "Regression", True, {"max_iter": 40})
-_model_query("L10_random_forest_classifier", "Random Forest", "Classification")
-_model_query("L11_gbt_classifier", "Gradient Boosting", "Classification")
-_model_query("L12_svm_classifier", "SVM", "Classification", True)
+_regressor_query("L5_random_forest_regressor", "Random Forest")
+_regressor_query("L6_gbt_regressor", "Gradient Boosting")
+_regressor_query("L7_svr_rbf", "SVR (SVM)", "mean")
+_regressor_query("L9_mlp_regressor", "Neural Network")
 
 CLASSES = LINES + """, labelled AS (SELECT l_orderkey, n_lines, quantity, discount,
     (label > (SELECT median(label) FROM order_lines))::INT::DOUBLE AS label FROM order_lines), """ + split_sql("labelled", "l_orderkey")
+_classifier_query("L8_logistic_regression", ["Logistic Regression"])
+_classifier_query("L10_random_forest_classifier", ["Random Forest"])
+_classifier_query("L11_gbt_classifier", ["Gradient Boosting"])
+_classifier_query("L12_svm_classifier", ["SVM"])
+_classifier_query("L17_compare_all_classifiers", list(CLASSIFIERS))
 CLASS_METRICS = """round(avg((label = pred)::INT), 6) AS accuracy,
   coalesce(sum((label = 1 AND pred = 1)::INT) / nullif(sum((pred = 1)::INT), 0), 0) AS precision,
   coalesce(sum((label = 1 AND pred = 1)::INT) / nullif(sum((label = 1)::INT), 0), 0) AS recall"""
@@ -175,13 +227,6 @@ def _l17(spark, sf):
     return _compared(spark, sf)
 
 
-@query("L17_compare_all_classifiers")
-def _l17_classifiers(spark, sf):
-    train, test = _split(spark, sf, FEATURES, "Classification", True)
-    small = {"Random Forest": {"trees": 20, "depth": 8}, "Gradient Boosting": {"rounds": 20}}
-    return compare_models(train, test, list(CLASSIFIERS), "Classification", small)
-
-
 @query("L18_best_model", COMPARED + " SELECT * FROM compared ORDER BY r2 DESC, position LIMIT 1")
 def _l18(spark, sf):
     return best_model(_compared(spark, sf), "r2")
@@ -200,10 +245,13 @@ def _l19(spark, sf):
     return rounded(rounded(rounded(tuned, 6, "r2"), 2, "rmse", "mae"), 8, "delta")
 
 
-@query("L19_tune_random_forest")
+@query("L19_tune_random_forest", regression_facts_sql("Random Forest"))
 def _l19_forest(spark, sf):
     train, test = _split(spark, sf, FEATURES)
-    return rounded(tune(train, test, "Random Forest", {"trees": 20, "depth": 5}), 6, "r2")
+    tuned = tune(train, test, "Random Forest", {"trees": 20, "depth": 5})
+    rule = _linear_r2(train, test)
+    n = test.select(F.count(F.lit(1))).scalar()
+    return tuned.select("model", n.alias("n_rows"), F.round(rule, 6).alias("rule_score"), ((F.col("r2") > rule) & (F.col("r2") - F.col("delta") > rule)).alias("beats_rule"))
 
 
 @query(
@@ -257,14 +305,25 @@ def _l22_summary(spark, sf):
     return rounded(cv_summary(_folds(spark, sf)), 6, "mean", "std")
 
 
-@query("L22_cross_validate_classes")
+@query(
+    "L22_cross_validate_classes",
+    CLASSES + "SELECT fold, true AS beats_rule FROM (SELECT unnest(range(5))::INT AS fold), (SELECT count(*) FROM s)",
+)
 def _l22_classes(spark, sf):
-    return cross_validate(assemble(_rows(spark, sf, "Classification"), FEATURES), "l_orderkey", "Naive Bayes", "Classification")
+    rows = _rows(spark, sf, "Classification")
+    scores = cross_validate(assemble(rows, FEATURES), "l_orderkey", "Naive Bayes", "Classification")
+    rule = rows.select(F.greatest(F.avg("label"), 1 - F.avg("label"))).scalar()
+    return scores.select("fold", (F.col("score") > rule).alias("beats_rule"))
+
+
+def _combined(query_name, name, scored):
+    @query(query_name, regression_facts_sql(name))
+    def run(spark, sf):
+        train, test = _split(spark, sf, FEATURES)
+        return _regression_facts(name, train, test, scored(train, test))
 
 
-@query("L23_voting_regressor")
-def _l23(spark, sf):
-    return rounded(regression_metrics(voting_regressor(*_split(spark, sf, FEATURES))), 6, "r2")
+_combined("L23_voting_regressor", "Voting", voting_regressor)
 
 
 @query(
@@ -277,22 +336,15 @@ def _l23_linear(spark, sf):
     return rounded(rounded(scored, 6, "r2"), 2, "rmse", "mae")
 
 
-@query("L24_soft_voting_classifier")
+@query("L24_soft_voting_classifier", class_facts_sql(["Soft Voting"]))
 def _l24(spark, sf):
     train, test = _split(spark, sf, FEATURES, "Classification")
-    return classification_metrics(soft_voting_classifier(train, test, params={"Random Forest": {"depth": 10}}))
+    scores = classification_metrics(soft_voting_classifier(train, test))
+    return _class_facts(test, scores.select(F.lit(0).alias("position"), F.lit("Soft Voting").alias("model"), "accuracy"))
 
 
-@query("L25_stacking_regressor")
-def _l25(spark, sf):
-    return rounded(regression_metrics(stacking_regressor(*_split(spark, sf, FEATURES))), 6, "r2")
-
-
-@query("L25_stacking_out_of_fold")
-def _l25_out_of_fold(spark, sf):
-    train, test = _split(spark, sf, FEATURES)
-    small = {"Random Forest": {"trees": 10, "depth": 5}, "Ridge Regression": {}}
-    return rounded(regression_metrics(stacking_regressor(train, test, "l_orderkey", True, 3, small)), 6, "r2")
+_combined("L25_stacking_regressor", "Stacking", stacking_regressor)
+_combined("L25_stacking_out_of_fold", "Stacking", lambda train, test: stacking_regressor(train, test, "l_orderkey", True))
 
 
 def _retrained_sql(variant: str, before: str, changed: str) -> str:
@@ -339,14 +391,29 @@ def _l26_augmented(spark, sf):
     return _retrained(spark, sf, "augmented")
 
 
-@query("L26_retrain_on_engineered")
+ENGINEERED = regression_facts_sql("engineered")
+
+
+def _engineered(spark, sf, name):
+    """The score on the original inputs and on the engineered ones both beat the rule, and the gain is that between them."""
+    rows = _rows(spark, sf).drop("flag")
+    train, test = _split(spark, sf, FEATURES)
+    got = retrain_on(rows, FEATURES, "l_orderkey", name, "engineered")
+    rule = _linear_r2(train, test)
+    gain = F.abs((F.col("changed") - F.col("original")) / F.abs(F.col("original")) * 100 - F.col("improvement_pct")) < 1e-6
+    # Three inputs hold the two of the rule.
+    beats = gain & (F.col("original") > rule - 1e-3) & (F.col("changed") > rule)
+    return got.select(F.col("variant").alias("model"), test.select(F.count(F.lit(1))).scalar().alias("n_rows"), F.round(rule, 6).alias("rule_score"), beats.alias("beats_rule"))
+
+
+@query("L26_retrain_on_engineered", ENGINEERED)
 def _l26_engineered(spark, sf):
-    return _retrained(spark, sf, "engineered", FEATURES)
+    return _engineered(spark, sf, "Linear Regression")
 
 
-@query("L26_retrain_forest_on_engineered")
+@query("L26_retrain_forest_on_engineered", ENGINEERED)
 def _l26_forest(spark, sf):
-    return _retrained(spark, sf, "engineered", FEATURES, "Random Forest", {"trees": 20, "depth": 8})
+    return _engineered(spark, sf, "Random Forest")
 
 
 @query(

@@ -16,14 +16,16 @@ import pandas as pd
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hash_uniform
 from ..plans.ranks import number_rows
 from ..plans.scalars import col, shared
+from .neighbors import knn_classifier
 from .networks import fit_network, fourier_map, fourier_weights
 from .prep import (
     bootstrap_augment, drop_duplicate_rows, interaction_features, polynomial_features, remove_outliers, train_test_split,
@@ -31,7 +33,7 @@ from .prep import (
 )
 
 SEED = 42
-NORMAL_EQUATIONS_UP_TO = 4096  # features; beyond that the l-bfgs solver
+KERNELS = ("rbf", "linear", "poly")
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -92,19 +94,57 @@ def train_gbt_regressor(
     ).fit(df)
 
 
+class Chain:
+    """A feature step followed by a fitted model."""
+
+    def __init__(self, step: Callable[[DataFrame], DataFrame], model: Any, made: str):
+        self.step, self.model, self.made = step, model, made
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.step(df)).drop(self.made)
+
+
+def _check_kernel(kernel: str) -> None:
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel}; choose one of {', '.join(KERNELS)}")
+
+
+def rbf_gamma(df: DataFrame, features_col: str) -> tuple[int, float]:
+    """Number of inputs and the kernel's width 1 / (inputs x variance of all input values); one pass."""
+    x = col(features_col)
+    mean, var, n = df.agg(Summarizer.mean(x), Summarizer.variance(x), Summarizer.count(x)).first()
+    mean, var = np.array(mean), np.array(var) * (n - 1) / max(n, 1)
+    spread = float(np.mean(var + mean**2) - np.mean(mean) ** 2)
+    return len(mean), 1.0 / (len(mean) * spread) if spread > 0 else 1.0 / len(mean)
+
+
+def _expansion(df: DataFrame, features_col: str, made: str, degree: int) -> Callable[[DataFrame], DataFrame]:
+    """All products of up to ``degree`` inputs, each brought to unit variance."""
+    raw = f"{made}_raw"
+    products = PolynomialExpansion(inputCol=features_col, outputCol=raw, degree=degree)
+    scaler = StandardScaler(inputCol=raw, outputCol=made, withMean=True).fit(products.transform(df))
+    return lambda d: scaler.transform(products.transform(d)).drop(raw)
+
+
 def train_svr(
     df, features_col="features", label_col="label", prediction_col="prediction", cost: float = 100.0, epsilon: float = 0.1,
-    kernel: str = "rbf", components: int = 256, max_iter: int = 100,
+    kernel: str = "rbf", components: int = 256, degree: int = 3, max_iter: int = 500,
 ):
-    """Support vector regression on scaled features; the RBF kernel by random Fourier features."""
-    fourier = None
+    """Support vector regression on scaled features.
+
+    ``rbf`` uses random Fourier features, ``poly`` the explicit expansion, ``linear`` the inputs.
+    """
+    _check_kernel(kernel)
+    fourier, step, inputs_col, made = None, None, features_col, f"_kernel_{prediction_col}"
     if kernel == "rbf":
-        inputs = _width(df, features_col)
-        fourier = fourier_weights(inputs, 1.0 / inputs, components, SEED)
-    return fit_network(
-        df, features_col, label_col, [], max_iter=max_iter, rate=0.01, epsilon=epsilon, cost=cost, fourier=fourier,
+        fourier = fourier_weights(*rbf_gamma(df, features_col), components, SEED)
+    elif kernel == "poly":
+        step, inputs_col = _expansion(df, features_col, made, degree), made
+    model = fit_network(
+        step(df) if step else df, inputs_col, label_col, [], max_iter=max_iter, rate=0.01, epsilon=epsilon, cost=cost, fourier=fourier,
         prediction_col=prediction_col,
     )
+    return Chain(step, model, made) if step else model
 
 
 def train_mlp_regressor(
@@ -148,28 +188,18 @@ def train_naive_bayes(df, features_col="features", label_col="label", prediction
     ).fit(df)
 
 
-class Chain:
-    """A feature step followed by a fitted model."""
-
-    def __init__(self, step: Callable[[DataFrame], DataFrame], model: Any, made: str):
-        self.step, self.model, self.made = step, model, made
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.step(df)).drop(self.made)
-
-
 def train_svm_classifier(
     df, features_col="features", label_col="label", prediction_col="prediction", cost: float = 100.0, kernel: str = "rbf",
-    components: int = 256, degree: int = 3, max_iter: int = 50,
+    components: int = 256, degree: int = 3, max_iter: int = 10_000, tol: float = 1e-3,
 ):
-    """Support vector classification on scaled features.
+    """Support vector classification on scaled features, iterated to the tolerance ``tol``.
 
     ``rbf`` uses random Fourier features, ``poly`` the explicit expansion, ``linear`` the inputs.
     """
+    _check_kernel(kernel)
     made = f"_kernel_{prediction_col}"
     if kernel == "rbf":
-        inputs = _width(df, features_col)
-        fourier = fourier_weights(inputs, 1.0 / inputs, components, SEED)
+        fourier = fourier_weights(*rbf_gamma(df, features_col), components, SEED)
 
         @F.pandas_udf("array<double>")
         def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -179,7 +209,7 @@ def train_svm_classifier(
         def step(d: DataFrame) -> DataFrame:
             return d.withColumn(made, array_to_vector(mapped(vector_to_array(col(features_col)))))
     elif kernel == "poly":
-        step = PolynomialExpansion(inputCol=features_col, outputCol=made, degree=degree).transform
+        step = _expansion(df, features_col, made, degree)
     else:
 
         def step(d: DataFrame) -> DataFrame:
@@ -187,13 +217,35 @@ def train_svm_classifier(
 
     model = LinearSVC(
         featuresCol=made, labelCol=label_col, predictionCol=prediction_col, rawPredictionCol=f"{prediction_col}_raw",
-        regParam=1.0 / (cost * max(df.count(), 1)), standardization=False, maxIter=max_iter,
+        regParam=1.0 / (cost * max(df.count(), 1)), standardization=False, maxIter=max_iter, tol=tol,
     ).fit(step(df))
     return Chain(step, model, made)
 
 
-def _width(df: DataFrame, features_col: str) -> int:
-    return len(df.select(features_col).first()[0])
+class NearestModel:
+    """The training rows, and a vote of the nearest of them for each row."""
+
+    def __init__(self, train: DataFrame, features_col: str, label_col: str, prediction_col: str, key: str, neighbors: int):
+        self.features_col, self.label_col, self.prediction_col, self.key, self.neighbors = features_col, label_col, prediction_col, key, neighbors
+        self.inputs = [f"_{prediction_col}_{i}" for i in range(len(train.select(features_col).first()[0]))]
+        self.train = self._spread(train).select(key, label_col, *self.inputs)
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array(col(self.features_col))
+        return df.withColumns({c: x[i] for i, c in enumerate(self.inputs)})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        found = knn_classifier(self.train, self._spread(df), self.inputs, self.label_col, self.key, self.neighbors, self.prediction_col)
+        return found.drop(*self.inputs)
+
+
+def train_knn(
+    df, features_col="features", label_col="label", prediction_col="prediction", key: str | None = None, neighbors: int = 5
+):
+    """``key`` names a column that is unique in training and test rows."""
+    if key is None:
+        raise ValueError("KNN needs the name of a unique key column")
+    return NearestModel(df, features_col, label_col, prediction_col, key, neighbors)
 
 
 def _scores(prediction_col: str) -> dict[str, str]:
@@ -215,6 +267,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "Random Forest": train_random_forest_classifier,
     "Gradient Boosting": train_gbt_classifier,
     "SVM": train_svm_classifier,
+    "KNN": train_knn,
     "Naive Bayes": train_naive_bayes,
 }
 NEEDS_SCALING = {"SVR (SVM)", "Neural Network", "SVM"}
@@ -226,8 +279,13 @@ TUNING_RANGES = {
     "Random Forest": {"trees": (10, 300), "depth": (3, 20), "min_leaf": (1, 20)},
     "Gradient Boosting": {"rounds": (10, 300), "rate": (0.001, 0.3), "depth": (1, 10)},
     "Logistic Regression": {"cost": (0.001, 100.0)},
+    "SVR (SVM)": {"cost": (0.1, 1000.0)},
+    "SVM": {"cost": (0.1, 1000.0)},
+    "KNN": {"neighbors": (1, 20)},
     "Neural Network": {"max_iter": (100, 2000)},
 }
+# The neurons in each hidden layer that may be chosen.
+LAYER_RANGES = ((10, 200), (10, 100))
 
 
 def _regression_struct(label: Column, prediction: Column) -> Column:
@@ -283,11 +341,16 @@ def train_models(train: DataFrame, names: list[str], problem: str, params: dict[
     trainers = REGRESSORS if problem == "Regression" else CLASSIFIERS
     fitted = {}
     for i, name in enumerate(names):
-        features = "scaled" if name in NEEDS_SCALING and "scaled" in train.columns else "features"
-        fitted[name] = (
-            trainers[name](train, features_col=features, label_col=label_col, prediction_col=f"p{i}", **(params or {}).get(name, {})),
-            f"p{i}",
-        )
+        options = {"label_col": label_col, "prediction_col": f"p{i}", **(params or {}).get(name, {})}
+        if name not in NEEDS_SCALING:
+            fitted[name] = trainers[name](train, features_col="features", **options), f"p{i}"
+        elif "scaled" in train.columns:
+            fitted[name] = trainers[name](train, features_col="scaled", **options), f"p{i}"
+        else:
+            # The scale belongs to the model: it comes from the rows that it is trained on, in each fold anew.
+            made = f"_scaled_p{i}"
+            scaler = StandardScaler(inputCol="features", outputCol=made, withMean=True).fit(train)
+            fitted[name] = Chain(scaler.transform, trainers[name](scaler.transform(train), features_col=made, **options), made), f"p{i}"
     return fitted
 
 
@@ -312,6 +375,10 @@ def check_params(name: str, params: dict[str, Any]) -> None:
     for key, (low, high) in TUNING_RANGES.get(name, {}).items():
         if key in params and params[key] is not None and not low <= params[key] <= high:
             raise ValueError(f"{name}: {key} must lie in {low}..{high}")
+    if name == "Neural Network" and "hidden" in params:
+        layers = params["hidden"]
+        if len(layers) != len(LAYER_RANGES) or any(not low <= n <= high for n, (low, high) in zip(layers, LAYER_RANGES, strict=True)):
+            raise ValueError(f"{name}: hidden layers must lie in {LAYER_RANGES}")
 
 
 def tune(train: DataFrame, test: DataFrame, name: str, params: dict[str, Any], problem: str = "Regression") -> DataFrame:

@@ -7,6 +7,7 @@ bucket totals, a bounded number per group, meet in one place.
 from __future__ import annotations
 
 import math
+import os
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -20,9 +21,30 @@ ROWS_PER_BUCKET = 50_000
 SKETCH_ACCURACY = 10_000
 
 
+#: Bytes of a text that make one order number: as many as a double holds exactly.
+TEXT_STEP = 6
+
+
+def text_order_numbers(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """Two doubles that sort like the text: its bytes after what all values share, and the bytes after those.
+
+    Texts of one pair need not be equal, but smaller texts never have a larger pair.
+    """
+    low, high = df.agg(F.min(col(name)), F.max(col(name))).first()
+    start = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+    raw = F.encode(col(name), "UTF-8")
+
+    def number(at: int) -> Column:
+        return F.conv(F.rpad(F.hex(F.substring(raw, at + 1, TEXT_STEP)), 2 * TEXT_STEP, "0"), 16, 10).cast("double")
+
+    return number(start), number(start + TEXT_STEP)
+
+
 def as_order_number(df: DataFrame, name: str) -> Column:
-    """A double that sorts like the column, for numbers, dates and timestamps."""
+    """A double that sorts like the column, for numbers, texts, dates and timestamps."""
     dtype = df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        return text_order_numbers(df, name)[0]
     if isinstance(dtype, T.NumericType):
         return col(name).cast("double")
     if isinstance(dtype, T.BooleanType):
@@ -31,7 +53,7 @@ def as_order_number(df: DataFrame, name: str) -> Column:
         return F.unix_micros(col(name).cast("timestamp")).cast("double")
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(col(name)).cast("double")
-    raise TypeError(f"cannot bucket column {name} of type {dtype.simpleString()}: use a number, date or timestamp")
+    raise TypeError(f"cannot bucket column {name} of type {dtype.simpleString()}: use a number, text, date or timestamp")
 
 
 def bucket_edges(df: DataFrame, value: Column) -> tuple[list[float], list[float]]:
@@ -222,14 +244,16 @@ def _select_ranks(df: DataFrame, wanted: dict, sizes: dict, gather: int) -> dict
 def order_buckets(df: DataFrame, order_by: list[str]) -> DataFrame:
     """Add ``_bucket`` (a pair) that rises with ``order_by``.
 
-    A first order value held by very many rows gets buckets of its own over the second order column.
+    A first order value held by very many rows gets buckets of its own over the second order column, and a start that very many
+    texts share over the bytes that follow it.
     """
-    first = as_order_number(df, order_by[0])
+    text = isinstance(df.schema[order_by[0]].dataType, T.StringType)
+    first, deeper = text_order_numbers(df, order_by[0]) if text else (as_order_number(df, order_by[0]), None)
     edges, hot = bucket_edges(df, first)
     staged = with_bucket(df.withColumn("_first", first), "_first", edges, "_b1")
     second = F.lit(0.0)
-    if hot and len(order_by) > 1:
-        number = as_order_number(df, order_by[1])
+    if hot and (text or len(order_by) > 1):
+        number = deeper if text else as_order_number(df, order_by[1])
         fine, _ = bucket_edges(df.where(first.isin(hot)), number)
         staged = with_bucket(staged.withColumn("_second", number), "_second", fine, "_b2")
         second = F.when(F.col("_first").isin(hot), F.col("_b2")).otherwise(0.0)
@@ -239,7 +263,7 @@ def order_buckets(df: DataFrame, order_by: list[str]) -> DataFrame:
 
 
 def number_in_order(df: DataFrame, order_by: list[str], name: str = "_row") -> DataFrame:
-    """Add 0, 1, … in the order of ``order_by`` (numbers, dates or timestamps; together unique)."""
+    """Add 0, 1, … in the order of ``order_by`` (numbers, texts, dates or timestamps; together unique)."""
     staged = order_buckets(df, order_by)
     totals = staged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_in_bucket"))
     offsets = totals.select(

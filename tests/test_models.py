@@ -220,3 +220,51 @@ def test_grades(spark):
     assert grade("Regression") == ["excellent", "good", "good", "poor"]
     assert grade("Classification") == ["excellent", "good", "good", "poor"]
     assert df.select(models.improvement_pct(F.lit(0.5), F.lit(-1.0)).alias("p")).first().p == 150.0
+
+
+def test_unknown_kernels_are_refused(linear):
+    rows = models.assemble(linear, ["a", "b", "c"])
+    for train in (models.train_svr, models.train_svm_classifier):
+        with pytest.raises(ValueError, match="kernel"):
+            train(rows, kernel="sigmoid")
+
+
+def test_polynomial_svr_learns_a_square(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-2, 2, 600)
+    rows = spark.createDataFrame([(float(v), float(v * v)) for v in x], "x double, label double")
+    train = models.assemble(rows, ["x"])
+    scores = {k: one(models.regression_metrics(models.train_svr(train, kernel=k, epsilon=0.01).transform(train)))["r2"] for k in ("poly", "linear")}
+    assert scores["poly"] > 0.95 and scores["linear"] < 0.2
+
+
+def test_rbf_width_follows_the_variance(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, [1, 5], (300, 2)) + [0, 10]
+    rows = models.assemble(spark.createDataFrame(x.tolist(), "a double, b double"), ["a", "b"])
+    assert models.rbf_gamma(rows, "features") == (2, pytest.approx(1 / (2 * x.var())))
+
+
+def test_models_scale_inside(linear):
+    """Inputs of very different size don't matter to models that need scaling, wherever they are trained."""
+    rows = models.assemble(linear.withColumn("b", F.col("b") * 1e4 + 1e5), ["a", "b", "c"])
+    score = models.cross_validate(rows, "id", "SVR (SVM)", folds=3, params={"kernel": "linear"})
+    assert min(r.score for r in score.collect()) > 0.9
+
+
+def test_neighbours_compare_tune_and_fold(linear):
+    plain = prep.binarize_by_median(linear.withColumnRenamed("label", "price"), "price")
+    train, test = (models.assemble(d, ["a", "b", "c"]) for d in prep.train_test_split(plain, "id"))
+    rows = models.assemble(plain, ["a", "b", "c"])
+    params = {"KNN": {"key": "id", "neighbors": 3}}
+    got = models.compare_models(train, test, ["Naive Bayes", "KNN"], "Classification", params).collect()
+    direct = neighbors.knn_classifier(train.drop("features"), test.drop("features"), ["a", "b", "c"], "label", "id", 3)
+    assert got[1].accuracy == pytest.approx(one(models.classification_metrics(direct))["accuracy"]) and got[1].accuracy > 0.8
+    folds = models.cross_validate(rows, "id", "KNN", "Classification", 3, {"key": "id"})
+    assert folds.count() == 3 and min(r.score for r in folds.collect()) > 0.8
+    with pytest.raises(ValueError, match="key"):
+        models.compare_models(train, test, ["KNN"], "Classification")
+    for name, bad in (("KNN", {"neighbors": 21}), ("SVM", {"cost": 0.01}), ("SVR (SVM)", {"cost": 2000.0}), ("Neural Network", {"hidden": (300, 50)})):
+        with pytest.raises(ValueError):
+            models.check_params(name, bad)
+    models.check_params("Neural Network", {"hidden": (100, 50)})

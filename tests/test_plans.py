@@ -69,3 +69,13 @@ def test_hot_order_value_is_split(skewed, monkeypatch):
     many_buckets(monkeypatch)
     sizes = order_buckets(skewed, ["x", "id"]).groupBy("_bucket").count()
     assert sizes.agg(F.max("count")).first()[0] < 500
+
+
+@pytest.mark.parametrize("per_bucket", [50_000, 7])
+def test_text_order_keys(spark, monkeypatch, per_bucket):
+    """Texts with a long common start, a crowded start, and ones beyond ASCII are numbered in byte order."""
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", per_bucket)
+    names = [f"item-{k:09d}" for k in range(120)] + [f"item-zzzzzz{k:05d}" for k in range(200)] + ["item-", "item-é", "item-日本", "item-a", "item-aa"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(5)
+    got = {r.name: r["_row"] for r in ranks.number_in_order(df, ["name"]).collect()}
+    assert got == {n: k for k, n in enumerate(sorted(names, key=str.encode))}
