@@ -234,7 +234,7 @@ def test_polynomial_svr_learns_a_square(spark):
     x = rng.uniform(-2, 2, 600)
     rows = spark.createDataFrame([(float(v), float(v * v)) for v in x], "x double, label double")
     train = models.assemble(rows, ["x"])
-    scores = {k: one(models.regression_metrics(models.train_svr(train, kernel=k, epsilon=0.01).transform(train)))["r2"] for k in ("poly", "linear")}
+    scores = {k: one(models.regression_metrics(models.train_svr(train, kernel=k, epsilon=0.01, max_iter=120).transform(train)))["r2"] for k in ("poly", "linear")}
     assert scores["poly"] > 0.95 and scores["linear"] < 0.2
 
 
@@ -248,7 +248,7 @@ def test_rbf_width_follows_the_variance(spark):
 def test_models_scale_inside(linear):
     """Inputs of very different size don't matter to models that need scaling, wherever they are trained."""
     rows = models.assemble(linear.withColumn("b", F.col("b") * 1e4 + 1e5), ["a", "b", "c"])
-    score = models.cross_validate(rows, "id", "SVR (SVM)", folds=3, params={"kernel": "linear"})
+    score = models.cross_validate(rows, "id", "SVR (SVM)", folds=3, params={"kernel": "linear", "max_iter": 120})
     assert min(r.score for r in score.collect()) > 0.9
 
 
