@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabwright.operators.models import (
     CLASSIFIERS, REGRESSORS, assemble, best_model, classification_metrics, compare_models, cross_validate, cv_summary,
-    grade_performance, improvement_pct, merge_tuned, regression_metrics, retrain_on, soft_voting_classifier,
+    grade_performance, improvement_pct, merge_tuned, prepare_and_compare, regression_metrics, retrain_on, soft_voting_classifier,
     stacking_regressor, train_models, tune, voting_regressor,
 )
 from tabwright.operators.neighbors import knn_classifier
@@ -227,6 +227,42 @@ def _l17(spark, sf):
     return _compared(spark, sf)
 
 
+# Raw rows with gaps and a text input; the gaps take the mean of all rows.
+GAPPY = """gappy AS (SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE quantity END AS quantity,
+  CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE discount END AS discount, flag, label FROM order_lines)"""
+GRADED = "CASE WHEN r2 > 0.9 THEN 'excellent' WHEN r2 > 0.7 THEN 'good' ELSE 'poor' END AS grade"
+
+
+def _prepared_sql(label: str) -> str:
+    filled = f"""filled AS (SELECT l_orderkey, coalesce(quantity, (SELECT avg(quantity) FROM gappy)) AS quantity,
+      coalesce(discount, (SELECT avg(discount) FROM gappy)) AS discount, {label} AS label FROM gappy)"""
+    return (
+        LINES + ", " + GAPPY + ", " + filled + ", " + split_sql("filled", "l_orderkey") + ", " + ridge_cte(0, TRAIN, TEST, "p0") + ", " + ridge_cte(1, TRAIN, TEST, "p1")
+        + f""", compared AS (SELECT 0 AS position, '{PAIR_MODELS[0]}' AS model, {METRICS} FROM p0 UNION ALL SELECT 1, '{PAIR_MODELS[1]}', {METRICS} FROM p1)
+        SELECT *, {GRADED} FROM compared"""
+    )
+
+
+def _prepared(spark, sf, target, features):
+    lines = view(spark, sf, "order_lines")
+    gap = lambda c, n: F.when(F.col("l_orderkey") % n != 0, F.col(c)).alias(c)
+    rows = settle(lines.select("l_orderkey", gap("quantity", 7), gap("discount", 11), "flag", "label"))
+    return rounded(rounded(prepare_and_compare(rows, target, features, "l_orderkey", names=PAIR_MODELS), 6, "r2"), 2, "rmse", "mae")
+
+
+@query("L17_prepare_fill_compare_grade", _prepared_sql("label"))
+def _l17_prepared(spark, sf):
+    return _prepared(spark, sf, "label", ["quantity", "discount", "flag"])
+
+
+@query(
+    "L17_prepare_text_target",
+    _prepared_sql("(SELECT code FROM (SELECT flag AS f, (dense_rank() OVER (ORDER BY first) - 1)::DOUBLE AS code FROM (SELECT flag, min(l_orderkey) AS first FROM order_lines GROUP BY flag)) WHERE f = flag)"),
+)
+def _l17_text_target(spark, sf):
+    return _prepared(spark, sf, "flag", ["quantity", "discount"])
+
+
 @query("L18_best_model", COMPARED + " SELECT * FROM compared ORDER BY r2 DESC, position LIMIT 1")
 def _l18(spark, sf):
     return best_model(_compared(spark, sf), "r2")

@@ -27,9 +27,10 @@ from ..plans.ranks import number_rows
 from ..plans.scalars import col, shared
 from .neighbors import knn_classifier
 from .networks import fit_network, fourier_map, fourier_weights
+from .impute import impute_features_mean
 from .prep import (
-    bootstrap_augment, drop_duplicate_rows, interaction_features, polynomial_features, remove_outliers, train_test_split,
-    weak_features,
+    binarize_by_median, bootstrap_augment, drop_duplicate_rows, interaction_features, polynomial_features, prepare_xy, remove_outliers,
+    train_test_split, weak_features,
 )
 
 SEED = 42
@@ -361,6 +362,25 @@ def compare_models(train: DataFrame, test: DataFrame, names: list[str], problem:
     return score_models(test, fitted, problem)
 
 
+def prepare_and_compare(
+    df: DataFrame, target: str, features: list[str], key: str, order_by: list[str] | None = None, names: list[str] | None = None,
+    problem: str = "Regression", test_size: float = 0.2, params: dict[str, dict] | None = None,
+) -> DataFrame:
+    """From a raw table to graded models: coded target, numeric inputs, mean fill, split, fit, test metrics, grade.
+
+    ``key`` is unique; ``order_by`` (the key by default) settles the codes of a text target. A row without a label takes no part.
+    For classes the label is split at its median.
+    """
+    prepared = prepare_xy(df.where(col(target).isNotNull()), target, features, order_by or [key])
+    rows = impute_features_mean(prepared.df, prepared.features)
+    if problem == "Classification":
+        rows = binarize_by_median(rows.withColumnRenamed("label", "_value"), "_value")
+    train, test = (assemble(d, prepared.features) for d in train_test_split(rows, key, test_size))
+    every = names or list(REGRESSORS if problem == "Regression" else CLASSIFIERS)
+    scores = compare_models(train, test, every, problem, {"KNN": {"key": key}} | (params or {}))
+    return scores.withColumn("grade", grade_performance(F.col("r2" if problem == "Regression" else "accuracy"), problem))
+
+
 def best_model(comparison: DataFrame, metric: str) -> DataFrame:
     """The row with the largest metric, the first listed of several."""
     return comparison.orderBy(F.desc(metric), "position").limit(1)

@@ -33,6 +33,8 @@ def prepare_xy(df: DataFrame, target: str, features: list[str], order_by: list[s
     A string target becomes codes by first appearance. Without any numeric feature the string
     features become codes; otherwise they are dropped and listed in ``dropped``.
     """
+    if target != "label" and "label" in df.columns and "label" not in features + order_by:
+        df = df.drop("label")  # its name is needed
     if is_string(df.schema[target].dataType):
         df = factorize(df, target, order_by, "label")
     else:
