@@ -509,22 +509,26 @@ def stacking_regressor(
 
 def retrain_on(
     df: DataFrame, features: list[str], key: str, name: str, variant: str, test_size: float = 0.2, params: dict | None = None,
-    problem: str = "Regression", label_col: str = "label",
+    problem: str = "Regression", label_col: str = "label", train_only: bool = False,
 ) -> DataFrame:
     """(original, changed, improvement_pct): the test score before and after a change of the data.
 
     ``variant``: ``augmented`` (bootstrap), ``engineered`` (powers, products, weak ones dropped) or
-    ``cleaned`` (outliers and duplicates removed).
+    ``cleaned`` (outliers and duplicates removed). Augmentation before the split puts copies of a row on both sides of it;
+    ``train_only`` splits first and augments the training rows.
     """
     metric = "r2" if problem == "Regression" else "accuracy"
     chosen = {name: params or {}}
 
-    def score(rows: DataFrame, names: list[str], row_key: str) -> DataFrame:
+    def score(rows: DataFrame, names: list[str], row_key: str, grow: bool = False) -> DataFrame:
         train, test = train_test_split(rows, row_key, test_size)
+        train = bootstrap_augment(train, key, 2) if grow else train
         return compare_models(assemble(train, names), assemble(test, names), [name], problem, chosen).select(metric)
 
     changed, names, row_key = df, list(features), key
-    if variant == "augmented":
+    if variant == "augmented" and train_only:
+        pass  # the rows stay; those drawn for training are repeated after the split
+    elif variant == "augmented":
         changed = bootstrap_augment(df, key, 2)
         # A drawn row gets a key of its own.
         changed = changed.withColumn("_copy_key", F.concat_ws("#", *[c.cast("string") for c in (col(key), F.col("copy"), F.col("draw"))]))
@@ -539,7 +543,7 @@ def retrain_on(
     else:
         raise ValueError(f"unknown variant {variant}")
     before = score(df, list(features), key).scalar()
-    after = score(changed, names, row_key).select(F.col(metric).alias("changed"))
+    after = score(changed, names, row_key, variant == "augmented" and train_only).select(F.col(metric).alias("changed"))
     return after.select(
         F.lit(variant).alias("variant"), before.alias("original"), "changed",
         improvement_pct(F.col("changed"), before).alias("improvement_pct"),

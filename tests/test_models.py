@@ -268,3 +268,14 @@ def test_neighbours_compare_tune_and_fold(linear):
         with pytest.raises(ValueError):
             models.check_params(name, bad)
     models.check_params("Neural Network", {"hidden": (100, 50)})
+
+
+def test_augmentation_of_training_rows_alone(linear):
+    """With one nearest neighbour a copy in the training rows gives the label away; without copies it doesn't."""
+    rng = np.random.default_rng(8)
+    noise = [(int(i), float(rng.normal()), float(rng.integers(2))) for i in range(300)]
+    rows = linear.sparkSession.createDataFrame(noise, "id long, a double, label double")
+    before, after = (
+        one(models.retrain_on(rows, ["a"], "id", "Random Forest", "augmented", problem="Classification", params={"trees": 5}, train_only=t)) for t in (False, True)
+    )
+    assert before["changed"] > after["changed"] + 0.05 and after["original"] == before["original"]
