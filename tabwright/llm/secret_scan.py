@@ -1,7 +1,9 @@
 """Secrets by pattern, and by a battery of randomness tests with false-discovery control. DataFrame functions only.
 
 Patterns give the base spans. Beside them every token of ``LEAST`` or more characters that may be an encoding of random
-bytes (hex, base 32, base 64) is tested against "these characters were drawn evenly from the alphabet":
+bytes (hex, base 32, base 64) is tested against "these characters were drawn evenly from the alphabet". An ``=`` is padding at the end of
+a token, elsewhere it parts tokens, as in KEY=value or ?sig=value. A token that mixes ``+`` or ``/`` with ``-`` or ``_`` is of no one
+encoding; its longest parts of either alphabet are tested instead. The tests are:
 
 - chi-squared over the counts of the alphabet's symbols (cube-root normal form, with the exact mean and variance for the length),
 - runs above and below the middle of the alphabet,
@@ -34,7 +36,10 @@ KINDS = ("assign", "access", "hex", "random")
 LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 LEAST = 20
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{20})(?:[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?|[A-Za-z0-9+/_-]++=++(?![A-Za-z0-9+/_-]))"
+MIXED = r"[+/].*[_-]|[_-].*[+/]"
+#: Parts of a mixed token: of the alphabet for file names and URLs, and of the usual one.
+PARTS = (r"(?=[A-Za-z0-9_=-]{20})[A-Za-z0-9_-]++=*+", r"(?=[A-Za-z0-9+/=]{20})[A-Za-z0-9+/]++=*+")
 #: Encodings: symbols of the alphabet and what a token must look like, in the order in which they are inferred.
 ENCODINGS = (
     ("hex", 16, r"^(?=.*[0-9])(?:(?=.*[a-f])[0-9a-f]+|(?=.*[A-F])[0-9A-F]+)$"),
@@ -130,10 +135,19 @@ def _figure(token: Column, kind: Column, n: Column, k: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Tokens that may encode random bytes: span, encoding, length band, figure in steps."""
-    spans = _if(text, TOKEN, _places(text, TOKEN, 3))
+    def held(s: Column) -> Column:
+        return F.substring(text, s["start"] + 1, s["end"] - s["start"])
+
+    def parts(s: Column) -> Column:
+        token, at = held(s), s["start"]
+        inner = F.array_distinct(F.concat(*[_places(token, p, 3) for p in PARTS]))
+        moved = F.transform(inner, lambda i: F.struct((at + i["start"]).alias("start"), i["kind"].alias("kind"), (at + i["end"]).alias("end")))
+        return F.when(token.rlike(MIXED), moved).otherwise(F.array(s))
+
+    spans = _if(text, TOKEN, F.flatten(F.transform(_places(text, TOKEN, 3), parts)))
 
     def judge(s: Column) -> Column:
-        token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        token = held(s)
         kind = F.coalesce(*[F.when(token.rlike(p), F.lit(i)) for i, (_, _, p) in enumerate(ENCODINGS)])
         n = F.length(F.rtrim(F.translate(token, "=", " "))).cast("double")
         k = F.element_at(F.array(*[F.lit(float(size)) for _, size, _ in ENCODINGS]), kind + 1)

@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tabwright.llm import secret_scan as ss
 
 from tests.llm import samples
@@ -134,3 +136,53 @@ def test_odd_rows_and_empty_tables(spark):
 def test_plan_is_native(spark):
     plan = ss.scan(samples.corpus(spark, BASE and [(1, BASE[0])]).filter("doc_id > 0"))._jdf.queryExecution().executedPlan().toString()
     assert "Project" in plan and not any(x in plan for x in ("EvalPython", "InPandas", "InArrow"))
+
+
+def cut(text):
+    """Tokens by hand: maximal runs, '=' only at their end; mixed ones in parts of either alphabet."""
+    usual = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    runs = lambda a, b, more: [(x, y) for x, y in bounds(a, b, usual | set(more))]
+
+    def bounds(a, b, good):
+        start = None
+        for k in range(a, b + 1):
+            inside = k < b and text[k] in good
+            if inside and start is None:
+                start = k
+            if not inside and start is not None:
+                yield start, k
+                start = None
+
+    def padded(y):
+        z = y
+        while z < len(text) and text[z] == "=":
+            z += 1
+        return y if z < len(text) and text[z] in usual | set("+/-_") else z
+
+    out = []
+    for x, y in runs(0, len(text), "+/-_"):
+        inner = [(x, y)]
+        if set(text[x:y]) & set("+/") and set(text[x:y]) & set("-_"):
+            inner = sorted({*runs(x, y, "-_"), *runs(x, y, "+/")})
+        out += [(a, z) for a, b in inner for z in [padded(b) if b == y else b] if z - a >= 20]
+    return out
+
+
+def test_values_beside_an_equals_sign(spark):
+    rng = random.Random(12)
+    base62 = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n - 3)) + "aB7"
+    secret = [
+        lambda: "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", lambda: base62(32), lambda: base64.b64encode(rng.randbytes(31)).decode(), lambda: base62(40),
+        lambda: base64.urlsafe_b64encode(rng.randbytes(48)).decode(), lambda: base62(36), lambda: base64.b64encode(rng.randbytes(13)).decode(),
+    ]
+    around = [("AWS_SECRET_ACCESS_KEY=", "\n"), ("STRIPE_KEY=", ""), ("export A_KEY==", " x"), ("https://host/c?sig=", "&b=1"), ("q?a=1&sig=", "#x"), ("x-y/", "/z"), ("k=", ";")]
+    rows = [(k, "é " + around[k % 7][0] + secret[k % 7]() + around[k % 7][1]) for k in range(140)]
+    got = dict(ss.scan(samples.corpus(spark, rows).repartition(3)).select("doc_id", "spans").collect())
+    tested = {r.doc_id: sorted((c.start, c.end) for c in r.c) for r in samples.corpus(spark, rows).select("doc_id", ss.candidates(F.col("text")).alias("c")).collect()}
+    for k, t in rows:
+        want = [(a, b) for a, b in cut(t) if any(re.match(p, t[a:b]) for _, _, p in ss.ENCODINGS)]
+        assert tested[k] == want
+    missed = [k for k, t in rows if "random" not in got[k]]
+    assert len(missed) <= 7 and all(got[k] for k in range(0, 140, 7))
+    masked = dict(ss.redact(samples.corpus(spark, rows)).select("doc_id", "text").collect())
+    assert masked[0] == "é AWS_SECRET_ACCESS_KEY=[SECRET]\n" and masked[1] == "é STRIPE_KEY=[SECRET]" and masked[3] == "é https://host/c?sig=[SECRET]&b=1"
