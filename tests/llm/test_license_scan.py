@@ -71,3 +71,48 @@ def test_odd_rows_and_empty_tables(spark):
     rows = ls.scan(samples.odd(spark)).collect()
     assert sorted(str((r.doc_id, *tuple(r)[1:])) for r in rows) == sorted(str((r[0], *brute(r[1]))) for r in samples.odd_rows())
     assert ls.scan(samples.empty(spark)).count() == 0
+
+
+def spoken(tree):
+    """Texts of a parsed pattern that between them take every branch; repeats at their least and once more."""
+    out = {""}
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more = {chr(value)}
+        elif name == "IN":
+            more = {chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])}
+        elif name == "SUBPATTERN":
+            more = spoken(value[3])
+        elif name == "BRANCH":
+            more = set().union(*map(spoken, value[1]))
+        else:
+            assert name == "MAX_REPEAT"
+            inner = sorted(spoken(value[2]))
+            more = {x * max(value[0], 1) for x in inner} | ({""} if not value[0] else set())
+        # Every text of either side is there at least once.
+        a, b = sorted(out), sorted(more)
+        out = {a[k % len(a)] + b[k % len(b)] for k in range(max(len(a), len(b)))} | {x + b[0] for x in a} | {a[0] + x for x in b}
+    return out
+
+
+def test_no_gate_drops_a_match(spark):
+    """A sample text for each alternative of each rule passes both gates, and the scan finds what a scan without gates finds."""
+    texts = set()
+    for r in ls.RULES:
+        for t in spoken(re._parser.parse(r.pattern)):
+            assert re.search(r.pattern, t) and r.keyword in t and any(w in t for w in r.keywords), (r.name, t)
+            assert any(w.replace(" ", "  ") in t for w in ls.GENERAL), (r.name, t)
+        # Each alternative of a name by itself.
+        texts |= {t.strip() for t in sorted(spoken(re._parser.parse(r.pattern)), key=lambda t: (len(t), t))[:2]}
+    plain = ["Photo: CC BY-SA 4.0", "data: CC0", "covered under the GPL", "distributed subject to the MIT", "Open Database License", "Open Data Commons Open Database License",
+             "Massachusetts Institute of Technology License", "Neither the name of X nor the names of its contributors may be used to endorse or promote"]
+    rows = list(enumerate(plain + sorted(texts)[::4]))
+    got = {r.doc_id: {(d.rule, d.first_word, d.last_word) for d in r.found} for r in ls.detect(samples.corpus(spark, rows).repartition(8)).collect()}
+    for k, t in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        spread = "".join(f" {w} " for w in words)
+        found = [(spread[: m.start()].count(" ") // 2, m[0].count(" ") // 2, r.priority, n) for n, r in enumerate(ls.RULES) for m in re.finditer(r.pattern, spread)]
+        kept = {d for d in found if not any(e != d and e[0] <= d[0] and e[0] + e[1] >= d[0] + d[1] and (e[2] > d[2] or (e[2] == d[2] and (e[1] > d[1] or e[3] < d[3]))) for e in found)}
+        assert got[k] == {(ls.RULES[n].name, a, a + size - 1) for a, size, _, n in kept}, t
+    assert all(got[k] for k in range(len(plain)))
