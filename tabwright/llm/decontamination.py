@@ -4,7 +4,9 @@ An n-gram of a test item is rare if chance seldom makes it: the product of its w
 all documents. (Its own count would not do: a passage that has leaked a thousand times is frequent, and an n-gram that an edited copy
 has lost is rare.) All n-grams below ``RARE`` are seeds, and so is the rarest of every ``SPAN`` consecutive ones, so a stretch of
 ``SPAN + NGRAM - 1`` unedited words always holds a seed. A seed found in a document lays the item over it; the words around are
-aligned with the item by Smith-Waterman on words, which scores edited and paraphrased copies too.
+aligned with the item by Smith-Waterman on words, which scores edited and paraphrased copies too. An item leaks if its best alignment
+in the document scores high enough, or if any passage holds a stretch of it that is copied almost word for word, whether that
+stretch is in the best alignment or not.
 
 The items are a stated query set. They reach the tasks in blocks of bounded size, and each block is held against all documents
 where they lie: texts never move.
@@ -39,6 +41,14 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 #: A long item is leaked too if so many of its words are copied almost word for word.
 RUN, RUN_IDENTITY = 25, 0.8
+#: A stretch of twice as many matches holds one of half of them that is as good, so a search for shorter ones misses no leak: up to this
+#: many words that differ, and no more words of the passage.
+RUN_ERRORS = 12
+RUN_WIDTH = 2 * RUN + RUN_ERRORS
+#: The score that any alignment of such a stretch has at least: 25 matches and 6 words that differ.
+RUN_SCORE = MATCH * RUN - 6
+#: Words of a passage that are searched at once.
+PIECE = 2048
 #: Words beside the place where an item is laid, for insertions.
 MARGIN = 8
 
@@ -134,25 +144,66 @@ class Items:
         return out
 
     def leaks(self, text: str | None) -> list[tuple]:
-        """The items that the text leaks, each with its best alignment, as in ``FOUND``."""
+        """The items that the text leaks, each with its best alignment or, if that is no leak, its best almost literal stretch."""
         ids, out = self.known(text), []
         for item, spans in sorted(self.passages(ids).items()):
-            words, best = self.words[item], None
+            words, best, near = self.words[item], None, []
             for a, b in spans:
                 # No alignment scores more than its matches; each item word matches once at most.
                 most = int(np.isin(words, ids[a:b]).sum())
                 if most < min(SCORE * len(words), RUN):
                     continue
                 found = align(words, ids[a:b])
+                if found and found[0] >= RUN_SCORE:
+                    near.append((a, b))
                 if found and (best is None or found[0] > best[0]):
                     best = (found[0], found[1], found[2], a + found[3], a + found[4], found[5], found[6])
+            if best and not self.leaked(item, best):
+                runs = [(a, r) for a, b in near if (r := literal_run(words, ids[a:b]))]
+                best = max(((r[0], r[1], r[2], a + r[3], a + r[4], r[5], r[6]) for a, r in runs), key=lambda r: (r[1], r[0]), default=None)
             if best:
                 score, matched, columns, first, last, item_first, item_last = best
-                share, identity = score / (MATCH * len(words)), matched / columns
-                if share >= SCORE or (matched >= RUN and identity >= RUN_IDENTITY):
-                    out.append((self.ids[item], share, matched, identity, first, last, item_first, item_last))
+                out.append((self.ids[item], score / (MATCH * len(words)), matched, matched / columns, first, last, item_first, item_last))
         return out
 
+    def leaked(self, item: int, found: tuple) -> bool:
+        score, matched, columns = found[:3]
+        return score / (MATCH * len(self.words[item])) >= SCORE or (matched >= RUN and matched / columns >= RUN_IDENTITY)
+
+
+def literal_run(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int, int, int] | None:
+    """A stretch of at least ``RUN`` matches at ``RUN_IDENTITY``, if there is one, as :func:`align` gives it: the one of most matches
+    among those with up to ``RUN_ERRORS`` words that differ.
+
+    For each number of such words and each pair of places that a stretch may end at, its most matches and where it starts, in one number:
+    matches, place in the item, place in the passage.
+    """
+    one, best = 1 << 44, None
+    for at in range(0, max(len(passage) - RUN_WIDTH, 1), PIECE):
+        piece = passage[at : at + PIECE + RUN_WIDTH]
+        places = np.arange(len(piece) + 1, dtype=np.int64)
+        rows = np.repeat(places[None, :], RUN_ERRORS + 1, axis=0)
+        for i in range(1, len(item) + 1):
+            fresh = np.repeat(((i << 24) + places)[None, :], RUN_ERRORS + 1, axis=0)
+            fresh[:, 1:] = np.where(piece == item[i - 1], np.maximum(rows[:, :-1] + one, fresh[:, 1:]), fresh[:, 1:])
+            # One more word differs: in both, in the item alone, in the passage alone.
+            fresh[1:] = np.maximum(fresh[1:], rows[:-1])
+            fresh[1:, 1:] = np.maximum(fresh[1:, 1:], rows[:-1, :-1])
+            for e in range(1, RUN_ERRORS + 1):
+                fresh[e] = np.maximum(fresh[e], fresh[e - 1])
+                fresh[e, 1:] = np.maximum(fresh[e, 1:], fresh[e - 1, :-1])
+            rows = fresh
+            matches = rows >> 44
+            if matches.max() < RUN:
+                continue
+            for e in range(RUN_ERRORS + 1):
+                j = int(matches[e].argmax())
+                many = int(matches[e, j])
+                if many >= RUN and many >= RUN_IDENTITY * (many + e) and (best is None or (many, -e) > best[0]):
+                    start = int(rows[e, j])
+                    best = ((many, -e), (MATCH * many - e, many, many + e, at + (start & 0xFFFFFF), at + j - 1, (start >> 24) & 0xFFFFF, i - 1))
+    return best[1] if best else None
+
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int, int, int] | None:
     """Best local alignment: score, matches, columns, and first and last place in the passage and in the item."""

@@ -111,3 +111,72 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in samples.odd_rows() if plain not in (r[1] or "").lower())
     assert dc.find_leaks(samples.empty(spark), bench).count() == 0
     assert dc.find_leaks(docs, bench.limit(0)).count() == 0 and dc.drop_leaks(docs, bench.limit(0)).count() == len(samples.odd_rows())
+
+
+def has_run(item, passage):
+    """Cell by cell: most matches of any stretch that ends here, for each number of words that differ, without a bound on them."""
+    most = len(item) // 4 + 1
+    t = np.full((most + 1, len(item) + 1, len(passage) + 1), 0)
+    for i in range(len(item) + 1):
+        for j in range(len(passage) + 1):
+            for e in range(most + 1):
+                ways = [0]
+                if i and j and item[i - 1] == passage[j - 1]:
+                    ways.append(t[e, i - 1, j - 1] + 1)
+                if e:
+                    ways += [t[e - 1, i, j], t[e - 1, i - 1, j - 1] if i and j else 0, t[e - 1, i - 1, j] if i else 0, t[e - 1, i, j - 1] if j else 0]
+                t[e, i, j] = max(ways)
+    return any(t[e].max() >= max(dc.RUN, 4 * e) for e in range(most + 1))
+
+
+def block_of(item):
+    block = dc.Items([(1, " ".join(item))])
+    block.choose_seeds(np.append(np.full(len(block.vocabulary), 5), 100_000))
+    return block
+
+
+def test_a_literal_run_leaks_whatever_stands_beside_it():
+    item = [f"i{k}" for k in range(120)]
+    fill = [f"f{k}" for k in range(400)]
+    every_second = [w if k % 2 else f"x{k}" for k, w in enumerate(item)]
+    alone = fill[:50] + item[:30] + fill[50:90]
+    looser = fill[:50] + item[:30] + every_second[30:60] + fill[50:90]
+    third = [w if k % 3 else f"x{k}" for k, w in enumerate(item[:70])]
+    elsewhere = fill[:50] + item[90:118] + fill[60:360] + third + fill[360:]
+    joined = third + item[90:118]
+    for text in (alone, looser, elsewhere, joined):
+        (leak,) = block_of(item).leaks(" ".join(text))
+        _, score, matched, identity, first, last, item_first, item_last = leak
+        assert matched >= dc.RUN and identity >= dc.RUN_IDENTITY and score < dc.SCORE
+        assert {text[first], text[last]} <= set(item) and text[first] == item[item_first] and text[last] == item[item_last]
+    assert block_of(item).leaks(" ".join(fill + item[:24] + fill + third[:40] + fill)) == []
+    found = dc.align(np.arange(120), np.array([int(w[1:]) if w[0] == "i" else -1 for w in looser]))
+    assert found[1] / found[2] < dc.RUN_IDENTITY and found[0] < dc.SCORE * dc.MATCH * 120
+
+
+def test_literal_runs_equal_a_search_without_bounds():
+    rng, seen = np.random.default_rng(5), [0, 0]
+    for _ in range(24):
+        item = rng.integers(0, 60, int(rng.integers(30, 60)))
+        passage = item.copy()
+        passage[rng.random(len(item)) < rng.uniform(0.1, 0.4)] = -1
+        passage = np.concatenate([rng.integers(-1, 60, 6), np.delete(passage, rng.integers(0, len(passage), 2)), rng.integers(-1, 60, 5)])
+        run = dc.literal_run(item, passage)
+        assert (run is not None) == has_run(item, passage)
+        if run:
+            score, matched, columns, first, last, item_first, item_last = run
+            assert textbook(item[item_first : item_last + 1], passage[first : last + 1]) >= score >= dc.RUN_SCORE and matched >= 0.8 * columns
+            assert item[item_first] == passage[first] and item[item_last] == passage[last]
+        seen[run is not None] += 1
+    assert min(seen) >= 3
+    far = np.concatenate([np.full(dc.PIECE - 20, -1), np.arange(40), np.full(3 * dc.PIECE, -1)])
+    assert dc.literal_run(np.arange(40), far)[1:5] == (40, 40, dc.PIECE - 20, dc.PIECE + 19)
+
+
+def test_find_and_drop_agree_on_runs(spark):
+    item = [f"i{k}" for k in range(120)]
+    text = [f"f{k}" for k in range(60)] + item[:30] + [w if k % 2 else f"x{k}" for k, w in enumerate(item)][30:60]
+    docs = samples.corpus(spark, [(1, " ".join(text)), (2, " ".join(text[:60]))] + [(k, " ".join(f"c{k}x{n}" for n in range(3000))) for k in range(3, 6)])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()] == [(1, 7)]
+    assert sorted(r.doc_id for r in dc.drop_leaks(docs, bench).collect()) == [2, 3, 4, 5]
