@@ -208,6 +208,17 @@ def stars(values: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
                 yield int(root.astype(np.int64)), x
 
 
+def meetings(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of hot values (``part``, ``key``, ``fp``), whether stored or probing, in every pair ``at`` of their value's blocks. The
+    blocks of a value are as many as its members ask for: far more may probe it than it stores."""
+    members = settle(members)
+    blocks = settle(members.groupBy("part", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")))
+    dealt = members.join(blocks, ["part", "key"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("nb")))
+    return dealt.select(
+        "part", "key", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("x"), F.greatest(x, F.col("mine")).alias("y")))).alias("at")
+    )
+
+
 def links(classes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``u``, ``v``: pairs of fingerprints with the same components as all pairs within ``distance``. Every row connects
     members of one component; outside hot values all pairs are there."""
@@ -220,13 +231,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: i
         cold[0].alias("a").join(cold[1].alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= distance))
         .select(a.alias("u"), b.alias("v"))
     )
-    # Members of a hot value, whether stored or probing, meet in every pair of its blocks.
-    members = full.join(probes.union(own).distinct(), ["part", "key"])
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks)
-    met = members.withColumn("nb", blocks).withColumn("mine", mine).select(
-        "part", "key", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("x"), F.greatest(x, F.col("mine")).alias("y")))).alias("at")
-    )
+    met = meetings(full.select("part", "key").join(probes.union(own).distinct(), ["part", "key"]), block)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(stars(rows["fp"].to_numpy(np.int64), distance)), columns=["u", "v"], dtype="int64")

@@ -155,3 +155,23 @@ def test_components_of_long_paths_and_stars(spark):
     edges = spark.createDataFrame(path + star + ring, "u long, v long")
     got = dict(components(edges).collect())
     assert got == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(200)} | {5000 + k: 5000 for k in range(31)}
+
+
+def test_a_small_hot_value_beside_a_huge_one_is_cut_by_all_its_members(spark, monkeypatch):
+    """With a threshold of 1 the classes of the huge value probe its neighbour, which stores hardly more than HOT."""
+    rng = random.Random(9)
+    groups = [list(range(16 * k, 16 * k + 16)) for k in range(4)]
+    plan = [(sh.signed(sh.mask_of(g)), sh.flips(g, t)) for g, t in zip(groups, (1, 0, 0, 0), strict=True)]
+    huge = {rng.getrandbits(48) for _ in range(3000)}
+    small = {(1 << 48) | rng.getrandbits(48) for _ in range(25)}
+    pair = (1 << 48) ^ min(huge)
+    classes = spark.createDataFrame([(sh.signed(p),) for p in huge | small | {pair}], "fp long")
+    seen, count = [], sh.meetings
+    monkeypatch.setattr(sh, "plan_groups", lambda *_: plan)
+    monkeypatch.setattr(sh, "meetings", lambda *a: seen.append(count(*a)) or seen[-1])
+    found = {(u % (1 << 64), v % (1 << 64)) for u, v in sh.links(classes, 4, 20, 100).collect()}
+    assert (min(huge), pair) in found or (pair, min(huge)) in found
+    sizes = seen[0].groupBy("part", "key", "at").count().collect()
+    neighbour = [r["count"] for r in sizes if r.part == 0 and r.key == 1 << 48]
+    # Two blocks of about 100 of the more than 3,000 members meet at a time; one group held them all.
+    assert len(neighbour) > 100 and max(r["count"] for r in sizes) < 300
