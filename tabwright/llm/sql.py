@@ -64,3 +64,18 @@ words AS (SELECT r, p, ws[p] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) +
 kept AS (SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM t LEFT JOIN kept USING (r)"""
+
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+use AS (SELECT q, w, count(*) AS c FROM (SELECT q, unnest(ws) AS w FROM i) GROUP BY q, w),
+size AS (SELECT count(*) AS n, sum(len(ws)) AS l FROM d WHERE len(ws) > 0),
+tf AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM use) GROUP BY r, w),
+weight AS (SELECT w, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS x FROM tf, size GROUP BY w),
+m AS (SELECT r, doc_id, (25 + (75 * len(ws) * n) // l)::BIGINT AS m FROM d, size WHERE len(ws) > 0),
+s AS (SELECT q, r, sum(c * x * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM use JOIN weight USING (w) JOIN tf USING (w) JOIN m USING (r) GROUP BY q, r),
+top AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM top JOIN i USING (q) WHERE rank <= 10"""
