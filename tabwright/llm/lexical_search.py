@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,10 @@ SPAN = 1024
 #: Queries that a task answers together: a power of two.
 QUERIES = 256
 TOP = 10
+#: Most partitions of a search.
+PARTITIONS = 20_000
+#: Uses of terms by queries (some 20 bytes each), up to which they are sent to the index and not the index to them.
+SENT = 1_000_000
 LAST_ID = (1 << 63) - 1
 
 _KEPT = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
@@ -290,11 +295,11 @@ def best(lists: list[tuple[int, Postings]], n_docs: int, k: int) -> tuple[np.nda
 def _rank(k: int, rows: pa.Table) -> pa.Table:
     """The best documents of one segment for each query of one block."""
     queries: dict[int, list[tuple[int, Postings]]] = {}
-    head = rows.filter(pa.compute.is_null(rows["term"]))
+    head = rows.filter(pc.is_null(rows["term"]))
     size, data = head["n"][0].as_py(), head["data"][0].as_py()
     ids, m = np.frombuffer(data, np.int64, size), np.frombuffer(data, np.int64, size, 8 * size)
     null = np.frombuffer(data, np.uint8, size, 16 * size).astype(bool)
-    for row in rows.filter(pa.compute.is_valid(rows["term"])).select(["n", "last", "at", "top", "data", "uses"]).to_batches():
+    for row in rows.filter(pc.is_valid(rows["term"])).select(["n", "last", "at", "top", "data", "uses"]).to_batches():
         for n, last, at, top, data, uses in zip(*(row.column(c) for c in range(6)), strict=True):
             last, at, top = (np.asarray(x.values) for x in (last, at, top))
             postings = Postings(n.as_py(), last, at, top, data.as_py(), m)
@@ -322,15 +327,17 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
 
     asked = settle(queries.select(F.monotonically_increasing_id().alias("query"), F.col(quoted(key)).cast("long").alias("item_id"), whole(F.col(quoted(text))).alias("text")))
     used = settle(asked.select("query", F.explode(words("text")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")))
-    df = index.lists.select("term", "n").join(used.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
+    send = F.broadcast if used.count() <= SENT else lambda df: df
+    df = index.lists.select("term", "n").join(send(used.select("term").distinct()), "term").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * index.n_docs + 2) / (2.0 * F.col("df") + 1))).cast("long")
     heavy = used.join(df.select("term", weight.alias("weight")).filter("weight > 0"), "term")
     use = F.struct("query", (F.col("times") * F.col("weight")).alias("weight"))
     uses = settle(heavy.groupBy("term", F.shiftright("query", QUERIES.bit_length() - 1).alias("block")).agg(F.collect_list(use).alias("uses")))
-    hits = index.lists.join(uses, "term")
-    met = index.lists.select("segment", "term").join(uses.select("term", "block"), "term").select("segment", "block").distinct()
+    hits = index.lists.join(send(uses), "term")
+    met = settle(index.lists.select("segment", "term").join(send(uses.select("term", "block")), "term").select("segment", "block").distinct())
     heads = index.lists.filter("term is null").join(met, "segment").withColumn("uses", F.lit(None).cast(uses.schema["uses"].dataType))
-    rows = hits.unionByName(heads)
+    # Groups are small but take long: as many partitions as groups, which adaptive execution leaves alone.
+    rows = hits.unionByName(heads).repartition(max(1, min(met.count(), PARTITIONS)), "segment", "block")
     ranked = rows.groupBy("segment", "block").applyInArrow(lambda t: _rank(k, t), "query long, score long, doc_id long")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     top = ranked.withColumn("rank", place).filter(F.col("rank") <= k)
