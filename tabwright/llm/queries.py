@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from tabwright.llm import byte_bpe, decontamination, html_text, lexical_search, license_scan, quality_rules, secret_scan, sharding, simhash, sql, substring_dedup, warc
+from tabwright.llm import byte_bpe, decontamination, html_text, lexical_search, license_scan, quality_rules, secret_scan, sharding, simhash, spelling, sql, substring_dedup, warc
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -76,3 +76,8 @@ def op8(spark, sf_dir):
 @query("op13_lexical_search", sql.OP13)
 def op13(spark, sf_dir):
     return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
