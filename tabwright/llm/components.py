@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.session import settle
+from tabwright.session import drop_path, fresh_path
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,27 +13,48 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first())
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """The smallest neighbour of each ``u``. Settled, so that the join with the edges can split a hot ``u``."""
-    return settle(edges.groupBy("u").agg(F.min("v").alias("m")))
+class _Tables:
+    """Tables in the shared folder, so that a lost executor costs one round at most. Unlike checkpoints they carry no sort orders
+    on from join to join, which would double with every round and planning with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, "stars")
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            drop_path(self.spark, self.paths.pop(id(df))[0])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``u``, ``root`` for every node of ``edges`` (``u``, ``v``; both long): ``root`` is the smallest node it reaches.
 
     Each round makes every node point nearer to its smallest neighbour; the number of rounds grows with the logarithm of the
-    longest path. Rounds end in the shared folder, so a lost executor costs one round at most. Nulls and loops are left out.
+    longest path. Smallest neighbours are written before they are joined with the edges, so that the join can split a hot
+    node. The tables of a round are deleted after the next. Nulls and loops are left out.
     """
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    now = settle(now)
+    tables = _Tables(edges.sparkSession)
+
+    def nearest(edges: DataFrame) -> DataFrame:
+        return tables.keep(edges.groupBy("u").agg(F.min("v").alias("m")))
+
+    now = tables.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = settle(large.distinct())
-        near = _nearest(large)
+        near = nearest(both)
+        large = tables.keep(both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        tables.drop(now, near)
+        near = nearest(large)
         small = large.join(near, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(small.union(near.select("u", F.col("m").alias("v"))).distinct())
+        now = tables.keep(small.union(near.select("u", F.col("m").alias("v"))).distinct())
+        tables.drop(large, near)
         before, state = state, _state(now)
         if state == before:
             break

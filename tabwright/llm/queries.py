@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from tabwright.llm import byte_bpe, decontamination, html_text, lexical_search, license_scan, quality_rules, secret_scan, sharding, simhash, spelling, sql, substring_dedup, warc
+from tabwright.llm import byte_bpe, decontamination, html_text, lexical_search, license_scan, minhash, quality_rules, secret_scan, sharding, simhash, spelling, sql, substring_dedup, warc
 from tabwright.llm.common import table
 from tabwright.llm.registry import ORACLE, QUERIES, query
 
@@ -81,3 +81,8 @@ def op13(spark, sf_dir):
 @query("op12_spelling_variants")
 def op12(spark, sf_dir):
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_minhash", sql.OP11)
+def op11(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)

@@ -79,3 +79,16 @@ m AS (SELECT r, doc_id, (25 + (75 * len(ws) * n) // l)::BIGINT AS m FROM d, size
 s AS (SELECT q, r, sum(c * x * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM use JOIN weight USING (w) JOIN tf USING (w) JOIN m USING (r) GROUP BY q, r),
 top AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN m USING (r) WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM top JOIN i USING (q) WHERE rank <= 10"""
+
+
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+link AS (SELECT u, v FROM common JOIN n x ON x.r = u JOIN n y ON y.r = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach(u, v) AS (SELECT u, v FROM edge UNION SELECT reach.u, edge.v FROM reach JOIN edge ON reach.v = edge.u),
+small AS (SELECT reach.u AS r, min(d.doc_id) AS m FROM reach JOIN d ON d.r = reach.v GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, m) AS component_id, doc_id = least(doc_id, m) AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN small USING (r)"""
