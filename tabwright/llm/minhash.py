@@ -7,8 +7,9 @@ signatures (:func:`least_matches`). Every link is confirmed on the full sets.
 
 Only components are wanted, so no bucket gives all its pairs. First each member is held against its bucket's smallest member, and components are
 found. A bucket whose members all lie in one component is settled: nothing in it can change the result. In the others the pairs
-of *different* components follow; a bucket of more than ``HOT`` members is dealt in blocks, and each two blocks meet in a task that
-confirms links on the sets themselves and merges what it has linked, so it gives back fewer links than it has members.
+of *different* components follow. Members of buckets of more than ``HOT`` form crowds, as the copies of one text meet in many bands. A crowd
+has one main component; its blocks meet blocks of the other members, and those meet each other, in tasks that confirm links on the
+sets themselves and merge what they have linked. So a task gives back fewer links than it has members.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; each is its own component. A null id takes no part in the
 choice of the smallest; a component of null ids alone has a null id, and its rows count as kept. Rows that repeat an id and a text are
@@ -176,7 +177,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _merge(percent: int, least: int, rows: int, table: pa.Table) -> pa.Table:
     """Links between different components of two blocks (or within one), as many as are needed to connect what is linked."""
     node, root, mine = (table[c].to_numpy() for c in ("node", "root", "mine"))
-    cross = table["x"][0].as_py() != table["y"][0].as_py()
+    cross = table["cross"][0].as_py()
     sigs = np.array(table["sig"].to_pylist(), np.int64)
     sets = [np.asarray(x.values) for x in table["members"]]
     size = np.array(list(map(len, sets)))
@@ -199,6 +200,32 @@ def _merge(percent: int, least: int, rows: int, table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([min(p) for p in out], pa.int64()), "v": pa.array([max(p) for p in out], pa.int64())})
 
 
+def crowds(many: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """``node``, ``root``, ``crowd``, ``x``, ``y``, ``mine``, ``cross``: members of large buckets (``band``, ``bucket``, ``node``, ``root``) in
+    the tasks where they meet those of other components. Buckets that share a member are one crowd. Its main component is in blocks
+    0, 1, ..., the others in -1, -2, ...; blocks of the main one needn't meet each other."""
+    at = ["band", "bucket"]
+    first = settle(many.groupBy(*at).agg(F.min("node").alias("first")))
+    crowd = components(many.join(first, at).select(F.col("first").alias("u"), F.col("node").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("crowd"))
+    size = sets.select("node", F.size("members").cast("long").alias("z"))
+    members = settle(many.select("node", "root").distinct().join(crowd, "node").join(size, "node"))
+    parts = members.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("z"))
+    main = settle(parts.groupBy("crowd").agg(F.sum("n").alias("n"), F.sum("z").alias("z"), F.max(F.struct("n", (-F.col("root")).alias("r"), "z")).alias("o")))
+
+    def blocks(n: Column, z: Column) -> Column:
+        return F.greatest(F.ceil(n / block), F.ceil(z / BLOCK_SHINGLES)).cast("int")
+
+    main = main.select("crowd", (-F.col("o.r")).alias("main"), blocks(F.col("o.n"), F.col("o.z")).alias("nm"), blocks(F.col("n") - F.col("o.n"), F.col("z") - F.col("o.z")).alias("no"))
+    here = members.join(main, "crowd").withColumn("h", F.xxhash64("node"))
+    central = here.filter("root = main").withColumn("mine", F.pmod("h", "nm").cast("int"))
+    central = central.select("node", "root", "crowd", F.col("mine").alias("x"), F.explode(F.sequence(F.lit(-1), -F.col("no"))).alias("y"), "mine")
+    others = here.filter("root <> main").withColumn("mine", (-1 - F.pmod("h", "no")).cast("int"))
+    partner = F.explode(F.concat(F.sequence(F.lit(0), F.col("nm") - 1), F.sequence(F.lit(-1), -F.col("no"))))
+    others = others.withColumn("o", partner).select("node", "root", "crowd", F.greatest("mine", "o").alias("x"), F.least("mine", "o").alias("y"), "mine")
+    # A block that meets itself is compared within, others only across.
+    return central.union(others).withColumn("cross", F.col("x") != F.col("y"))
+
+
 def links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``u``, ``v``: confirmed links with the same components as all pairs of similar classes."""
     _, rows = layout(percent)
@@ -218,16 +245,12 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT
     a, b = left.filter(F.col("c") <= hot).alias("a"), left.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")))
     few = alike(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(near, ["u", "v"], "left_anti"), classes, least, rows)
-    many = left.filter(F.col("c") > hot)
+    many = settle(left.filter(F.col("c") > hot))
     more = sets_of(few.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct(), classes, docs, size)
-    found = found.union(confirm(few, more, percent))
-    # Blocks of a bucket are as many as its members and their shingles ask for.
-    count = settle(many.join(more.select("node", F.size("members").cast("long").alias("z")), "node").groupBy(*at).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("z") / BLOCK_SHINGLES)).cast("int").alias("nb")))
-    dealt = many.join(count, at).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("node", "root", *at, "mine", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"))
+    dealt = crowds(many, more, block)
     loaded = dealt.join(more, "node").join(classes.select("node", "sig"), "node")
-    merged = loaded.groupBy(*at, "x", "y").applyInArrow(lambda t: _merge(percent, least, rows, t), "u long, v long")
-    return settle(found.union(merged).distinct())
+    merged = loaded.groupBy("crowd", "x", "y").applyInArrow(lambda t: _merge(percent, least, rows, t), "u long, v long")
+    return settle(found.union(confirm(few, more, percent)).union(merged).distinct())
 
 
 # ---- the operator -------------------------------------------------------------------------------------------------------------
