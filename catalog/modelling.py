@@ -135,7 +135,7 @@ def _classifier_query(query_name, names):
 
 _regressor_query("L5_random_forest_regressor", "Random Forest")
 _regressor_query("L6_gbt_regressor", "Gradient Boosting")
-_regressor_query("L7_svr_rbf", "SVR (SVM)", "mean")
+_regressor_query("L7_svr_rbf", "SVR (SVM)")
 _regressor_query("L9_mlp_regressor", "Neural Network")
 
 CLASSES = LINES + """, labelled AS (SELECT l_orderkey, n_lines, quantity, discount,

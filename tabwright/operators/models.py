@@ -26,7 +26,7 @@ from ..functions.hashing import hash_uniform
 from ..plans.ranks import number_rows
 from ..plans.scalars import col, shared
 from .neighbors import knn_classifier
-from .networks import fit_network, fourier_map, fourier_weights
+from .networks import find_landmarks, fit_network
 from .impute import impute_features_mean
 from .prep import (
     binarize_by_median, bootstrap_augment, drop_duplicate_rows, interaction_features, polynomial_features, prepare_xy, remove_outliers,
@@ -129,20 +129,20 @@ def _expansion(df: DataFrame, features_col: str, made: str, degree: int) -> Call
 
 def train_svr(
     df, features_col="features", label_col="label", prediction_col="prediction", cost: float = 100.0, epsilon: float = 0.1,
-    kernel: str = "rbf", components: int = 256, degree: int = 3, max_iter: int = 500,
+    kernel: str = "rbf", landmarks: int = 1024, degree: int = 3, max_iter: int | None = None,
 ):
-    """Support vector regression on scaled features.
+    """Support vector regression on scaled features, iterated until it gains no more.
 
-    ``rbf`` uses random Fourier features, ``poly`` the explicit expansion, ``linear`` the inputs.
+    ``rbf`` uses Nyström features of up to ``landmarks`` rows, ``poly`` the explicit expansion, ``linear`` the inputs.
     """
     _check_kernel(kernel)
-    fourier, step, inputs_col, made = None, None, features_col, f"_kernel_{prediction_col}"
+    found, step, inputs_col, made = None, None, features_col, f"_kernel_{prediction_col}"
     if kernel == "rbf":
-        fourier = fourier_weights(*rbf_gamma(df, features_col), components, SEED)
+        found = find_landmarks(df, features_col, rbf_gamma(df, features_col)[1], most=landmarks)
     elif kernel == "poly":
         step, inputs_col = _expansion(df, features_col, made, degree), made
     model = fit_network(
-        step(df) if step else df, inputs_col, label_col, [], max_iter=max_iter, rate=0.01, epsilon=epsilon, cost=cost, fourier=fourier,
+        step(df) if step else df, inputs_col, label_col, [], max_iter=max_iter, epsilon=epsilon, cost=cost, kernel=found,
         prediction_col=prediction_col,
     )
     return Chain(step, model, made) if step else model
@@ -191,21 +191,21 @@ def train_naive_bayes(df, features_col="features", label_col="label", prediction
 
 def train_svm_classifier(
     df, features_col="features", label_col="label", prediction_col="prediction", cost: float = 100.0, kernel: str = "rbf",
-    components: int = 256, degree: int = 3, max_iter: int = 10_000, tol: float = 1e-3,
+    landmarks: int = 1024, degree: int = 3, max_iter: int = 10_000, tol: float = 1e-3,
 ):
     """Support vector classification on scaled features, iterated to the tolerance ``tol``.
 
-    ``rbf`` uses random Fourier features, ``poly`` the explicit expansion, ``linear`` the inputs.
+    ``rbf`` uses Nyström features of up to ``landmarks`` rows, ``poly`` the explicit expansion, ``linear`` the inputs.
     """
     _check_kernel(kernel)
     made = f"_kernel_{prediction_col}"
     if kernel == "rbf":
-        fourier = fourier_weights(*rbf_gamma(df, features_col), components, SEED)
+        found = find_landmarks(df, features_col, rbf_gamma(df, features_col)[1], most=landmarks)
 
         @F.pandas_udf("array<double>")
         def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for x in batches:
-                yield pd.Series(list(fourier_map(np.stack(x.to_numpy()), *fourier)))
+                yield pd.Series(list(found.features(np.stack(x.to_numpy()))))
 
         def step(d: DataFrame) -> DataFrame:
             return d.withColumn(made, array_to_vector(mapped(vector_to_array(col(features_col)))))

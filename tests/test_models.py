@@ -165,7 +165,7 @@ def test_svm_separates(spark, kernel):
     x = rng.normal(0, 1, (500, 2))
     y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float)
     df = models.assemble(spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, label double"), ["a", "b"])
-    model = models.train_svm_classifier(df.coalesce(1), kernel=kernel, components=64, max_iter=12)
+    model = models.train_svm_classifier(df.coalesce(1), kernel=kernel, landmarks=64, max_iter=12)
     assert one(models.classification_metrics(model.transform(df)))["accuracy"] > 0.93
 
 
