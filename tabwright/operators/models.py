@@ -7,7 +7,10 @@ ridge |y-Xw|² + α|w|², lasso and elastic net |y-Xw|²/2n + α(r|w|₁ + (1-r)
 
 from __future__ import annotations
 
+import itertools
+import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
 
@@ -26,6 +29,7 @@ from ..functions.hashing import hash_uniform
 from ..plans.ranks import number_rows
 from ..plans.scalars import col, shared
 from .neighbors import knn_classifier
+from .moments import Moments, moments_by
 from .networks import find_landmarks, fit_network
 from .impute import impute_features_mean
 from .prep import (
@@ -430,8 +434,33 @@ def with_fold(df: DataFrame, key: str, folds: int = 5, label_col: str | None = N
     return number_rows(df, key, [label_col], seed).withColumn("fold", F.pmod(F.col("_row"), F.lit(folds)).cast("int")).drop("_row", "_rows")
 
 
+#: The linear regressors: weights of a model from the moments of its training rows.
+FROM_MOMENTS: dict[str, Callable[..., np.ndarray]] = {
+    "Linear Regression": lambda m: m.ridge(0.0),
+    "Ridge Regression": lambda m, alpha=1.0: m.ridge(alpha),
+    "Lasso Regression": lambda m, alpha=0.1: m.elastic_net(alpha, 1.0),
+    "Elastic Net": lambda m, alpha=0.1, l1_ratio=0.5: m.elastic_net(alpha, l1_ratio),
+}
+
+
+def fold_scores(parts: dict[int, Moments], name: str, folds: int, params: dict | None = None) -> list[tuple[int, float | None]]:
+    """(fold, R²) of a linear model, trained on the other folds, from the moments of the folds alone."""
+    empty = Moments(0, np.empty(0), np.empty((0, 0)))
+    out = []
+    for i in range(folds):
+        train = reduce(Moments.merge, (m for k, m in sorted(parts.items()) if k != i), empty)
+        test = parts.get(i, empty)
+        out.append((i, test.r2(FROM_MOMENTS[name](train, **(params or {}))) if train.n and test.n else None))
+    return out
+
+
 def cross_validate(df: DataFrame, key: str, name: str, problem: str = "Regression", folds: int = 5, params: dict | None = None, label_col: str = "label") -> DataFrame:
-    """(fold, score): R² or accuracy on each held-out fold; classes keep their shares."""
+    """(fold, score): R² or accuracy on each held-out fold; classes keep their shares. Linear regressors take one scan for all folds."""
+    if problem == "Regression" and name in FROM_MOMENTS:
+        parts = moments_by(with_fold(df, key, folds), "features", label_col, "fold")
+        return df.sparkSession.createDataFrame(fold_scores(parts, name, folds, params), "fold int, score double")
+    if name == "KNN":
+        params = {"key": key} | (params or {})
     metric = "r2" if problem == "Regression" else "accuracy"
     with shared(with_fold(df, key, folds, label_col if problem == "Classification" else None)) as folded:
         parts = []
@@ -449,6 +478,68 @@ def cv_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
 
 
+def _summary(scores: list[float | None]) -> tuple[float | None, float | None]:
+    known = [s for s in scores if s is not None]
+    return (float(np.mean(known)), float(np.std(known))) if known else (None, None)
+
+
+#: Of the settings of a rung one in so many goes on to the next, which trains on so many times the rows.
+HALVING = 3
+
+
+def search(
+    df: DataFrame, key: str, name: str, grid: dict[str, list], problem: str = "Regression", folds: int = 5, label_col: str = "label",
+    at_once: int = 4, rungs: int | None = None,
+) -> DataFrame:
+    """(setting, params, rung, mean, std, place): the cross-validated score of every combination of the values in ``grid``.
+
+    All settings share the folds. Linear regressors take one scan for all of them. Other models run by successive halving, ``at_once``
+    settings at a time: each rung trains on ``HALVING`` times the rows of the one before, a nested share by hash, and keeps the
+    best; the last rung sees all rows. ``rungs=1`` tries every setting on all rows. ``place`` ranks later rungs first, then the score.
+    """
+    settings = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    for params in settings:
+        check_params(name, params)
+    found: dict[int, tuple[int, float | None, float | None]] = {}
+    if problem == "Regression" and name in FROM_MOMENTS:
+        parts = moments_by(with_fold(df, key, folds), "features", label_col, "fold")
+        found = {i: (0, *_summary([s for _, s in fold_scores(parts, name, folds, p)])) for i, p in enumerate(settings)}
+    else:
+        count = rungs or max(1, int(np.floor(np.log(max(len(settings), 1)) / np.log(HALVING))) + 1)
+        left = list(range(len(settings)))
+        with shared(df) as rows, ThreadPoolExecutor(at_once) as pool:
+            for rung in range(count):
+                share = float(HALVING) ** (rung + 1 - count)
+                some = rows if rung == count - 1 else rows.where(hash_uniform(col(key), SEED + 1) < share)
+
+                def score(i: int, some=some) -> list[float | None]:
+                    return [r.score for r in cross_validate(some, key, name, problem, folds, settings[i], label_col).collect()]
+
+                for i, scores in zip(left, pool.map(score, left), strict=True):
+                    found[i] = (rung, *_summary(scores))
+                ranked = sorted(left, key=lambda i: (found[i][1] is None, -(found[i][1] or 0.0), i))
+                left = ranked[: max(1, len(ranked) // HALVING)] if rung < count - 1 else ranked
+    order = sorted(found, key=lambda i: (-found[i][0], found[i][1] is None, -(found[i][1] or 0.0), i))
+    out = [(i, json.dumps(settings[i]), found[i][0], found[i][1], found[i][2], order.index(i) + 1) for i in sorted(found)]
+    return df.sparkSession.createDataFrame(out, "setting int, params string, rung int, mean double, std double, place int")
+
+
+def search_and_compare(
+    train: DataFrame, test: DataFrame, key: str, grids: dict[str, dict[str, list]], problem: str = "Regression", folds: int = 5, names: list[str] | None = None,
+) -> DataFrame:
+    """(position, model, status, metrics…, params): all models on the test rows, those in ``grids`` with the best setting that
+    cross-validation on the training rows finds, the others as they are."""
+    every = names or list(grids)
+    best = {}
+    for name, grid in grids.items():
+        # One row for each setting.
+        best[name] = json.loads(search(train, key, name, grid, problem, folds).where("place = 1").first().params)
+    default = compare_models(train, test, every, problem, {"KNN": {"key": key}})
+    tuned = compare_models(train, test, list(grids), problem, {n: ({"key": key} if n == "KNN" else {}) | p for n, p in best.items()})
+    chosen = F.create_map(*[F.lit(x) for n in best for x in (n, json.dumps(best[n]))])
+    return merge_tuned(default, tuned).withColumn("params", chosen[F.col("model")])
+
+
 def _ensemble(train: DataFrame, names: list[str], problem: str, params: dict | None) -> dict[str, Any]:
     with shared(train) as rows:
         return train_models(rows, names, problem, params)
