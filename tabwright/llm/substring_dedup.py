@@ -11,8 +11,10 @@ comparison is a smallest place per hash and a join of the places with it.
 
 Windows are equal if a 64-bit hash of the half window and a 64-bit hash of the whole agree, 128 bits together.
 
-Defined results: a null or empty text has no words. A null id counts as greater than any other. Rows that repeat an id
-and a text have the same places, so neither covers the other; texts that share an id are told apart by a hash.
+Defined results: a null or empty text has no words. A null id counts as greater than any other. Places are (id, start): texts that share
+an id are ranked by start alone, and windows that stand at the same place of theirs cover neither of them. Rows that repeat an id and a
+text have one answer. Rows are told apart by their id and 64 bits of their text, so that a mix-up needs two texts of one id, or of
+none, with equal hashes: one chance in three billion among 100,000 rows without an id.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def _seeds(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _runs(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``m``, ``r``, ``id``, ``tag``, ``a``, ``more`` of every run."""
-    schema = {"m": pa.int64(), "r": pa.int64(), "id": pa.int64(), "tag": pa.int32(), "a": pa.int32(), "more": pa.int32()}
+    schema = {"m": pa.int64(), "r": pa.int64(), "id": pa.int64(), "tag": pa.int64(), "a": pa.int32(), "more": pa.int32()}
     for batch in batches:
         parts = []
         for i, tag, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -102,7 +104,7 @@ def _runs(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``m``, ``w``, ``id``, ``tag``, ``a`` of every window of the runs that start at the places in ``firsts``."""
-    schema = {"m": pa.int64(), "w": pa.int64(), "id": pa.int64(), "tag": pa.int32(), "a": pa.int32()}
+    schema = {"m": pa.int64(), "w": pa.int64(), "id": pa.int64(), "tag": pa.int64(), "a": pa.int32()}
     for batch in batches:
         parts = []
         for i, tag, t, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -149,8 +151,8 @@ def release(spark: SparkSession) -> None:
 
 
 def later(places: DataFrame, *same: str) -> DataFrame:
-    """Of the places (``id``, ``a``, ``tag``) that agree in ``same`` all but the first. A hot value is met as one row."""
-    place = F.struct("id", "a", "tag")
+    """Of the places (``id``, ``a``) that agree in ``same`` all but the first. A hot value is met as one row."""
+    place = F.struct("id", "a")
     firsts = settle(places.groupBy(*same).agg(F.min(place).alias("first")))
     return places.join(firsts, list(same)).filter(place != F.col("first"))
 
@@ -159,21 +161,21 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     """Level one: the runs whose half window stands for two runs or more, anywhere."""
     halves = docs.select("text").mapInArrow(partial(_seeds, window), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
     repeated = settle(halves.filter("n > 1").select("m"))
-    places = docs.select("id", "tag", "text").mapInArrow(partial(_runs, window), "m long, r long, id long, tag int, a int, more int")
+    places = docs.select("id", "tag", "text").mapInArrow(partial(_runs, window), "m long, r long, id long, tag long, a int, more int")
     return settle(places.join(repeated, "m"))
 
 
 def first_runs(found: DataFrame) -> DataFrame:
     """Level two, runs as wholes: the first place of each kind."""
-    return settle(found.groupBy("m", "r").agg(F.min(F.struct("id", "a", "tag")).alias("first")))
+    return settle(found.groupBy("m", "r").agg(F.min(F.struct("id", "a")).alias("first")))
 
 
-def edge_windows(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
-    """Level two, window by window: the windows of first runs whose half window has runs of several kinds."""
+def edge_windows(docs: DataFrame, firsts: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
+    """Level two, window by window: the windows of first runs (``m``, ``id``, ``tag``, ``a``) whose half window has runs of several kinds."""
     mixed = settle(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"))
-    edges = settle(kinds.join(mixed, "m").select("first.*").groupBy("id", "tag").agg(F.collect_set("a").alias("firsts")))
+    edges = settle(firsts.join(mixed, "m").groupBy("id", "tag").agg(F.collect_set("a").alias("firsts")))
     texts = docs.join(edges, ["id", "tag"]).select("id", "tag", "text", "firsts")
-    return settle(texts.mapInArrow(partial(_windows, window), "m long, w long, id long, tag int, a int"))
+    return settle(texts.mapInArrow(partial(_windows, window), "m long, w long, id long, tag long, a int"))
 
 
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -184,16 +186,17 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = repeated_runs(docs, window)
     release(spark)
     kinds = first_runs(found)
-    runs_again = found.join(kinds, ["m", "r"]).filter(F.struct("id", "a", "tag") != F.col("first"))
-    ranges = settle(runs_again.select("id", "tag", "a", (F.col("a") + F.col("more") + window).alias("b")))
-    del found, runs_again
-    singles = edge_windows(docs, kinds, window)
-    del kinds
+    placed = found.join(kinds, ["m", "r"]).withColumn("again", F.struct("id", "a") != F.col("first"))
+    placed = settle(placed.select("m", "id", "tag", "a", "more", "again"))
+    ranges = placed.filter("again").select("id", "tag", "a", (F.col("a") + F.col("more") + window).alias("b"))
+    # Texts that share an id can hold a run at the same place: all of them are first.
+    singles = edge_windows(docs, placed.filter("not again"), kinds, window)
+    del found, kinds
     release(spark)
     ranges = ranges.union(later(singles, "m", "w").select("id", "tag", "a", (F.col("a") + window).alias("b")))
-    out = ranges.groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+    out = ranges.groupBy("id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("x"))
     out = settle(out.select("id", "tag", F.col("x.a").alias("starts"), F.col("x.b").alias("ends")))
-    del ranges, singles
+    del ranges, singles, placed
     release(spark)
     return out
 
@@ -202,7 +205,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """``doc_id``, ``n_words``, ``n_removed``, ``kept``: the text without the words that earlier windows cover."""
     t = whole(F.col(quoted(text)))
     own = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), t.alias("text"))
-    own = own.withColumns({"id": F.coalesce("doc_id", F.lit(LAST_ID)), "tag": F.hash("text")})
+    own = own.withColumns({"id": F.coalesce("doc_id", F.lit(LAST_ID)), "tag": F.xxhash64("text")})
     cut = covered(own, window)
     rows = own.join(cut, ["id", "tag"], "left").select("doc_id", "text", "starts", "ends")
     return rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
