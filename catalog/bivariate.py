@@ -114,6 +114,16 @@ def _j1(spark, sf):
     return _cluster_facts(CLUSTERED, _clustered(spark, sf)).drop("inertia_agrees")
 
 
+@query("J1_kmeans_labels", "SELECT o_orderkey, (o_custkey % 3)::INT AS cluster FROM orders")
+def _j1_labels(spark, sf):
+    """A label for every order, where three groups lie far apart: k-means finds them, numbered by their place on the line."""
+    far = F.col("o_custkey") % 3 * 100 + F.col("o_totalprice") / 1e6
+    result = kmeans(table(spark, sf, "orders").select("o_orderkey", far.alias("x"), (F.col("o_custkey") % 3 * 50 + F.col("o_orderkey") % 10 / 10).alias("y")), ["x", "y"], k=3)
+    order = sorted(range(3), key=lambda k: result.model.clusterCenters()[k][0])
+    place = F.array(*[F.lit(order.index(k)) for k in range(3)])
+    return result.labelled.select("o_orderkey", place[F.col("cluster")].alias("cluster"))
+
+
 @query(
     "J1_kmeans_inputs",
     cte("outlier_orders")

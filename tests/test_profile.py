@@ -133,3 +133,11 @@ def test_proportional_fill(spark):
     assert same.exceptAll(filled).count() == 0
     empty = df.withColumn("c", F.lit(None).cast("string"))
     assert impute.impute_proportional(empty, "c", "id").where("c is null").count() == 6000
+
+
+def test_duplicates_by_digest(spark):
+    """Only digests are compared: nulls have places, empty texts are no nulls, and zero has one sign."""
+    rows = [(None, 1.0, "a"), (None, 1.0, "a"), (1, None, "a"), (None, None, ""), (None, None, None), (None, None, None), (3, 0.0, "b"), (3, -0.0, "b"), (4, float("nan"), "c"), (4, float("nan"), "c")]
+    df = spark.createDataFrame(rows, "x int, y double, z string")
+    assert one(quality.duplicate_count(df))["duplicate_rows"] == 4
+    assert "_h0" in quality.duplicate_count(df)._jdf.queryExecution().toString()

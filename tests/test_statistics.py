@@ -162,3 +162,27 @@ def test_kmeans_separates_blobs(spark):
     assert one(cluster.kmeans_summary(result))["samples"] == 180
     with pytest.raises(ValueError):
         cluster.kmeans(df, ["a", "b"], 11)
+
+
+def test_kmeans_starts_advance_together(spark):
+    """Every start is Lloyd's algorithm from its own centres; the best one is kept, whatever the partitioning."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 2)) + rng.integers(0, 4, (400, 1)) * [4, -3]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double")
+    result = cluster.kmeans(df.repartition(5), ["a", "b"], 4, n_init=6)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    points = np.array(result.model.clusterCenters())
+    far = ((z[:, None] - points[None]) ** 2).sum(axis=2)
+    labels = {r.i: r.cluster for r in result.labelled.collect()}
+    assert [labels[i] for i in range(400)] == far.argmin(axis=1).tolist()
+    assert result.inertia == pytest.approx(far.min(axis=1).sum()) and result.inertia == min(result.costs) and len(result.costs) == 6
+    again = cluster.kmeans(df.repartition(2), ["a", "b"], 4, n_init=6)
+    assert again.inertia == pytest.approx(result.inertia, rel=1e-9) and again.iterations == result.iterations
+    # A centre is the mean of its rows, but for the last small step.
+    assert all(np.abs(z[far.argmin(axis=1) == k].mean(axis=0) - p).max() < 0.02 for k, p in enumerate(points))
+
+
+def test_kmeans_of_one_point(spark):
+    df = spark.createDataFrame([(1.0, 2.0)] * 5, "a double, b double")
+    result = cluster.kmeans(df, ["a", "b"], 2, n_init=2)
+    assert result.inertia == 0 and result.labelled.select("cluster").distinct().count() == 1
