@@ -2,7 +2,7 @@
 
 A page becomes a list of blocks: the text between two block-level tags. Pass one decides what it can: blocks in menus, headers,
 footers, sidebars, notices, adverts, forms and comments, and blocks that are mostly links, are boilerplate; long blocks with enough
-stop words are text. Pass two gives every other block the label of its nearest decided neighbours. Inside an article a block is
+stop words, or in a script without spaces, are text. A class or id names boilerplate by its last part. Pass two gives every other block the label of its nearest decided neighbours. Inside an article a block is
 boilerplate only if both neighbours in its section are. Elsewhere the nearer one counts, first in the block's section of the page,
 then on the whole page; at equal distance a heading looks ahead, and others are boilerplate. What markup alone decides has no say there.
 
@@ -58,6 +58,20 @@ HINTS = frozenset(
     discussion pagination pager search form copyright legal disclaimer skip contentinfo tags tagcloud hidden
     """.split()
 )
+#: A class whose name begins so tells something of its element and doesn't name it: has-sidebar, no-comments.
+ABOUT = frozenset("has no not is are with without hide hides show shows can js".split())
+#: Last parts of class names that say what shape a thing has, not what it is: ad-box, comment-list, related-posts.
+SHAPES = frozenset(
+    """
+    area article articles bar block body box card cell column container content group holder inner item items layer link links list outer panel post posts
+    region row section slot stories story unit view wrap wrapper zone
+    """.split()
+)
+#: Scripts without spaces, in which sentences have no stop words between spaces, and their punctuation.
+_SPACELESS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+_SENTENCE = re.compile(r"[。、，！？；]")
+#: Characters from which a block in such a script is text by itself, with and without punctuation.
+DENSE, DENSE_PLAIN = 30, 70
 #: Elements whose content is never shown. The first ones hold raw text: without an end they reach to the end of the page.
 RAW = frozenset("script style textarea title iframe noscript".split())
 UNSEEN = RAW | frozenset("template svg math object select button canvas audio video map".split())
@@ -98,13 +112,23 @@ def hinted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & HINTS or ("header" in words and not in_article and "article" not in words):
-                return True
+        if name in ("class", "id", "role") and any(names_boilerplate(x, in_article) for x in value.split()):
+            return True
     return False
 
 
+def names_boilerplate(name: str, in_article: bool) -> bool:
+    """Whether a class name or id names boilerplate: by its last part, apart from shapes and numbers, of a name that isn't about
+    something else."""
+    parts = [w.lower() for w in _WORDS.findall(name)]
+    if not parts or parts[0] in ABOUT:
+        return False
+    kept = list(parts)
+    while len(kept) > 1 and kept[-1] in SHAPES:
+        kept.pop()
+    return kept[-1] in HINTS or (kept[-1] == "header" and not in_article and "article" not in parts)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, not yet labelled."""
     out: list[Block] = []
@@ -180,6 +204,8 @@ def decide(block: Block) -> bool | None:
         return False
     if len(block.text) >= LONG and block.stop_share >= STOPS:
         return True
+    if len(block.text) >= DENSE and 2 * len(_SPACELESS.findall(block.text)) > len(block.text) and (len(block.text) >= DENSE_PLAIN or _SENTENCE.search(block.text)):
+        return True
     return None
 
 

@@ -60,3 +60,20 @@ def test_spark(spark):
     blocks = ht.label_blocks(pages).filter("page_id = 1").collect()
     assert len(blocks) == 2 * len(ht.blocks_of(PAGE)) and {b.is_text for b in blocks} == {True, False}
     assert ht.extract(pages.limit(0)).count() == 0 and ht.label_blocks(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["entry has-sidebar", "post no-comments", "content share-ready", "withSidebar", "is-menu-open", "adaptive", "formatted", "header-image-post article"])
+def test_classes_that_only_mention_boilerplate(name):
+    assert ht.main_text(f'<body><div class="{name}"><p>{GOOD}</p></div></body>') == GOOD
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "post-comments", "commentList", "ad-box", "ad_slot_2", "related-posts", "site-header", "nav-links", "entry sidebar"])
+def test_classes_that_name_boilerplate(name):
+    assert ht.main_text(f'<body><div class="{name}"><p>{BAD}</p></div><div><p>{GOOD}</p></div></body>') == GOOD
+
+
+def test_scripts_without_spaces():
+    menu = "".join(f'<li><a href="/{k}">項目{k}番</a></li>' for k in range(8))
+    first = "これは記事の最初の段落で、空白のない文章がどのように扱われるかを確かめるためのものです。"
+    page = f"<body><div><ul>{menu}</ul></div><div><h1>見出し</h1><p>{first}</p><p>短い。</p><p>{first}</p></div><div><ul>{menu}</ul></div></body>"
+    assert ht.main_text(page) == f"見出し\n{first}\n短い。\n{first}"
