@@ -15,6 +15,7 @@ whose HTTP headers don't end has an empty payload; one that isn't HTML is conver
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import json
@@ -61,13 +62,17 @@ def header_lines(fields: list[tuple[str, str]]) -> str:
     return "\r\n".join(f"{k}: {' '.join(v.split())}" for k, v in fields)
 
 
+def header_list(lines: str) -> list[list[str]]:
+    """Name and value of every field as they stand, in order and with repeats; folded lines go on."""
+    fields = (line.partition(":") for line in re.sub(r"\r?\n[ \t]+", " ", lines).split("\n"))
+    return [[name.strip(), value.strip()] for name, colon, value in fields if colon]
+
+
 def header_fields(lines: str) -> dict[str, str]:
-    """Fields by lower-case name; of repeated fields the first counts, and folded lines go on."""
+    """Fields to look up by lower-case name; of repeated ones the first."""
     out: dict[str, str] = {}
-    for line in re.sub(r"\r?\n[ \t]+", " ", lines).splitlines():
-        name, colon, value = line.partition(":")
-        if colon:
-            out.setdefault(name.strip().lower(), value.strip())
+    for name, value in header_list(lines):
+        out.setdefault(name.lower(), value)
     return out
 
 
@@ -78,7 +83,9 @@ def title_of(page: str) -> str:
 
 def links_of(page: str, base: str) -> list[dict[str, str]]:
     out = []
-    for tag, attributes in _LINK.findall(_UNSEEN.sub(" ", page)):
+    # Comments go, and what a script or style holds; its own tag stays.
+    seen = _UNSEEN.sub(lambda m: m[0][: m[0].find(">") + 1] if m[1] else " ", page)
+    for tag, attributes in _LINK.findall(seen):
         for name, a, b, c in _TARGET.findall(attributes):
             target = html.unescape(a or b or c).strip()
             try:
@@ -128,7 +135,7 @@ def derive_one(response: dict[str, str]) -> list[dict[str, str]]:
     lang = root and _LANG.search(root[1])
     digests = {k: fields[k] for k in ("warc-payload-digest", "warc-block-digest") if k in fields}
     envelope = {
-        "source": {"warc-headers": fields, "http-status": status, "http-headers": http_fields, "digests": digests, "payload-verified": fields.get("warc-payload-digest") == sha1(payload.encode("utf-8", "surrogatepass"))},
+        "source": {"warc-headers": header_list(response["headers"]), "http-status": status, "http-headers": header_list(lines), "digests": digests, "payload-verified": fields.get("warc-payload-digest") == sha1(payload.encode("utf-8", "surrogatepass"))},
         "html": {"title": title_of(page), "lang": lang[1].lower() if lang else "", "links": links_of(page, target)},
     }
     linked = [("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)]
@@ -209,14 +216,14 @@ def write_archive(records: DataFrame, path: str, compression: str = "gzip") -> N
 
 
 def read_archive(spark, path: str) -> DataFrame:
-    """Records from files that :func:`write_archive` wrote without compression. A file is read whole: files are as large as the
-    tasks that wrote them."""
+    """Records from files that :func:`write_archive` wrote, compressed or not; one or many compressed members make no difference. A file
+    is read whole: files are as large as the tasks that wrote them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _columns()
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                found = list(parse(data))
+                found = list(parse(gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data))
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], pa.string()) for n in names], names=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)

@@ -27,8 +27,8 @@ def test_response_and_its_derivatives():
         assert own["warc-target-uri"] == "http://a.example/b/" and own["warc-date"] == "2020-01-02T03:04:05Z" and own["warc-refers-to"] == response["record_id"]
         assert own["warc-source-payload-digest"] == digest(PAGE) and own["warc-block-digest"] == digest(record["block"]) and int(own["content-length"]) == len(record["block"].encode())
     found = json.loads(meta["block"])
-    assert found["source"]["warc-headers"] == fields and found["source"]["http-status"] == "HTTP/1.1 200 OK" and found["source"]["payload-verified"]
-    assert found["source"]["http-headers"]["content-length"] == str(len(PAGE.encode()))
+    assert [f"{k}: {v}" for k, v in found["source"]["warc-headers"]] == response["headers"].split("\r\n") and found["source"]["http-status"] == "HTTP/1.1 200 OK" and found["source"]["payload-verified"]
+    assert found["source"]["http-headers"] == [["Content-Type", "text/html; charset=utf-8"], ["Content-Length", str(len(PAGE.encode()))]]
     assert found["html"] == {"title": "A & b", "lang": "en-gb", "links": [{"path": "a@/href", "url": "http://a.example/x?a=1&b=2"}, {"path": "img@/src", "url": "http://a.example/b/i.png"}]}
     assert text["block"] == "X\nOne two three\né 日本\nnext"
 
@@ -41,7 +41,16 @@ def test_foreign_responses():
     broken = warc.finished("response", "<urn:x>", "", "t", warc.DATE, "application/http", "HTTP/1.0 500 No", [])
     image = warc.finished("response", "<urn:y>", "", "t", warc.DATE, "application/http", "HTTP/1.0 200 OK\r\nContent-Type: image/png\r\nX-A: 1\r\n  folded\r\n\r\n<p>x", [])
     assert [r["block"] for r in (warc.derive_one(broken)[1], warc.derive_one(image)[1])] == ["", ""]
-    assert json.loads(warc.derive_one(image)[0]["block"])["source"]["http-headers"]["x-a"] == "1 folded"
+    assert json.loads(warc.derive_one(image)[0]["block"])["source"]["http-headers"] == [["Content-Type", "image/png"], ["X-A", "1 folded"]]
+
+
+def test_repeated_headers_and_script_links_stay():
+    block = 'HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html\r\nset-cookie: b=2\r\n\r\n<p>x</p><script src="/s.js">var t = \'<a href="/no">\';</script><!-- <a href="/no2"> --><a href=/y>y</a>'
+    response = warc.finished("response", "<urn:z>", "", "http://h/", warc.DATE, "application/http", block, [("WARC-Concurrent-To", "<urn:1>"), ("WARC-Concurrent-To", "<urn:2>")])
+    found = json.loads(warc.derive_one(response)[0]["block"])
+    assert found["source"]["http-headers"] == [["Set-Cookie", "a=1"], ["Content-Type", "text/html"], ["set-cookie", "b=2"]]
+    assert [v for k, v in found["source"]["warc-headers"] if k == "WARC-Concurrent-To"] == ["<urn:1>", "<urn:2>"]
+    assert found["html"]["links"] == [{"path": "script@/src", "url": "http://h/s.js"}, {"path": "a@/href", "url": "http://h/y"}]
 
 
 def test_format_round_trip_and_breaks():
@@ -66,4 +75,6 @@ def test_spark(spark, tmp_path):
     warc.write_archive(every.coalesce(1), str(tmp_path / "a"), "none")
     back = warc.read_archive(spark, str(tmp_path / "a"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, every.drop("page_id").collect()))
+    warc.write_archive(every.repartition(3), str(tmp_path / "b"))
+    assert sorted(map(tuple, warc.read_archive(spark, str(tmp_path / "b")).collect())) == sorted(map(tuple, back.collect()))
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
