@@ -85,4 +85,4 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, tmp_path):
 
 def test_registration():
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None and "pipeline" not in ORACLE
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14)) and "pipeline" in QUERIES
