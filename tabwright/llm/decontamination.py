@@ -8,11 +8,21 @@ aligned with the item by Smith-Waterman on words, which scores edited and paraph
 in the document scores high enough, or if any passage holds a stretch of it that is copied almost word for word, whether that
 stretch is in the best alignment or not.
 
+Edits spread evenly leave no n-gram whole, so items of ``GAPPED`` words or more are looked for by gapped pairs too: two words that stand
+one or two places apart in both texts. A leak by score has ``m`` matches and ``e`` words that differ with ``2m - e >= n``. Matches that
+follow each other with at most one such word between them are a gapped pair, at most ``e / 2`` places hold more, and ``m - 1 - e / 2``
+is ``n / 2 - 1`` at least. So if the commonest ``c`` places of the item are left out, ``n / 2 - 1 - c`` pairs of the others stand within
+``2n`` words of the document, and no leak by score is lost. The same holds for a stretch of ``RUN`` matches at ``RUN_IDENTITY``.
+Items of fewer words need a whole n-gram, as chance brings half their words together.
+
 The items are a stated query set. They reach the tasks in blocks of bounded size, and each block is held against all documents
 where they lie: texts never move.
 
-Defined results: null and empty texts hold no leak. Items of fewer than ``NGRAM`` words are left out, as chance finds them
-anywhere. Null ids and repeated rows or items are reported as they come. Other columns of :func:`drop_leaks` pass whatever their names.
+Passages are aligned in overlapping pieces of four item lengths, and a leak spans two at most; so memory follows the square of the
+item's length, never the document's.
+
+Defined results: null and empty texts hold no leak. Items of fewer than ``NGRAM`` words leak in documents of just these words alone,
+as chance finds them anywhere in longer ones. Null ids and repeated rows or items are reported as they come. Other columns of :func:`drop_leaks` pass whatever their names.
 """
 
 from __future__ import annotations
@@ -51,6 +61,14 @@ RUN_SCORE = MATCH * RUN - 6
 PIECE = 2048
 #: Words beside the place where an item is laid, for insertions.
 MARGIN = 8
+#: Words from which an item is looked for by gapped pairs.
+GAPPED = 16
+#: Columns of the shortest stretch that :data:`RUN` asks for, gapped pairs in it, and places left out of as many item words.
+RUN_COLUMNS = int(RUN / RUN_IDENTITY)
+RUN_PAIRS = RUN - 1 - (RUN_COLUMNS - RUN) // 2
+RUN_COMMON = RUN_PAIRS // 3
+#: Item lengths under this count as this when passages are cut.
+CUT = 64
 
 FOUND = "item_id long, score double, n_matched long, identity double, first_word long, last_word long, item_first long, item_last long"
 _BREAKS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -84,17 +102,25 @@ class Items:
         self.n = n
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.words = [], []
+        self.short: dict[tuple[bytes, ...], list[int | None]] = {}
         for item_id, text in rows:
             words = words_of(text)
+            if 0 < len(words) < n:
+                self.short.setdefault(tuple(words), []).append(item_id)
             if len(words) >= n:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
         self.grams = [codes_of(w, n)[1] for w in self.words]
         self.seeds = np.empty(0, np.uint64)
         self.places: dict[int, list[tuple[int, int]]] = {}
+        self.pairs = self.owners = np.empty(0, np.int64)
+        self.first_owner = np.zeros(1, np.int64)
+        self.needed = np.zeros(len(self.words), np.int64)
 
     def known(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
+        return self.numbers(words_of(text))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def among(self, codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,30 +148,93 @@ class Items:
             hit, _ = self.among(grams, self.seeds)
             for at in hit.tolist():
                 self.places.setdefault(int(grams[at]), []).append((item, at))
+        self.choose_pairs(share)
+
+    def pair_codes(self, ids: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and codes of the pairs of known words that stand so far apart."""
+        first, second = ids[:-apart], ids[apart:]
+        at = np.flatnonzero((first >= 0) & (second >= 0))
+        return at, first[at] * len(self.vocabulary) + second[at]
+
+    def choose_pairs(self, share: np.ndarray) -> None:
+        """The gapped pairs to look for, who owns them, and how many of them a leak keeps at least."""
+        codes, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for item, words in enumerate(self.words):
+            if (size := len(words)) < GAPPED:
+                continue
+            # A place is as common as its commonest pair, which ends there.
+            chance = np.full(size, -np.inf)
+            chance[1:] = share[words[:-1]] + share[words[1:]]
+            chance[2:] = np.maximum(chance[2:], share[words[:-2]] + share[words[2:]])
+            left_out = np.zeros(size, bool)
+            for a in range(0, size, RUN_COLUMNS):
+                part = chance[a : a + RUN_COLUMNS]
+                many = len(part) * RUN_COMMON // RUN_COLUMNS
+                left_out[a + np.argsort(-part, kind="stable")[:many]] = True
+            self.needed[item] = -(-size // 2) - 1 - int(left_out.sum())
+            for apart in (1, 2):
+                at, found = self.pair_codes(words, apart)
+                own = np.unique(found[~left_out[at + apart]])
+                codes.append(own)
+                owners.append(np.full(len(own), item))
+        both = np.unique(np.stack([np.concatenate(codes), np.concatenate(owners)], axis=1), axis=0)
+        self.pairs, start = np.unique(both[:, 0], return_index=True)
+        self.owners, self.first_owner = both[:, 1], np.append(start, len(both))
+
+    def crowded(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Items, and the stretches of the document that hold as many of their gapped pairs as a leak must."""
+        places, owners = [], []
+        for apart in (1, 2):
+            if len(ids) > apart and len(self.pairs):
+                at, codes = self.pair_codes(ids, apart)
+                hit, pair = self.among(codes, self.pairs)
+                many = self.first_owner[pair + 1] - self.first_owner[pair]
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                places.append(np.repeat(at[hit], many))
+                owners.append(self.owners[np.repeat(self.first_owner[pair], many) + within])
+        if not places:
+            return
+        # One number for item and place; a place counts once for an item.
+        both = np.unique(np.concatenate(owners) * len(ids) + np.concatenate(places))
+        owner, place = both // len(ids), both % len(ids)
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        runs = np.full(len(both), RUN_PAIRS - 2 * RUN_COMMON)
+        for least, wide in ((self.needed[owner], 2 * sizes[owner]), (runs, np.full(len(both), RUN_COLUMNS))):
+            last = np.arange(len(both)) + least - 1
+            inside = last < len(both)
+            last = np.minimum(last, len(both) - 1)
+            for k in np.flatnonzero(inside & (owner[last] == owner) & (place[last] - place < wide)).tolist():
+                yield int(owner[k]), max(0, int(place[last[k]] - wide[k])), min(len(ids), int(place[k] + wide[k]) + 1)
 
     def passages(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each item the stretches of the document that a seed lays it over, joined where they overlap."""
+        """For each item the stretches of the document that a seed lays it over or that crowd its pairs, joined where they overlap
+        and cut into pieces that overlap by more than a leak is long."""
         at, codes = codes_of(ids, self.n)
         hit, _ = self.among(codes, self.seeds)
-        starts: dict[int, set[int]] = {}
+        laid: dict[int, set[tuple[int, int]]] = {}
         for place, code in zip(at[hit].tolist(), codes[hit].tolist(), strict=True):
             for item, inside in self.places[code]:
-                starts.setdefault(item, set()).add(place - inside)
+                start = place - inside
+                laid.setdefault(item, set()).add((max(0, start - MARGIN), min(len(ids), start + len(self.words[item]) + MARGIN)))
+        for item, a, b in self.crowded(ids):
+            laid.setdefault(item, set()).add((a, b))
         out: dict[int, list[tuple[int, int]]] = {}
-        for item, places in starts.items():
-            size, spans = len(self.words[item]), []
-            for s in sorted(places):
-                a, b = max(0, s - MARGIN), min(len(ids), s + size + MARGIN)
+        for item, stretches in laid.items():
+            half, spans = 2 * max(len(self.words[item]), CUT), []
+            for a, b in sorted(stretches):
                 if spans and a <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
                 else:
                     spans.append((a, b))
-            out[item] = spans
+            out[item] = [(c, min(c + 2 * half, b)) for a, b in spans for c in range(a, max(b - half, a + 1), half)]
         return out
 
     def leaks(self, text: str | None) -> list[tuple]:
         """The items that the text leaks, each with its best alignment or, if that is no leak, its best almost literal stretch."""
-        ids, out = self.known(text), []
+        words = words_of(text)
+        ids, out = self.numbers(words), []
+        if len(words) < self.n:
+            out = [(item_id, 1.0, len(words), 1.0, 0, len(words) - 1, 0, len(words) - 1) for item_id in self.short.get(tuple(words), [])]
         for item, spans in sorted(self.passages(ids).items()):
             words, best, near = self.words[item], None, []
             for a, b in spans:

@@ -180,3 +180,86 @@ def test_find_and_drop_agree_on_runs(spark):
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()] == [(1, 7)]
     assert sorted(r.doc_id for r in dc.drop_leaks(docs, bench).collect()) == [2, 3, 4, 5]
+
+
+def edited(rng, words, share, kind, evenly):
+    """A copy with a share of its words replaced, left out or followed by another one."""
+    n = len(words)
+    at = set(np.linspace(0, n - 1, max(1, round(share * n))).astype(int).tolist()) if evenly else set(rng.sample(range(n), max(1, round(share * n))))
+    out = []
+    for k, w in enumerate(words):
+        how = rng.choice(["replace", "drop", "insert"]) if kind == "mixed" else kind
+        if k not in at:
+            out.append(w)
+        elif how == "replace":
+            out.append(f"edit{rng.randrange(500)}")
+        elif how == "insert":
+            out += [w, f"edit{rng.randrange(500)}"]
+    return out
+
+
+def test_every_third_word_replaced_is_a_leak():
+    item = [f"i{k}" for k in range(60)]
+    text = [f"f{k}" for k in range(90)] + [f"x{k}" if k % 3 == 2 else w for k, w in enumerate(item)] + [f"g{k}" for k in range(90)]
+    (leak,) = block_of(item).leaks(" ".join(text))
+    assert leak[1] >= dc.SCORE and leak[2] == 40
+    twice = [x for w in item for x in (w, "also")]
+    assert block_of(item).leaks(" ".join(twice))[0][2] == 60
+
+
+@pytest.mark.parametrize("evenly", [True, False])
+def test_edited_copies_equal_brute_force(evenly):
+    rng = random.Random(31 + evenly)
+    # Words as uneven as in real texts, so that common pairs are left out of the seeds.
+    pool, weights = [f"w{k}" for k in range(3000)], [1 / (k + 1) for k in range(3000)]
+    items = [(k, " ".join(rng.choices(pool, weights, k=rng.randrange(dc.GAPPED, 130)))) for k in range(16)]
+    docs, planted_at = [], {}
+    for k in range(60):
+        text = rng.choices(pool, weights, k=rng.randrange(50, 500))
+        if k % 5:
+            item_id, item = rng.choice(items)
+            share, at = rng.choice([0.1, 0.2, 0.3, 0.4]), rng.randrange(len(text))
+            text[at:at] = edited(rng, item.split(), share, rng.choice(["replace", "drop", "insert", "mixed"]), evenly)
+            planted_at[k] = (item_id, share)
+        docs.append((k, " ".join(text)))
+    block = dc.Items(items)
+    every = block.known(" ".join(t for _, t in docs))
+    block.choose_seeds(np.append(np.bincount(every[every >= 0], minlength=len(block.vocabulary)), len(every)))
+    found = {(d, leak[0]) for d, t in docs for leak in block.leaks(t)}
+    runs = {(d, i) for d, t in docs for i, words in zip(block.ids, block.words, strict=True) if dc.literal_run(words, block.known(t))}
+    assert found == brute(items, docs) | runs
+    # The rest of the copies have lost too much for the operator's own rule.
+    seen = [(d, i) in found for d, (i, _) in planted_at.items()]
+    assert sum(seen) >= 0.9 * len(seen)
+
+
+def test_runs_of_even_edits_in_long_items():
+    rng = random.Random(8)
+    for _ in range(40):
+        item = [f"i{k}" for k in range(150)]
+        a = rng.randrange(100)
+        part = item[a : a + dc.RUN_COLUMNS]
+        # Six words differ, as evenly as they can.
+        for k in range(3, dc.RUN_COLUMNS - 1, 5):
+            part[k] = f"x{k}"
+        text = [f"f{k}" for k in range(200)] + part + [f"g{k}" for k in range(rng.randrange(200))]
+        (leak,) = block_of(item).leaks(" ".join(text))
+        assert leak[2] >= dc.RUN and leak[3] >= dc.RUN_IDENTITY
+
+
+def test_long_texts_are_aligned_in_pieces(monkeypatch):
+    rng, widest = random.Random(3), []
+    align = dc.align
+    monkeypatch.setattr(dc, "align", lambda item, passage: widest.append(len(passage)) or align(item, passage))
+    item = [f"i{k}" for k in range(100)]
+    text = [w for _ in range(100) for w in edited(rng, item, 0.3, "replace", True)] + item + [w for _ in range(30) for w in edited(rng, item, 0.2, "drop", False)]
+    found = block_of(item).leaks(" ".join(text))
+    assert found[0][1] == 1.0 and found[0][4] == 10_000 and found[0][5] == 10_099
+    assert max(widest) <= 4 * len(item) and sum(widest) > len(text)
+
+
+def test_items_of_few_words_leak_alone(spark):
+    bench = spark.createDataFrame([(1, "Yes, indeed"), (2, "no")], "item_id long, text string")
+    docs = samples.corpus(spark, [(1, "yes indeed!"), (2, "Yes indeed it is"), (3, "no"), (4, "no no"), (5, None), (6, "")])
+    assert sorted((r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()) == [(1, 1), (3, 2)]
+    assert sorted(r.doc_id for r in dc.drop_leaks(docs, bench).collect()) == [2, 4, 5, 6]
