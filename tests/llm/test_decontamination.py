@@ -228,9 +228,9 @@ def test_edited_copies_equal_brute_force(evenly):
     found = {(d, leak[0]) for d, t in docs for leak in block.leaks(t)}
     runs = {(d, i) for d, t in docs for i, words in zip(block.ids, block.words, strict=True) if dc.literal_run(words, block.known(t))}
     assert found == brute(items, docs) | runs
-    # The rest of the copies have lost too much for the operator's own rule.
-    seen = [(d, i) in found for d, (i, _) in planted_at.items()]
-    assert sum(seen) >= 0.9 * len(seen)
+    # With 40 % of its words replaced or left out a copy scores less than a leak must.
+    seen = [(d, i) in found for d, (i, share) in planted_at.items() if share < 0.4]
+    assert len(seen) > 25 and sum(seen) >= 0.9 * len(seen)
 
 
 def test_runs_of_even_edits_in_long_items():
