@@ -4,7 +4,8 @@ Records are ordered by a key: the hash of the text, then a hash of the id, so eq
 still be cut. A sample in which a record is drawn with a chance in proportion to its size gives splitters; the ranges between
 them are weighed over all records, and overfull ones get splitters of their own, until each range is small or holds one key. The
 totals of the ranges give every record its place in the whole order, and the places are cut into shards. Only ids and
-numbers move, never texts.
+numbers move, never texts. Records that are equal in id, size and checksum are counted before anything moves, placed as one, and numbered
+afterwards in runs of bounded length, so one record that a third of all rows repeat costs no task more than another.
 
 The law is ``bytes``: two shards differ by no more than the two largest records.
 
@@ -34,6 +35,8 @@ RANGES, RECORDS = 32, 250_000
 OVERSAMPLE = 8
 #: A range of so many times the fair size is overfull.
 OVERFULL = 2
+#: Copies of one record that one task numbers.
+RUN = 65_536
 
 Key = tuple[int, int]
 
@@ -47,10 +50,15 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
+def counted(records: DataFrame) -> DataFrame:
+    """Equal records as one, with the number of ``copies``."""
+    return records.groupBy(*records.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def sample(records: DataFrame, bytes_per_key: float, seed: int) -> list[Key]:
-    """Keys drawn in proportion to the size of their records, one in ``bytes_per_key`` bytes. The draw is a function of the key."""
+    """Keys drawn in proportion to the size of their records, copies included, one in ``bytes_per_key`` bytes. The draw is a function of the key."""
     u = F.pmod(F.xxhash64("k1", "k2", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = records.filter(u * bytes_per_key < F.col("size")).select("k1", "k2").distinct().collect()
+    drawn = records.filter(u * bytes_per_key < F.col("size") * F.col("copies")).select("k1", "k2").distinct().collect()
     return sorted((r.k1, r.k2) for r in drawn)
 
 
@@ -66,13 +74,13 @@ def range_of(splitters: list[Key]) -> Column:
 
 def weigh(records: DataFrame, splitters: list[Key]) -> dict[int, tuple[int, int]]:
     """Bytes and records of each range: as many rows as there are splitters, whatever the table."""
-    rows = records.groupBy(range_of(splitters).alias("range")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    rows = records.groupBy(range_of(splitters).alias("range")).agg(F.sum(F.col("size") * F.col("copies")).alias("b"), F.sum("copies").alias("n")).collect()
     return {r.range: (r.b, r.n) for r in rows}
 
 
 def split(records: DataFrame, shards: int = SHARDS) -> tuple[list[Key], dict[int, tuple[int, int]]]:
     """Splitters, and what each range between them weighs."""
-    total, n = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    total, n = records.agg(F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     if not n:
         return [], {}
     ranges = max(shards * RANGES, -(-n // RECORDS))
@@ -90,9 +98,18 @@ def split(records: DataFrame, shards: int = SHARDS) -> tuple[list[Key], dict[int
         splitters = sorted(set(splitters) | more)
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """Each copy of each record, with its number ``copy`` from 0."""
+    few = records.filter(F.col("copies") <= RUN).withColumn("run", F.lit(0).cast("long"))
+    # Only records of many copies move again, a row for each run.
+    many = records.filter(F.col("copies") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {RUN}"))))
+    runs = few.unionByName(many.repartition("k1", "k2", "run"))
+    return runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, "copies") - 1)))
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` (gapless in the shard) and ``grown_shard`` of every record."""
-    records = settle(keyed(docs, key, text))
+    records = settle(counted(keyed(docs, key, text)))
     splitters, weights = split(records, shards)
     order = sorted(weights)
     bytes_before = [0, *accumulate(weights[r][0] for r in order)]
@@ -104,17 +121,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     def before(ranges: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([place[r] for r in ranges], columns=["b", "n"], dtype="int64")
 
-    w = Window.partitionBy("range").orderBy("k1", "k2", "size", "text_crc32")
-    placed = records.withColumn("range", range_of(splitters)).withColumns(
-        {"own": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"), "row": F.row_number().over(w) - 1}
-    )
-    placed = placed.withColumn("before", before("range"))
+    w = Window.partitionBy("range").orderBy("k1", "k2", "size", "text_crc32", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.col("size") * F.col("copies")
+    ranged = records.withColumn("range", range_of(splitters)).withColumns({"own": F.sum(held).over(w) - held, "row": F.sum("copies").over(w) - F.col("copies")})
+    placed = numbered(settle(ranged.withColumn("before", before("range"))))
     # The shard is that of the record's middle byte.
-    middle = 2 * (F.col("before.b") + F.col("own")) + F.col("size")
+    middle = 2 * (F.col("before.b") + F.col("own") + F.col("copy") * F.col("size")) + F.col("size")
     placed = settle(
         placed.select(
             "doc_id", "size", "text_crc32", F.least(F.floor(middle * shards / F.lit(2 * total).cast("decimal(38,0)")).cast("int"), F.lit(shards - 1)).alias("shard"),
-            (F.col("before.n") + F.col("row")).cast("long").alias("place"),
+            (F.col("before.n") + F.col("row") + F.col("copy")).cast("long").alias("place"),
         )
     )
     first = {r.shard: r.first for r in placed.groupBy("shard").agg(F.min("place").alias("first")).collect()}
@@ -131,7 +147,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, key: str = "d
     Whole ranges go to the shard that holds their middle byte, so texts are dealt where they lie and each move once.
     """
     records = keyed(docs, key, text)
-    splitters, weights = split(settle(records), shards)
+    splitters, weights = split(settle(counted(records)), shards)
     total = max(sum(b for b, _ in weights.values()), 1)
     shard_of, seen = {}, 0
     for r in sorted(weights):

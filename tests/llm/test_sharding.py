@@ -37,7 +37,7 @@ def test_same_result_for_any_partitioning(spark):
 
 
 def test_overfull_ranges_are_subdivided(spark):
-    records = sd.keyed(samples.corpus(spark, [(k, "same") for k in range(2000)] + [(5000, "x" * 40_000)]))
+    records = sd.counted(sd.keyed(samples.corpus(spark, [(k, "same") for k in range(2000)] + [(5000, "x" * 40_000)])))
     splitters, weights = sd.split(records.cache(), 4)
     fair = sum(b for b, _ in weights.values()) / (4 * sd.RANGES)
     crowded = [b for b, n in weights.values() if n > 1 and b > sd.OVERFULL * fair + 40_016]
@@ -52,6 +52,22 @@ def test_odd_rows_and_empty_tables(spark):
     assert sd.assign(samples.empty(spark)).count() == 0
 
 
+def test_copies_of_one_record_are_numbered_in_runs(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, " ".join(samples.words(rng, rng.randrange(1, 60)))) for k in range(200)]
+    rows += [(None, None)] * 500 + [(3, "often")] * 64 + [(4, "often")] * 65
+    whole = sorted(map(str, sd.assign(samples.corpus(spark, rows), 9).collect()))
+    monkeypatch.setattr(sd, "RUN", 64)
+    got = sd.assign(samples.corpus(spark, rows).repartition(7), 9).collect()
+    check(rows, got, 9)
+    assert sorted(map(str, got)) == whole
+    # No window sees a copy, and no task numbers more than a run of them.
+    records = sd.counted(sd.keyed(samples.corpus(spark, rows)))
+    assert records.count() == 203 and records.agg({"copies": "sum"}).first()[0] == len(rows)
+    copies = sd.numbered(records.filter("copies > 64")).groupBy("doc_id", "run").count().collect()
+    assert max(r["count"] for r in copies) == 64 and sum(r["count"] for r in copies) == 565
+
+
 def test_write(spark, tmp_path):
     rng = random.Random(5)
     rows = [(k, " ".join(samples.words(rng, rng.randrange(1, 60)))) for k in range(400)]
