@@ -7,6 +7,7 @@ from tabwright.operators.models import (
     grade_performance, improvement_pct, merge_tuned, prepare_and_compare, regression_metrics, retrain_on, search, search_and_compare, soft_voting_classifier,
     stacking_regressor, train_models, tune, voting_regressor,
 )
+from tabwright.operators.lsh_neighbors import lsh_classifier
 from tabwright.operators.neighbors import knn_classifier
 from tabwright.operators.prep import binarize_by_median, standard_scale, train_test_split
 from tabwright.plans.scalars import shared
@@ -171,6 +172,13 @@ def _l13(spark, sf):
     return found.select("l_orderkey", "label", "prediction")
 
 
+# Which neighbours the tables miss is beyond SQL; the tests hold their recall against brute force.
+@query("L13_knn_lsh")
+def _l13_lsh(spark, sf):
+    train, test = train_test_split(_rows(spark, sf, "Classification"), "l_orderkey")
+    return lsh_classifier(train, test, FEATURES, "label", "l_orderkey", 5).select("l_orderkey", "label", "prediction")
+
+
 def _log_likelihood() -> str:
     parts = [f"-0.5 * ln(2 * pi() * (v_{c} + e)) - pow({c} - m_{c}, 2) / (2 * (v_{c} + e))" for c in FEATURES]
     return " + ".join(["ln(prior)", *parts])

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import hash_uniform
 from ..plans.ranks import number_rows
 from ..plans.scalars import col, shared
+from .lsh_neighbors import lsh_classifier
 from .neighbors import knn_classifier
 from .moments import Moments, moments_by
 from .networks import find_landmarks, fit_network
@@ -230,7 +231,10 @@ def train_svm_classifier(
 class NearestModel:
     """The training rows, and a vote of the nearest of them for each row."""
 
-    def __init__(self, train: DataFrame, features_col: str, label_col: str, prediction_col: str, key: str, neighbors: int):
+    def __init__(
+        self, train: DataFrame, features_col: str, label_col: str, prediction_col: str, key: str, neighbors: int, recall: float | None = None
+    ):
+        self.recall = recall
         self.features_col, self.label_col, self.prediction_col, self.key, self.neighbors = features_col, label_col, prediction_col, key, neighbors
         self.inputs = [f"_{prediction_col}_{i}" for i in range(len(train.select(features_col).first()[0]))]
         self.train = self._spread(train).select(key, label_col, *self.inputs)
@@ -240,17 +244,19 @@ class NearestModel:
         return df.withColumns({c: x[i] for i, c in enumerate(self.inputs)})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        found = knn_classifier(self.train, self._spread(df), self.inputs, self.label_col, self.key, self.neighbors, self.prediction_col)
+        given = self.train, self._spread(df), self.inputs, self.label_col, self.key, self.neighbors, self.prediction_col
+        found = knn_classifier(*given) if self.recall is None else lsh_classifier(*given, self.recall)
         return found.drop(*self.inputs)
 
 
 def train_knn(
-    df, features_col="features", label_col="label", prediction_col="prediction", key: str | None = None, neighbors: int = 5
+    df, features_col="features", label_col="label", prediction_col="prediction", key: str | None = None, neighbors: int = 5,
+    recall: float | None = None,
 ):
-    """``key`` names a column that is unique in training and test rows."""
+    """``key`` names a column that is unique in training and test rows. With ``recall`` the neighbours are approximate."""
     if key is None:
         raise ValueError("KNN needs the name of a unique key column")
-    return NearestModel(df, features_col, label_col, prediction_col, key, neighbors)
+    return NearestModel(df, features_col, label_col, prediction_col, key, neighbors, recall)
 
 
 def _scores(prediction_col: str) -> dict[str, str]:

@@ -99,6 +99,7 @@ def nearest_neighbours(
     left, right = _with_cell(left, pivots), _with_cell(right, pivots)
     # Facts per cell, at most 512 cells: test extent, and the k smallest training distances.
     extent = {r.cell: (r.far, r.n) for r in left.groupBy("cell").agg(F.max("reach").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    # Spark keeps the first k rows of every cell in each task before it shuffles, so a crowded cell meets nowhere.
     place = F.row_number().over(W.partitionBy("cell").orderBy("reach"))
     closest = right.select("cell", "reach", place.alias("p")).where(F.col("p") <= k).collect()
     between = _distances(pivots, pivots)
@@ -148,14 +149,18 @@ def nearest_neighbours(
     return found.groupBy("_test").agg(near.alias("neighbours")).withColumnRenamed("_test", key)
 
 
-def knn_classifier(
-    train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, k: int = 5, prediction: str = "prediction"
-) -> DataFrame:
-    """``test`` with the majority label of the k nearest training rows, the smallest of several."""
-    near = nearest_neighbours(train, test, features, label, key, k)
+def vote(test: DataFrame, near: DataFrame, key: str, prediction: str) -> DataFrame:
+    """``test`` with the majority label of its neighbours, the smallest of several."""
     labels = F.transform("neighbours", lambda n: n["label"])
     votes = F.transform(
         F.array_distinct(labels),
         lambda v: F.struct(F.size(F.filter(labels, lambda x: x == v)).alias("n"), (-v).alias("minus")),
     )
     return test.join(near.select(col(key), (-F.array_max(votes)["minus"]).alias(prediction)), key)
+
+
+def knn_classifier(
+    train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, k: int = 5, prediction: str = "prediction"
+) -> DataFrame:
+    """``test`` with the majority label of the k nearest training rows, the smallest of several."""
+    return vote(test, nearest_neighbours(train, test, features, label, key, k), key, prediction)
