@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import hash_uniform
 from ..plans.ranks import number_rows
 from ..plans.scalars import col, shared
+from .forests import train_deep_forest
 from .lsh_neighbors import lsh_classifier
 from .neighbors import knn_classifier
 from .moments import Moments, moments_by
@@ -171,9 +172,11 @@ def train_logistic_regression(
 def train_random_forest_classifier(
     df, features_col="features", label_col="label", prediction_col="prediction", trees: int = 100, depth: int | None = None, min_leaf: int = 1
 ):
-    """Spark bounds the depth of a tree by 30; that stands for "unlimited"."""
+    """Without ``depth`` trees grow until their leaves are pure."""
+    if depth is None:
+        return train_deep_forest(df, features_col, label_col, prediction_col, trees, min_leaf, SEED)
     return RandomForestClassifier(
-        **_columns(features_col, label_col, prediction_col), **_scores(prediction_col), numTrees=trees, maxDepth=depth or 30,
+        **_columns(features_col, label_col, prediction_col), **_scores(prediction_col), numTrees=trees, maxDepth=depth,
         minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, seed=SEED,
     ).fit(df)
 
