@@ -132,6 +132,34 @@ def test_correlation_guards(spark):
     assert found["a", "b"] == found["b", "a"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 1])[0, 1])
 
 
+def test_correlation_of_many_columns_with_gaps_in_one_scan(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(400, 5))
+    x = base @ rng.normal(size=(5, 40)) + rng.normal(size=(400, 40)) + 1e7
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7] = 0.1
+    x[:, 8] = np.where(np.arange(400) < 200, 0.3, x[:, 8])
+    x[:200, 9] = 1e7 + np.arange(200)
+    x[200:, 9] = np.nan
+    names = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{n} double" for n in names))
+    result = bivariate.correlation_matrix(df.repartition(7))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    found = {(r.a, r.b): r.r for r in result.collect()}
+    assert len(found) == 1600
+    for i in range(40):
+        for j in range(40):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            if len(a) < 2 or a.min() == a.max() or b.min() == b.max():
+                assert found[names[i], names[j]] is None, (i, j)
+            else:
+                assert found[names[i], names[j]] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9), (i, j)
+    empty = bivariate.correlation_matrix(df.limit(0).select("c0", "c1")).collect()
+    assert sorted((r.a, r.b, r.r) for r in empty) == [(a, b, None) for a in ("c0", "c1") for b in ("c0", "c1")]
+
+
 def test_anova_against_closed_form(spark):
     rng = np.random.default_rng(2)
     groups = {"a": rng.normal(0, 1, 300), "b": rng.normal(0.1, 1, 20), "c": rng.normal(0, 2, 40)}
