@@ -164,6 +164,10 @@ class ByteBpe:
         get, fresh = self.memo.get, self._ids_of  # a half that has become the old one meanwhile is still right
         return list(chain.from_iterable([get(p) or fresh(p) for p in self.pieces.findall(text)]))
 
+    def forget(self) -> None:
+        """Give up what was remembered. Spark keeps a worker process for other tasks, which need the memory."""
+        self.memo, self.older, self.pairs = {}, {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -190,8 +194,11 @@ def encoded(text: Column, shared: Broadcast) -> Column:
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = coder(shared)
-        for part in texts:
-            yield pd.Series([bpe.encode(t) for t in part], dtype=object)
+        try:
+            for part in texts:
+                yield pd.Series([bpe.encode(t) for t in part], dtype=object)
+        finally:
+            bpe.forget()
 
     return ids(whole(text))
 
@@ -222,13 +229,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = coder(shared)
         names = {i: str(i) for i in bpe.tokens}
-        for part in texts:
-            rows = []
-            for t in part:
-                ids = bpe.encode(t)
-                shown = ",".join(map(names.__getitem__, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for part in texts:
+                rows = []
+                for t in part:
+                    ids = bpe.encode(t)
+                    shown = ",".join(map(names.__getitem__, ids)).encode()
+                    rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            bpe.forget()
 
     found = docs.withColumn(out, digest(whole(F.col(quoted(text)))))
     results = ("n_tokens", "ids_sha256", "decoded_sha256")
