@@ -5,8 +5,9 @@ strongly universal multiply-shift hashes, twelve bits of each; the minima of a b
 sets at the wanted similarity fewer than one pair in a hundred million shares no bucket (:func:`layout`) or is turned away by its
 signatures (:func:`least_matches`). Every link is confirmed on the full sets.
 
-Only components are wanted, so no bucket gives all its pairs. First each member is held against its bucket's smallest member, and components are
-found. A bucket whose members all lie in one component is settled: nothing in it can change the result. In the others the pairs
+Only components are wanted, so no bucket gives all its pairs. First each member is held against the smallest member of one of its buckets, and
+components are found; then against those of its other buckets whose smallest member lies in another component, and components are
+found again. A bucket whose members all lie in one component is settled: nothing in it can change the result. In the others the pairs
 of *different* components follow. Members of buckets of more than ``HOT`` form crowds, as the copies of one text meet in many bands. A crowd
 has one main component; its blocks meet blocks of the other members, and those meet each other, in tasks that confirm links on the
 sets themselves and merge what they have linked. So a task gives back fewer links than it has members.
@@ -226,6 +227,14 @@ def crowds(many: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return central.union(others).withColumn("cross", F.col("x") != F.col("y"))
 
 
+def _apart(held: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``u``, ``v``: members of other components than the smallest member of their bucket, and that member."""
+    at, root = ["band", "bucket"], F.col("root")
+    own = held.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", *at, F.coalesce(root, "node").alias("root"))
+    first = sizes.select(*at, "first").join(roots.withColumnRenamed("u", "first"), "first", "left").select("first", *at, F.coalesce(root, "first").alias("its"))
+    return settle(own.join(first, at).filter("root <> its").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct())
+
+
 def links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``u``, ``v``: confirmed links with the same components as all pairs of similar classes."""
     _, rows = layout(percent)
@@ -234,9 +243,14 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT
     at = ["band", "bucket"]
     sizes = settle(own.groupBy(*at).agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("first")).filter("c > 1"))
     held = settle(own.join(sizes, at))
-    near = alike(held.filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), classes, least, rows)
+    # A member of many buckets is held against one class at first; the other pairs follow where they can still connect anything.
+    starred = held.filter("node <> first")
+    near = alike(starred.groupBy("node").agg(F.min("first").alias("u")).select("u", F.col("node").alias("v")), classes, least, rows)
     sets = sets_of(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs, size)
     found = confirm(near, sets, percent)
+    again = alike(_apart(held, sizes, components(found)).join(near, ["u", "v"], "left_anti"), classes, least, rows)
+    sets = sets_of(again.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs, size)
+    near, found = near.union(again), found.union(confirm(again, sets, percent))
     # A bucket of two is done. The larger ones with several components are not.
     roots = components(found).withColumnRenamed("u", "node")
     named = settle(held.filter("c > 2").select("node", *at, "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -97,3 +97,18 @@ def test_signatures_estimate_the_similarity():
         a, b = (minhash.shingles(" ".join(common + samples.words(rng, n, 10**9)), 1) for _ in range(2))
         x, y = (minhash.signature(s, 240, 1) for s in (a, b))
         assert abs((x == y).mean() - share) < 0.12
+
+
+def test_a_member_of_many_buckets_is_held_against_one_class_first(spark, monkeypatch):
+    rng = random.Random(9)
+    base = samples.words(rng, 150)
+    docs = [(k, " ".join(edited(rng, base, 0.01))) for k in range(200)]
+    counts, alike = [], minhash.alike
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "alike", counted)
+    assert rows(minhash.near_duplicates(samples.corpus(spark, docs).repartition(4), shingle=2)) == brute(docs)
+    assert counts[0] < 200 and sum(counts[1:]) < 200
