@@ -7,7 +7,7 @@ tables are doubled until the exact neighbours of the sample are met with the wan
 rows are answered by the exact join. (Lv, Josephson, Wang, Charikar, Li: Multi-probe LSH, 2007.)
 
 Of equal training points the k smallest keys can be neighbours; the others leave before any table is built, so a point that a third of
-all rows share costs k rows. Crowded cells are split into blocks of bounded size.
+all rows share costs k rows; test rows at one point share a search and its answer. Crowded cells are split into blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import digest, digest_prefix
 from ..plans.scalars import col
 from ..session import settle
 from . import neighbors
-from .neighbors import nearest_neighbours, vote
+from .neighbors import for_every_row, nearest_neighbours, offers_of, points_of, vector_of, vote
 
 #: Test rows whose exact neighbours are computed, and training rows on which the cells are counted.
 SAMPLE, TRAIN_SAMPLE = 256, 4096
@@ -91,10 +91,6 @@ class Projections:
         return np.concatenate([keys[:, :, None], keys[:, :, None] + moves[best]], axis=2).reshape(len(x), -1)
 
 
-def _vector(features: list[str]) -> Column:
-    return F.array(*[col(f).cast("double") for f in features])
-
-
 def _first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(digest(col(key)), col(key)).limit(n)
 
@@ -108,7 +104,7 @@ def fit_projections(
     """
     asked = settle(_first_rows(test, key, SAMPLE))
     exact = nearest_neighbours(train, asked, features, label, key, k)
-    at, it = _vector(features), F.explode("neighbours").alias("n")
+    at, it = vector_of(features), F.explode("neighbours").alias("n")
     pairs = settle(exact.select(col(key).alias("_test"), it).select("_test", "n.d", F.col("n._train").alias("_train")))
     found = pairs.join(asked.select(col(key).alias("_test"), at.alias("x")), "_test").join(train.select(col(key).alias("_train"), at.alias("y")), "_train")
     rows = found.select("_test", "d", "x", "y").toPandas().sort_values(["_test", "d"])
@@ -187,18 +183,14 @@ def approximate_neighbours(
     min(k, training rows) neighbours.
     """
     plan = projections or fit_projections(train, test, features, label, key, k, recall)
-    vector = _vector(features).alias("x")
-    probes = _with_buckets(test.select(col(key).alias("_test"), vector), plan.visited)
-    # Spark keeps the first k rows of every point in each task before it shuffles.
-    place = F.row_number().over(W.partitionBy("x").orderBy("_train"))
-    points = train.select(col(key).alias("_train"), col(label).cast("double").alias("label"), vector)
-    offers = _with_buckets(points.withColumn("_p", place).where(F.col("_p") <= k).drop("_p"), plan.own)
+    points, kept = settle(points_of(test, features, key)), settle(offers_of(train, features, label, key, k))
+    probes, offers = _with_buckets(points, plan.visited), _with_buckets(kept, plan.own)
     # The lists of crowded buckets are short: at most one for each block of rows. Spark chooses how to join them.
     blocks = _crowded(probes, neighbors.TEST_BLOCK, "_as").join(_crowded(offers, neighbors.TRAIN_BLOCK, "_bs"), "bucket", "full")
 
     # Small buckets share a part, so that a part is worth a call; a crowded one has its parts to itself.
-    n_train, tables = train.count(), len(plan.directions)
-    size = max(n_train * tables / neighbors.TRAIN_BLOCK, test.count() * tables * (plan.probes + 1) / neighbors.TEST_BLOCK)
+    n_train, tables = kept.count(), len(plan.directions)
+    size = max(n_train * tables / neighbors.TRAIN_BLOCK, points.count() * tables * (plan.probes + 1) / neighbors.TEST_BLOCK)
     n_parts = max(1, math.ceil(size))
 
     def cut(df: DataFrame, own: str, mine: str, its: str, here: str, there: str) -> DataFrame:
@@ -218,12 +210,14 @@ def approximate_neighbours(
         .applyInPandas(_meet(k), f"_test {kinds['t']}, d double, _train {kinds['s']}, label double")
     )
     near = F.slice(F.array_sort(F.collect_set(F.struct("d", "_train", "label"))), 1, k)
-    found = settle(met.groupBy("_test").agg(near.alias("neighbours")).withColumnRenamed("_test", key))
+    found = settle(met.groupBy("_test").agg(near.alias("neighbours")))
     enough = found.where(F.size("neighbours") >= min(k, n_train))
-    lacking = settle(test.join(enough.select(col(key)), key, "left_anti"))
-    if lacking.isEmpty():
-        return enough
-    return enough.unionByName(nearest_neighbours(train, lacking, features, label, key, k))
+    lacking = settle(points.join(enough.select("_test"), "_test", "left_anti"))
+    if not lacking.isEmpty():
+        left = lacking.select("_test", *[F.col("x")[i].alias(f) for i, f in enumerate(features)])
+        exact = nearest_neighbours(train.withColumnRenamed(key, "_train"), left.withColumnRenamed("_test", "_train"), features, label, "_train", k)
+        enough = enough.unionByName(exact.withColumnRenamed("_train", "_test"))
+    return for_every_row(test, features, key, points, enough)
 
 
 def lsh_classifier(

@@ -2,7 +2,8 @@
 
 Rows go to the cell of their nearest pivot. Bounds on the k-th distance of every cell tell which
 training rows can matter to which test cell; the triangle inequality rules out the rest. What is
-left meets in blocks of bounded size, so a crowded cell becomes many tasks.
+left meets in blocks of bounded size, so a crowded cell becomes many tasks. Equal points are one: of the training rows at
+a point the k smallest keys take part, and test rows at a point share their answer.
 (Lu, Shen, Chen, Ooi: Efficient processing of k nearest neighbor joins using MapReduce, 2012.)
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions.hashing import digest, digest_prefix
 from ..plans.scalars import col
+from ..session import settle
 
 MAX_PIVOTS = 512
 ROWS_PER_PIVOT = 2000
@@ -79,16 +81,40 @@ def _block_neighbours(k: int):
     return find
 
 
+def points_of(test: DataFrame, features: list[str], key: str) -> DataFrame:
+    """(_test, x): every distinct point of the test rows, under the smallest key at it."""
+    return test.select(col(key).alias("_test"), vector_of(features).alias("x")).groupBy("x").agg(F.min("_test").alias("_test")).select("_test", "x")
+
+
+def for_every_row(test: DataFrame, features: list[str], key: str, points: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, neighbours): each test row with the neighbours (``_test``, ``neighbours``) of its point."""
+    answers = points.join(found, "_test").select("x", "neighbours")
+    return test.select(col(key), vector_of(features).alias("x")).distinct().join(answers, "x").drop("x")
+
+
+def offers_of(train: DataFrame, features: list[str], label: str, key: str, k: int) -> DataFrame:
+    """(_train, label, x): of equal training points the k smallest keys; no other can be a neighbour.
+
+    Spark keeps the first k rows of every point in each task before it shuffles.
+    """
+    place = F.row_number().over(W.partitionBy("x").orderBy("_train"))
+    rows = train.select(col(key).alias("_train"), col(label).cast("double").alias("label"), vector_of(features).alias("x"))
+    return rows.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+
+
+def vector_of(features: list[str]) -> Column:
+    return F.array(*[col(f).cast("double") for f in features])
+
+
 def nearest_neighbours(
     train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, k: int = 5
 ) -> DataFrame:
     """(key, neighbours): for each test row the k nearest training rows as (d, _train, label).
 
-    ``key`` is unique in both tables. Distance ties go to the smaller key.
+    ``key`` is unique in both tables. Distance ties go to the smaller key. Equal test points are searched for once.
     """
-    vector = F.array(*[col(f).cast("double") for f in features])
-    left = test.select(col(key).alias("_test"), vector.alias("x"))
-    right = train.select(col(key).alias("_train"), col(label).cast("double").alias("label"), vector.alias("x"))
+    points = settle(points_of(test, features, key))
+    left, right = points, settle(offers_of(train, features, label, key, k))
     n_train = right.count()
     if not n_train:
         raise ValueError("no training rows")
@@ -146,7 +172,7 @@ def nearest_neighbours(
     )
     # At most k rows per block reach a test row.
     near = F.slice(F.array_sort(F.collect_list(F.struct("d", "_train", "label"))), 1, k)
-    return found.groupBy("_test").agg(near.alias("neighbours")).withColumnRenamed("_test", key)
+    return for_every_row(test, features, key, points, found.groupBy("_test").agg(near.alias("neighbours")))
 
 
 def vote(test: DataFrame, near: DataFrame, key: str, prediction: str) -> DataFrame:
