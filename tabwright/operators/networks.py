@@ -1,8 +1,8 @@
 """Neural network and kernel regression trained on the whole gradient, summed over the cluster.
 
 Spark has no regressor of either kind. Every step takes the exact loss and gradient of all rows and moves the weights by limited-memory
-BFGS. Equal rows are counted first, so that a hot row is one row, and dealt by their hash into blocks; a block is one matrix product,
-and sums follow the order of the blocks, so the fitted weights depend neither on the partitioning nor on the order of the rows.
+BFGS. Equal rows are counted first, so that a hot row is one row, and dealt by their hash into blocks; a block is one matrix product
+over its distinct inputs, and sums follow the order of the blocks, so the fitted weights depend neither on the partitioning nor on the order of the rows.
 RBF kernels become Nyström features: the kernel to landmark rows, whitened, as many as a measured kernel error asks for.
 """
 
@@ -23,6 +23,8 @@ from ..plans.scalars import col
 
 #: Cells (rows times inputs) of a block; blocks that a task adds up at least, and the most such sums, which a tree adds up.
 CELLS, BLOCKS, UNITS = 1 << 16, 8, 4096
+#: Labels of one input beyond which they are dealt among several blocks.
+HOT = 4096
 #: Sums that are added in one place.
 FAN_IN = 64
 #: Pairs of steps and gradient changes that the optimiser remembers.
@@ -52,19 +54,24 @@ def _forward(x: np.ndarray, layers: list) -> list[np.ndarray]:
     return steps
 
 
-def _loss_sum(x, y, times, flat, shapes, epsilon, corner) -> tuple[float, np.ndarray]:
+def _points(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows begins."""
+    return np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)])
+
+
+def _loss_sum(x, first, y, times, flat, shapes, epsilon, corner) -> tuple[float, np.ndarray]:
     """Summed loss and its gradient, without the penalty: squared error / 2, or the epsilon-insensitive error with a corner that is
-    rounded over ``corner``."""
+    rounded over ``corner``. The labels of the inputs ``x[i]`` begin at ``first[i]``."""
     layers = _unpack(flat, shapes)
     steps = _forward(x, layers)
-    error = steps[-1][:, 0] - y
+    error = np.repeat(steps[-1][:, 0], np.diff(np.r_[first, len(y)])) - y
     if epsilon is None:
         loss, slope = error**2 / 2, error
     else:
         over = np.maximum(np.abs(error) - epsilon, 0)
         loss = np.where(over < corner, over**2 / (2 * corner), over - corner / 2)
         slope = np.sign(error) * np.minimum(over / corner, 1)
-    delta = (slope * times)[:, None]
+    delta = np.add.reduceat(slope * times, first)[:, None]
     parts = []
     for i in range(len(layers) - 1, -1, -1):
         w, _ = layers[i]
@@ -156,7 +163,9 @@ def _unit_sums(per_unit: int, flat, shapes, epsilon, corner, kernel, batches: It
 
     unit, total = None, None
     for block, x, y, times in _whole_blocks(batches):
-        loss, gradient = _loss_sum(x if kernel is None else kernel.features(x), y, times, flat.value, shapes, epsilon, corner)
+        first = _points(x)
+        x = x[first]
+        loss, gradient = _loss_sum(x if kernel is None else _kernel(x, kernel.points, kernel.gamma), first, y, times, flat.value, shapes, epsilon, corner)
         part = np.append(gradient, loss)
         if unit is not None and block // per_unit != unit:
             yield out(unit, total)
@@ -180,23 +189,37 @@ class Objective:
 
     def __init__(self, rows: DataFrame, inputs: int, shapes, l2: float, epsilon: float | None, kernel: Landmarks | None):
         self.shapes, self.l2, self.epsilon, self.kernel, self.corner = shapes, l2, epsilon, kernel, CORNERS[-1]
-        counted = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")).persist()
-        distinct, self.n = counted.agg(F.count(F.lit(1)), F.sum("times")).first()
+        if epsilon is None:
+            # The squared error of equal inputs is that of their mean label, and a part that no weight changes.
+            same = [F.avg("y").alias("y"), F.count(F.lit(1)).alias("times"), (F.var_pop("y") * F.count(F.lit(1))).alias("within")]
+            counted = rows.groupBy("x").agg(*same).persist()
+        else:
+            counted = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("times"), F.lit(0.0).alias("within")).persist()
+        distinct, self.n, self.within = counted.agg(F.count(F.lit(1)), F.sum("times"), F.sum("within")).first()
+        labels = counted.groupBy("x").agg(F.count(F.lit(1)).alias("labels"))
+        points, hot = distinct, None
+        if epsilon is not None:
+            points = labels.agg(F.sum(F.ceil(F.col("labels") / HOT))).first()[0]
+            # No more of them than one in ``HOT`` rows.
+            hot = F.broadcast(labels.where(F.col("labels") > HOT))
         width = inputs if kernel is None else max(inputs, len(kernel.points))
-        blocks = max(1, math.ceil(distinct * width / CELLS))
+        blocks = max(1, math.ceil((points * width + distinct) / CELLS))
         self.units = min(math.ceil(blocks / BLOCKS), UNITS)
         self.per_unit = math.ceil(blocks / self.units)
-        block = F.pmod(F.xxhash64("x", "y"), F.lit(self.units * self.per_unit))
-        dealt = counted.select(block.alias("block"), "x", "y", "times").repartition(self.units, F.floor(F.col("block") / self.per_unit))
-        self.rows = dealt.sortWithinPartitions("block", "y", "x").persist()
+        # The labels of one input share its forward pass in one block, or in several where they are many.
+        spread = F.lit(0) if hot is None else F.coalesce(F.pmod(F.xxhash64("y"), F.ceil(F.col("labels") / HOT)), F.lit(0)).cast("int")
+        block = F.pmod(F.xxhash64("x", spread), F.lit(self.units * self.per_unit))
+        placed = counted if hot is None else counted.join(hot, "x", "left")
+        dealt = placed.select(block.alias("block"), "x", "y", "times").repartition(self.units, F.floor(F.col("block") / self.per_unit))
+        self.rows = dealt.sortWithinPartitions("block", "x", "y").persist()
         self.rows.count()
         counted.unpersist()
         # The penalty is on weights, not on offsets.
         self.free = np.concatenate([np.repeat([1.0, 0.0], [a * b, b]) for a, b in shapes])
 
     def __call__(self, flat: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = self.rows.sparkSession.sparkContext.broadcast(flat)
-        step = partial(_unit_sums, self.per_unit, shared, self.shapes, self.epsilon, self.corner, self.kernel)
+        shared = self.rows.sparkSession.sparkContext.broadcast(self._outward(flat))
+        step = partial(_unit_sums, self.per_unit, shared, self._shapes_outside(), self.epsilon, self.corner, self.kernel)
         schema = "unit long, total array<double>"
         sums, left = self.rows.mapInArrow(step, schema), self.units
         while left > FAN_IN:
@@ -205,7 +228,25 @@ class Objective:
         total = sum(np.array(r.total) for r in sorted(sums.collect(), key=lambda r: r.unit))
         shared.unpersist()
         weights = flat * self.free
-        return total[-1] / self.n + self.l2 * float(weights @ weights) / 2, total[:-1] / self.n + self.l2 * weights
+        loss = (total[-1] + self.within / 2) / self.n + self.l2 * float(weights @ weights) / 2
+        return loss, self._inward(total[:-1]) / self.n + self.l2 * weights
+
+    # Tasks work on the kernel to the landmarks themselves; whitening is left to the first layer, here.
+
+    def _shapes_outside(self) -> list[tuple[int, int]]:
+        return self.shapes if self.kernel is None else [(len(self.kernel.points), self.shapes[0][1]), *self.shapes[1:]]
+
+    def _outward(self, flat: np.ndarray) -> np.ndarray:
+        if self.kernel is None:
+            return flat
+        a, b = self.shapes[0]
+        return np.concatenate([(self.kernel.whiten @ flat[: a * b].reshape(a, b)).ravel(), flat[a * b :]])
+
+    def _inward(self, gradient: np.ndarray) -> np.ndarray:
+        if self.kernel is None:
+            return gradient
+        a, b = len(self.kernel.points), self.shapes[0][1]
+        return np.concatenate([(self.kernel.whiten.T @ gradient[: a * b].reshape(a, b)).ravel(), gradient[a * b :]])
 
     def close(self) -> None:
         self.rows.unpersist()
