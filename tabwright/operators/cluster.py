@@ -39,7 +39,7 @@ class Centres:
         def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for series in batches:
                 x = np.stack(series.to_numpy()) if len(series) else np.empty((0, points.shape[1]))
-                parts = [_distances(x[k : k + STEP], points).argmin(axis=1) for k in range(0, len(x), STEP)]
+                parts = [_nearest(x[k : k + STEP], points) for k in range(0, len(x), STEP)]
                 yield pd.Series(np.concatenate(parts) if parts else np.empty(0), dtype="int32")
 
         return df.withColumn(self.prediction_col, nearest(vector_to_array(col(self.features_col))))
@@ -90,6 +90,23 @@ def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
 
 
+#: Of the lengths involved, how much two squared distances by products must differ to be told apart.
+NEAR_TIE = 1e-9
+
+
+def _nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The first of the nearest points to each row: by matrix products, and by differences where two are all but equally near."""
+    lengths = (points**2).sum(axis=1)
+    far = lengths - 2.0 * (x @ points.T)
+    mine = far.argmin(axis=1)
+    least = far[np.arange(len(x)), mine]
+    slack = NEAR_TIE * ((x**2).sum(axis=1) + lengths.max())
+    close = np.flatnonzero(~((far <= (least + slack)[:, None]).sum(axis=1) == 1))
+    if len(close):
+        mine[close] = _distances(x[close], points).argmin(axis=1)
+    return mine
+
+
 def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means++: each next centre is drawn by its squared distance to the nearest one so far."""
     rng = np.random.default_rng(seed)
@@ -102,8 +119,9 @@ def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return points
 
 
-def _pass(rows: DataFrame, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each start: rows of each cluster, sums of their inputs, and the cost. One scan; a task gives one row of numbers."""
+def _pass(rows: DataFrame, starts: list[np.ndarray], costs: bool = False) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each start: rows of each cluster, sums of their inputs, and (0 unless asked for) the cost. One scan; a task gives one row of
+    numbers."""
     k, d = starts[0].shape
     shared = rows.sparkSession.sparkContext.broadcast(starts)
 
@@ -114,13 +132,13 @@ def _pass(rows: DataFrame, starts: list[np.ndarray]) -> list[tuple[np.ndarray, n
             for at in range(0, len(x), STEP):
                 part = x[at : at + STEP]
                 for s, points in enumerate(shared.value):
-                    far = _distances(part, points)
-                    mine = far.argmin(axis=1)
+                    mine = _nearest(part, points)
                     member = np.zeros((len(part), k))
                     member[np.arange(len(part)), mine] = 1.0
                     total[s, :k] += member.sum(axis=0)
                     total[s, k:-1] += (member.T @ part).ravel()
-                    total[s, -1] += far[np.arange(len(part)), mine].sum()
+                    if costs:
+                        total[s, -1] += ((part - points[mine]) ** 2).sum()
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["total"])
 
     numbers = rows.mapInArrow(assign, "total array<double>").select(F.posexplode("total"))
@@ -159,7 +177,7 @@ def kmeans(
                 if ((moved - starts[i]) ** 2).sum() <= tol:
                     going.remove(i)
                 starts[i] = moved
-        costs = [cost for _, _, cost in _pass(rows, starts)]
+        costs = [cost for _, _, cost in _pass(rows, starts, costs=True)]
     finally:
         rows.unpersist()
     best = int(np.argmin(costs))
