@@ -111,9 +111,10 @@ def _issue_report(df: DataFrame, names: list[str], bad: Column, long_text: bool
     if long_text:
         head = F.substring("value", 1, HEAD)
         limits = _smallest(found.select("column", head.alias("_head")), "_head").groupBy("column").agg(F.max("_head").alias("_limit"))
-        found = found.join(limits, "column").where(head <= F.col("_limit"))
+        # One row for each column goes to the texts, which would else meet in one task.
+        found = found.join(F.broadcast(limits), "column").where(head <= F.col("_limit"))
     examples = _smallest(found, "value").groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("examples"))
-    return totals.join(examples, "column").select(
+    return totals.join(F.broadcast(examples), "column").select(
         "column", "issues", F.round(F.col("issues") / F.col("_n") * 100, 2).alias("pct"), "examples"
     )
 
