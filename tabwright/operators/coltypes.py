@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.numbers import NUMBER_FORMAT, as_double, to_numeric
 from ..plans.ranks import number_in_order
 from ..plans.scalars import col, unpivot
+from ..session import settle
 
 # The date formats tried, and the thresholds of the type decision.
 DATE_FORMATS = [
@@ -21,6 +22,8 @@ NUMERIC_SHARE = 0.9
 DATE_SHARE = 0.8
 CONTINUOUS_ABOVE = 30
 CATEGORIES_UP_TO = 20
+#: Levels whose codes are sent to all tasks; beyond, rows and codes are shuffled.
+SENT_LEVELS = 100_000
 CATEGORY_RATIO = 0.5
 LONG_TEXT = 64
 
@@ -254,7 +257,10 @@ def factorize(df: DataFrame, name: str, order_by: list[str], code: str = "code")
         .agg(F.min(F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order_by)])).alias("_first"))
         .select("_level", *[F.col(f"_first.o{i}").alias(f"_o{i}") for i in range(len(order_by))])
     )
-    codes = number_in_order(first, [f"_o{i}" for i in range(len(order_by))], "_code").select("_level", "_code")
+    codes = settle(number_in_order(first, [f"_o{i}" for i in range(len(order_by))], "_code").select("_level", "_code"))
+    # A few levels go to the rows, which would else meet in one task for each level.
+    if codes.count() <= SENT_LEVELS:
+        codes = F.broadcast(codes)
     joined = df.join(codes, col(name) == F.col("_level"), "left")
     return joined.select(*[col(c) for c in df.columns], F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(code))
 
