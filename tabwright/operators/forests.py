@@ -1,4 +1,4 @@
-"""Classification forests without a bound on depth.
+"""Classification forests without a bound on depth, and regression forests over counted inputs.
 
 Spark grows the upper levels of all trees until the distinct rows of a node fit one task. Then the rows go to their nodes, one group for each
 tree and node, and every group grows the rest of its tree at once, level by level, until leaves are pure or their rows equal. The
@@ -6,14 +6,22 @@ nodes stay a table; the driver never holds them. A table that fits a task needs
 
 Equal rows are counted first. A group draws the number of times that each of its rows is in the tree's bag, from a generator seeded by tree and
 node over rows in a fixed order, so a group that is computed again gives the same tree.
+
+A regression tree needs no more of its bag than how often the rows of each distinct input are in it, and the sum of their labels there.
+Every row is drawn for every tree, in streams; what is left of it, one number and one sum for each input and tree, goes to one group for
+each tree.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +33,8 @@ from ..session import settle
 ROWS_PER_GROUP, MOST_ROWS = 200_000, 1_000_000
 #: Levels that are added at a time, up to Spark's bound.
 MORE_LEVELS, MAX_LEVELS = 4, 30
+#: Values of an input between which a regression tree may cut, its deepest level, and parts among which the rows of one input are dealt.
+CUTS, MOST_DEPTH, SPREAD = 256, 10, 4
 NODES = "tree int, root int, feature array<int>, threshold array<double>, left array<int>, share array<double>"
 
 
@@ -190,3 +200,118 @@ def train_deep_forest(
 
     nodes = _placed(top, points, "x", trees).groupBy("tree", "root").applyInPandas(subtree, NODES)
     return DeepForest(top, settle(nodes), trees, classes, features_col, prediction_col)
+
+
+# ---- regression ---------------------------------------------------------------------------------------------------------------
+
+
+def _bags(trees: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each tree the inputs (``x``) of the task's rows, how often their rows are in its bag and the sum of their labels there.
+
+    Rows come sorted, so equal inputs follow one another."""
+    rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
+    points, times, sums = [], [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        y = batch.column(1).to_numpy()
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+        drawn = rng.poisson(1.0, (len(y), trees))
+        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)])
+        points.append(x[first]), times.append(np.add.reduceat(drawn, first)), sums.append(np.add.reduceat(drawn * y[:, None], first))
+    if not points:
+        return
+    x, n, s = (np.concatenate(parts) for parts in (points, times, sums))
+    for tree in range(trees):
+        held = np.flatnonzero(n[:, tree])
+        cells = [[x[held].ravel()], [n[held, tree].astype(float)], [s[held, tree]]]
+        yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), *[pa.array(c, pa.list_(pa.float64())) for c in cells]], names=["tree", "x", "n", "s"])
+
+
+def grow_means(x: np.ndarray, n: np.ndarray, s: np.ndarray, depth: int, min_leaf: float) -> dict[str, np.ndarray]:
+    """A regression tree over inputs with ``n`` rows and label sum ``s``, laid out as by :func:`grow`; ``share`` is a node's mean."""
+    cuts, codes = [], []
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        if len(values) > CUTS:
+            values = np.unique(np.quantile(x[:, f], np.linspace(0, 1, CUTS), method="lower"))
+        cuts.append(values), codes.append(np.searchsorted(values, x[:, f]))
+    feature, threshold, left, share = [], [], [], []
+    rows, node, n_nodes, made = np.arange(len(x)), np.zeros(len(x), "int64"), 1, 1
+    while n_nodes:
+        total, summed = np.bincount(node, n[rows], n_nodes), np.bincount(node, s[rows], n_nodes)
+        # A gain within rounding is none.
+        top, best, cut = summed**2 / total * (1 + 1e-12) + 1e-12, np.full(n_nodes, -1), np.zeros(n_nodes)
+        for f in range(x.shape[1]) if len(feature) < depth else ():
+            width = len(cuts[f])
+            if width < 2:
+                continue
+            at = node * width + codes[f][rows]
+            here, there = (np.bincount(at, v[rows], n_nodes * width).reshape(n_nodes, width).cumsum(axis=1)[:, :-1] for v in (n, s))
+            rest = total[:, None] - here
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = there**2 / here + (summed[:, None] - there) ** 2 / rest
+            gain = np.where((here >= min_leaf) & (rest >= min_leaf), gain, -np.inf)
+            place = gain.argmax(axis=1)
+            gain = gain[np.arange(n_nodes), place]
+            better = gain > top
+            top, best, cut = np.where(better, gain, top), np.where(better, f, best), np.where(better, cuts[f][place], cut)
+        split = best >= 0
+        below = made + 2 * (np.cumsum(split) - 1)
+        feature.append(best), threshold.append(cut), left.append(np.where(split, below, -1)), share.append(summed / total)
+        goes = split[node]
+        rows, node = rows[goes], node[goes]
+        right = x[rows, best[node]] > cut[node]
+        node, n_nodes = below[node] - made + right, 2 * int(split.sum())
+        made += n_nodes
+    return {"feature": np.concatenate(feature), "threshold": np.concatenate(threshold), "left": np.concatenate(left), "share": np.concatenate(share)}
+
+
+class MeanForest:
+    """Regression trees of bounded depth; a row's prediction is the mean over them."""
+
+    def __init__(self, trees: list[dict[str, np.ndarray]], mean: float, features_col: str, prediction_col: str):
+        self.trees, self.mean, self.features_col, self.prediction_col = trees, mean, features_col, prediction_col
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        trees, mean = self.trees, self.mean
+
+        @F.pandas_udf("double")
+        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for series in batches:
+                x = np.stack(series.to_numpy()) if len(series) else np.empty((0, 1))
+                # Equal inputs descend once.
+                points, of = np.unique(x, axis=0, return_inverse=True)
+                yield pd.Series(sum((descend(t, points) for t in trees), np.zeros(len(points)))[of.ravel()] / len(trees) + mean)
+
+        return df.withColumn(self.prediction_col, predict(vector_to_array(col(self.features_col))))
+
+
+def train_mean_forest(
+    df: DataFrame, features_col: str = "features", label_col: str = "label", prediction_col: str = "prediction", trees: int = 100,
+    depth: int = 10, min_leaf: int = 1, seed: int = 42,
+) -> MeanForest | None:
+    """``trees`` regression trees on bags of all rows, each node trying every feature. None if there are more distinct inputs than one
+    group should hold, or more levels than the driver."""
+    y = col(label_col).cast("double")
+    rows = df.where(y.isNotNull()).select(vector_to_array(col(features_col)).alias("x"), y.alias("y"))
+    mean, points = rows.agg(F.avg("y"), F.approx_count_distinct("x")).first()
+    if mean is None:
+        raise ValueError("no training rows")
+    if depth > MOST_DEPTH or points > ROWS_PER_GROUP:
+        return None
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Most rows of one input meet, so that their draws are added up at once; a hot input is dealt out.
+    dealt = rows.select("x", (F.col("y") - mean).alias("y")).repartition(parts, "x", F.pmod(F.xxhash64("y"), F.lit(SPREAD)))
+    cells = dealt.sortWithinPartitions("x", "y").mapInArrow(partial(_bags, trees, seed), "tree int, x array<double>, n array<double>, s array<double>")
+
+    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        n, s = (np.concatenate(group[c].to_numpy()) for c in ("n", "s"))
+        made = grow_means(np.concatenate(group.x.to_numpy()).reshape(len(n), -1), n, s, depth, min_leaf)
+        return pd.DataFrame({"tree": [int(key[0])], "root": [0], **{c: [made[c]] for c in ("feature", "threshold", "left", "share")}})
+
+    # As many nodes as the depth allows.
+    found = cells.groupBy("tree").applyInPandas(whole, NODES).collect()
+    names = ("feature", "threshold", "left", "share")
+    return MeanForest([{c: np.array(r[c]) for c in names} for r in sorted(found, key=lambda r: r.tree)], mean, features_col, prediction_col)

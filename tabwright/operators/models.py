@@ -11,6 +11,7 @@ import itertools
 import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 from typing import Any
 
@@ -28,7 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import hash_uniform
 from ..plans.ranks import number_rows
 from ..plans.scalars import col, shared
-from .forests import train_deep_forest
+from ..session import settle
+from .forests import train_deep_forest, train_mean_forest
 from .lsh_neighbors import lsh_classifier
 from .neighbors import knn_classifier
 from .moments import Moments, moments_by
@@ -41,6 +43,7 @@ from .prep import (
 
 SEED = 42
 KERNELS = ("rbf", "linear", "poly")
+WEIGHT = "_weight"
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -87,18 +90,45 @@ def train_elastic_net(
 def train_random_forest_regressor(
     df, features_col="features", label_col="label", prediction_col="prediction", trees: int = 100, depth: int = 10, min_leaf: int = 1
 ):
-    return RandomForestRegressor(
+    found = train_mean_forest(df, features_col, label_col, prediction_col, trees, depth, min_leaf, SEED)
+    # Inputs of too many distinct values, or trees too deep, for one task a tree.
+    return found or RandomForestRegressor(
         **_columns(features_col, label_col, prediction_col), numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
         featureSubsetStrategy="all", maxMemoryInMB=1024, seed=SEED,
     ).fit(df)
 
 
+#: Counted rows that a task should hold, so that the many short jobs of a fit stay short.
+COUNTED_PER_TASK = 10_000
+
+
+@contextmanager
+def _counted(df: DataFrame, features_col: str, label_col: str, means: bool = False) -> Iterator[DataFrame]:
+    """Equal rows once, ``WEIGHT`` telling how many they are: a weighted sum over them is the sum over all rows.
+
+    With ``means`` equal inputs are one row with their mean label. Splits by squared error stay the same, as the error within equal
+    inputs is part of every split alike.
+    """
+    given = df.select(vector_to_array(col(features_col)).alias("_x"), col(label_col).cast("double").alias("_y")).where("_y is not null")
+    n = F.count(F.lit(1)).cast("double").alias(WEIGHT)
+    counted = given.groupBy("_x").agg(F.avg("_y").alias("_y"), n) if means else given.groupBy("_x", "_y").agg(n)
+    rows = counted.select(array_to_vector("_x").alias(features_col), F.col("_y").alias(label_col), WEIGHT)
+    with shared(rows, COUNTED_PER_TASK) as kept:
+        yield kept
+
+
+def _number(counted: DataFrame) -> float:
+    """The number of rows that counted rows stand for."""
+    return counted.agg(F.sum(WEIGHT)).first()[0] or 1.0
+
+
 def train_gbt_regressor(
     df, features_col="features", label_col="label", prediction_col="prediction", rounds: int = 100, depth: int = 5, rate: float = 0.1
 ):
-    return GBTRegressor(
-        **_columns(features_col, label_col, prediction_col), maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED,
-    ).fit(df)
+    with _counted(df, features_col, label_col, means=True) as rows:
+        return GBTRegressor(
+            **_columns(features_col, label_col, prediction_col), weightCol=WEIGHT, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED,
+        ).fit(rows)
 
 
 class Chain:
@@ -163,10 +193,11 @@ def train_mlp_regressor(
 def train_logistic_regression(
     df, features_col="features", label_col="label", prediction_col="prediction", cost: float = 1.0, max_iter: int = 1000
 ):
-    return LogisticRegression(
-        **_columns(features_col, label_col, prediction_col), **_scores(prediction_col), regParam=1.0 / (cost * max(df.count(), 1)),
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9,
-    ).fit(df)
+    with _counted(df, features_col, label_col) as rows:
+        return LogisticRegression(
+            **_columns(features_col, label_col, prediction_col), **_scores(prediction_col), weightCol=WEIGHT, regParam=1.0 / (cost * _number(rows)),
+            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9,
+        ).fit(rows)
 
 
 def train_random_forest_classifier(
@@ -185,10 +216,11 @@ def train_gbt_classifier(
     df, features_col="features", label_col="label", prediction_col="prediction", rounds: int = 100, depth: int = 3, rate: float = 0.1
 ):
     trees = GBTClassifier(
-        **_columns(features_col, label_col, prediction_col), maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED,
+        **_columns(features_col, label_col, prediction_col), weightCol=WEIGHT, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED,
     )
     names = _scores(prediction_col)
-    return trees.setProbabilityCol(names["probabilityCol"]).setRawPredictionCol(names["rawPredictionCol"]).fit(df)
+    with _counted(df, features_col, label_col) as rows:
+        return trees.setProbabilityCol(names["probabilityCol"]).setRawPredictionCol(names["rawPredictionCol"]).fit(rows)
 
 
 def train_naive_bayes(df, features_col="features", label_col="label", prediction_col="prediction"):
@@ -224,10 +256,13 @@ def train_svm_classifier(
         def step(d: DataFrame) -> DataFrame:
             return d.withColumn(made, col(features_col))
 
-    model = LinearSVC(
-        featuresCol=made, labelCol=label_col, predictionCol=prediction_col, rawPredictionCol=f"{prediction_col}_raw",
-        regParam=1.0 / (cost * max(df.count(), 1)), standardization=False, maxIter=max_iter, tol=tol,
-    ).fit(step(df))
+    with _counted(df, features_col, label_col) as rows:
+        # The features are made once, not in every iteration.
+        with shared(step(rows).select(made, label_col, WEIGHT)) as inputs:
+            model = LinearSVC(
+                featuresCol=made, labelCol=label_col, predictionCol=prediction_col, rawPredictionCol=f"{prediction_col}_raw", weightCol=WEIGHT,
+                regParam=1.0 / (cost * _number(rows)), standardization=False, maxIter=max_iter, tol=tol,
+            ).fit(inputs)
     return Chain(step, model, made)
 
 
@@ -630,8 +665,8 @@ def retrain_on(
         pass  # the rows stay; those drawn for training are repeated after the split
     elif variant == "augmented":
         changed = bootstrap_augment(df, key, 2)
-        # A drawn row gets a key of its own.
-        changed = changed.withColumn("_copy_key", F.concat_ws("#", *[c.cast("string") for c in (col(key), F.col("copy"), F.col("draw"))]))
+        # A drawn row gets a key of its own. The split looks at the rows several times; they are drawn once.
+        changed = settle(changed.withColumn("_copy_key", F.concat_ws("#", *[c.cast("string") for c in (col(key), F.col("copy"), F.col("draw"))])))
         row_key = "_copy_key"
     elif variant == "engineered":
         changed = interaction_features(polynomial_features(df, features), features)

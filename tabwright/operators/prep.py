@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.hashing import digest, digest_prefix, hash_uniform
 from ..plans.ranks import exact_quantiles, number_rows
 from ..plans.scalars import col, scalar_row
+from ..session import settle
 from .bivariate import safe_corr
 from .coltypes import factorize, is_numeric, is_string, numeric_columns, present
 from .quality import duplicate_count, missing_totals
@@ -232,7 +233,8 @@ def _resample(df: DataFrame, key: str, by: list[str], multiplier: int, seed: int
     original = df.withColumn("copy", F.lit(0)).withColumn("draw", F.lit(0))
     if multiplier == 1:
         return original
-    numbered = number_rows(df, key, by, seed)
+    # Drawn from and drawn by: both sides of the join below.
+    numbered = settle(number_rows(df, key, by, seed))
     draws = numbered.select(
         *[col(b).alias(f"_by{i}") for i, b in enumerate(by)],
         col(key).alias("_drawer"),
