@@ -47,6 +47,8 @@ HOT = 64
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: Classes whose texts are found by sending their hashes to all tasks (16 bytes each); beyond, texts are shuffled.
 SENT = 1_000_000
+#: Classes for each task that writes a table of them: a small table dealt over many tasks costs more files than it has rows.
+CLASSES_PER_TASK = 2_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MASK = np.uint64((1 << FIELD) - 1)
@@ -140,7 +142,7 @@ def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 # ---- verification -----------------------------------------------------------------------------------------------------------
 
 
-def alike(pairs: DataFrame, classes: DataFrame, least: int, rows: int) -> DataFrame:
+def alike(pairs: DataFrame, classes: DataFrame, least: int, rows: int, tasks: int | None = None) -> DataFrame:
     """The pairs (``u``, ``v``) whose signatures agree in ``least`` minima."""
     sig = classes.select("node", "sig")
     both = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
@@ -149,32 +151,49 @@ def alike(pairs: DataFrame, classes: DataFrame, least: int, rows: int) -> DataFr
         return sum((x.bitwiseAND(F.lit(int(_MASK) << (FIELD * r))) == 0).cast("int") for r in range(rows))
 
     matches = F.aggregate(F.zip_with("a", "b", lambda x, y: agree(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return settle(both.filter(matches >= least).select("u", "v"))
+    return settle(both.filter(matches >= least).select("u", "v"), tasks)
 
 
-def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int, tasks: int | None = None) -> DataFrame:
     """``node``, ``members`` of the classes in ``nodes`` (``node``), from the one text that stands for each."""
-    wanted = settle(classes.join(nodes, "node").select("node", "hi", "lo", "rep"))
+    wanted = settle(classes.join(nodes, "node").select("node", "hi", "lo", "rep"), tasks)
     send = F.broadcast if wanted.count() <= SENT else lambda df: df
     th, key = F.xxhash64("text"), F.col("doc_id")
     reps = wanted.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     texts = docs.join(send(reps), (th == F.col("rep_th")) & key.eqNullSafe(F.col("rep_id")), "left_semi").select("text")
     found = texts.mapInArrow(partial(_sets, size), "hi long, lo long, members array<long>")
     # Rows that repeat an id and a text come twice.
-    return settle(wanted.select("node", "hi", "lo").join(found, ["hi", "lo"]).groupBy("node").agg(F.first("members").alias("members")))
+    return settle(wanted.select("node", "hi", "lo").join(found, ["hi", "lo"]).groupBy("node").agg(F.first("members").alias("members")), tasks)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """The pairs (``u``, ``v``) whose full sets are similar enough."""
     a, b = (sets.select(F.col("node").alias(n), F.col("members").alias(n + "s")) for n in "uv")
     common = F.size(F.array_intersect("us", "vs")).cast("long")
     either = F.size("us").cast("long") + F.size("vs") - common
-    return settle(pairs.join(a, "u").join(b, "v").filter(100 * common >= percent * either).select("u", "v"))
+    return settle(pairs.join(a, "u").join(b, "v").filter(100 * common >= percent * either).select("u", "v"), tasks)
 
 
 # ---- buckets ------------------------------------------------------------------------------------------------------------------
 
 
+def _mates(percent: int, least: int, rows: int, table: pa.Table) -> pa.Table:
+    """The pairs of one bucket from different components whose sizes and signatures allow a link. A pair that agrees in several bands is left
+    to the first of them, and the smallest member has been held against all others."""
+    table = table.sort_by("node")
+    node, root, size = (table[c].to_numpy() for c in ("node", "root", "n"))
+    band, sigs = table["band"][0].as_py(), np.array(table["sig"].to_pylist(), np.int64)
+    found: list[tuple[int, int]] = []
+    for i in range(1, len(node) - 1):
+        rest = np.arange(i + 1, len(node))
+        rest = rest[(root[rest] != root[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+        differ = sigs[rest] ^ sigs[i]
+        agree = sum((differ & (int(_MASK) << (FIELD * r)) == 0).sum(axis=1) for r in range(rows))
+        found += [(int(node[i]), int(node[j])) for j in rest[(agree >= least) & ~(differ[:, :band] == 0).any(axis=1)]]
+    u, v = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def _merge(percent: int, least: int, rows: int, table: pa.Table) -> pa.Table:
     """Links between different components of two blocks (or within one), as many as are needed to connect what is linked."""
     node, root, mine = (table[c].to_numpy() for c in ("node", "root", "mine"))
@@ -201,17 +220,17 @@ def _merge(percent: int, least: int, rows: int, table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([min(p) for p in out], pa.int64()), "v": pa.array([max(p) for p in out], pa.int64())})
 
 
-def crowds(many: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def crowds(many: DataFrame, sets: DataFrame, block: int, tasks: int | None = None) -> DataFrame:
     """``node``, ``root``, ``crowd``, ``x``, ``y``, ``mine``, ``cross``: members of large buckets (``band``, ``bucket``, ``node``, ``root``) in
     the tasks where they meet those of other components. Buckets that share a member are one crowd. Its main component is in blocks
     0, 1, ..., the others in -1, -2, ...; blocks of the main one needn't meet each other."""
     at = ["band", "bucket"]
-    first = settle(many.groupBy(*at).agg(F.min("node").alias("first")))
+    first = settle(many.groupBy(*at).agg(F.min("node").alias("first")), tasks)
     crowd = components(many.join(first, at).select(F.col("first").alias("u"), F.col("node").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("crowd"))
     size = sets.select("node", F.size("members").cast("long").alias("z"))
-    members = settle(many.select("node", "root").distinct().join(crowd, "node").join(size, "node"))
+    members = settle(many.select("node", "root").distinct().join(crowd, "node").join(size, "node"), tasks)
     parts = members.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("z"))
-    main = settle(parts.groupBy("crowd").agg(F.sum("n").alias("n"), F.sum("z").alias("z"), F.max(F.struct("n", (-F.col("root")).alias("r"), "z")).alias("o")))
+    main = settle(parts.groupBy("crowd").agg(F.sum("n").alias("n"), F.sum("z").alias("z"), F.max(F.struct("n", (-F.col("root")).alias("r"), "z")).alias("o")), tasks)
 
     def blocks(n: Column, z: Column) -> Column:
         return F.greatest(F.ceil(n / block), F.ceil(z / BLOCK_SHINGLES)).cast("int")
@@ -227,15 +246,15 @@ def crowds(many: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return central.union(others).withColumn("cross", F.col("x") != F.col("y"))
 
 
-def _apart(held: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(held: DataFrame, sizes: DataFrame, roots: DataFrame, tasks: int | None) -> DataFrame:
     """``u``, ``v``: members of other components than the smallest member of their bucket, and that member."""
     at, root = ["band", "bucket"], F.col("root")
     own = held.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", *at, F.coalesce(root, "node").alias("root"))
     first = sizes.select(*at, "first").join(roots.withColumnRenamed("u", "first"), "first", "left").select("first", *at, F.coalesce(root, "first").alias("its"))
-    return settle(own.join(first, at).filter("root <> its").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct())
+    return settle(own.join(first, at).filter("root <> its").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), tasks)
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT, hot: int = HOT, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """``u``, ``v``: confirmed links with the same components as all pairs of similar classes."""
     _, rows = layout(percent)
     least = least_matches(HASHES // rows * rows, percent)
@@ -243,28 +262,28 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int = PERCENT
     at = ["band", "bucket"]
     sizes = settle(own.groupBy(*at).agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("first")).filter("c > 1"))
     held = settle(own.join(sizes, at))
-    # A member of many buckets is held against one class at first; the other pairs follow where they can still connect anything.
+    # A member of many buckets is held against one class at first; the other pairs follow where they can still connect anything. Pairs of
+    # small buckets are told apart where their members meet, as joining them would move a row for each pair.
     starred = held.filter("node <> first")
-    near = alike(starred.groupBy("node").agg(F.min("first").alias("u")).select("u", F.col("node").alias("v")), classes, least, rows)
-    sets = sets_of(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs, size)
-    found = confirm(near, sets, percent)
-    again = alike(_apart(held, sizes, components(found)).join(near, ["u", "v"], "left_anti"), classes, least, rows)
-    sets = sets_of(again.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs, size)
-    near, found = near.union(again), found.union(confirm(again, sets, percent))
+    near = alike(starred.groupBy("node").agg(F.min("first").alias("u")).select("u", F.col("node").alias("v")), classes, least, rows, tasks)
+    sets = sets_of(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs, size, tasks)
+    found = confirm(near, sets, percent, tasks)
+    again = alike(_apart(held, sizes, components(found), tasks).join(near, ["u", "v"], "left_anti"), classes, least, rows, tasks)
+    sets = sets_of(again.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs, size, tasks)
+    near, found = near.union(again), found.union(confirm(again, sets, percent, tasks))
     # A bucket of two is done. The larger ones with several components are not.
     roots = components(found).withColumnRenamed("u", "node")
-    named = settle(held.filter("c > 2").select("node", *at, "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = settle(named.groupBy(*at).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(*at))
-    left = settle(named.join(mixed, at))
-    a, b = left.filter(F.col("c") <= hot).alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")))
-    few = alike(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(near, ["u", "v"], "left_anti"), classes, least, rows)
-    many = settle(left.filter(F.col("c") > hot))
-    more = sets_of(few.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct(), classes, docs, size)
-    dealt = crowds(many, more, block)
+    named = settle(held.filter("c > 2").select("node", *at, "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), tasks)
+    mixed = settle(named.groupBy(*at).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(*at), tasks)
+    left = settle(named.join(mixed, at), tasks)
+    some = left.filter(F.col("c") <= hot).select("node", "root", *at).join(classes.select("node", "n", "sig"), "node")
+    few = settle(some.groupBy(*at).applyInArrow(lambda t: _mates(percent, least, rows, t), "u long, v long"))
+    many = settle(left.filter(F.col("c") > hot), tasks)
+    more = sets_of(few.select(F.explode(F.array("u", "v")).alias("node")).union(many.select("node")).distinct(), classes, docs, size, tasks)
+    dealt = crowds(many, more, block, tasks)
     loaded = dealt.join(more, "node").join(classes.select("node", "sig"), "node")
     merged = loaded.groupBy("crowd", "x", "y").applyInArrow(lambda t: _merge(percent, least, rows, t), "u long, v long")
-    return settle(found.union(confirm(few, more, percent)).union(merged).distinct())
+    return settle(found.union(confirm(few, more, percent, tasks)).union(merged).distinct())
 
 
 # ---- the operator -------------------------------------------------------------------------------------------------------------
@@ -276,12 +295,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     prints = own.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(partial(_prints, shingle, *layout(percent)), "doc_id long, th long, n long, hi long, lo long, sig array<long>")
     prints = settle(prints)
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
-    classes = prints.filter("n > 0").groupBy("hi", "lo").agg(rep, F.first("sig").alias("sig"))
+    classes = prints.filter("n > 0").groupBy("hi", "lo").agg(rep, F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(classes, own, shingle, percent, hot, block)).withColumnRenamed("u", "node")
-    named = settle(classes.select("node", "hi", "lo", F.col("rep.doc_id").alias("first_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    smallest = settle(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    known = settle(named.join(smallest, "root").select("hi", "lo", "component_id", F.lit(True).alias("known")))
+    tasks = max(1, -(-classes.count() // CLASSES_PER_TASK))
+    roots = components(links(classes, own, shingle, percent, hot, block, tasks)).withColumnRenamed("u", "node")
+    named = settle(classes.select("node", "hi", "lo", F.col("rep.doc_id").alias("first_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), tasks)
+    smallest = settle(named.groupBy("root").agg(F.min("first_id").alias("component_id")), tasks)
+    known = settle(named.join(smallest, "root").select("hi", "lo", "component_id", F.lit(True).alias("known")), tasks)
     out = prints.select("doc_id", "n", "hi", "lo").join(known, ["hi", "lo"], "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

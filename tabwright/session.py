@@ -49,9 +49,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so that a lost executor costs a re-read."""
+def settle(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Cut lineage through reliable storage, so that a lost executor costs a re-read. At most ``tasks`` tasks write it, if given."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    return (df.coalesce(tasks) if tasks else df).checkpoint()

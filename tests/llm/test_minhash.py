@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tabwright.llm import minhash
+from tabwright.llm import components, minhash
 
 from tests.llm import samples
 
@@ -112,3 +112,43 @@ def test_a_member_of_many_buckets_is_held_against_one_class_first(spark, monkeyp
     monkeypatch.setattr(minhash, "alike", counted)
     assert rows(minhash.near_duplicates(samples.corpus(spark, docs).repartition(4), shingle=2)) == brute(docs)
     assert counts[0] < 200 and sum(counts[1:]) < 200
+
+
+def test_pairs_of_small_buckets_are_not_joined(spark, monkeypatch):
+    """Classes that share buckets without being similar enough meet where their buckets lie."""
+    rng = random.Random(11)
+    base = samples.words(rng, 150)
+    docs = [(k, " ".join(edited(rng, base, 0.09))) for k in range(40)] + [(100 + k, " ".join(edited(rng, base, 0.02))) for k in range(6)]
+    counts, alike = [], minhash.alike
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "alike", counted)
+    assert rows(minhash.near_duplicates(samples.corpus(spark, docs).repartition(4), shingle=2)) == brute(docs)
+    assert len(counts) == 2
+
+
+def test_a_pair_is_left_to_its_first_band():
+    words = [f"w{k}" for k in range(300)]
+    sets = [minhash.shingles(" ".join(words[k : k + 270]), 2) for k in (0, 1, 2, 3)]
+    bands, width = minhash.layout()
+    sigs = [minhash.signature(s, bands, width) for s in sets]
+    found = []
+    for band in range(bands):
+        for bucket in {int(s[band]) for s in sigs}:
+            mine = [k for k, s in enumerate(sigs) if s[band] == bucket]
+            table = minhash.pa.table({"node": mine, "root": mine, "n": [len(sets[k]) for k in mine], "sig": [sigs[k].tolist() for k in mine], "band": [band] * len(mine), "bucket": [bucket] * len(mine)})
+            found += [(p["u"], p["v"]) for p in minhash._mates(80, 1, width, table).to_pylist()]
+    assert len(found) == len(set(found)) and (2, 3) in found
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    kept, keep = [], components._Tables.keep
+    monkeypatch.setattr(components._Tables, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    edges = spark.createDataFrame([(5, 1), (6, 1), (1, 7), (9, 8), (9, 9)], "u long, v long")
+    assert sorted(map(tuple, components.components(edges).collect())) == [(1, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 8)]
+    assert len(kept) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    assert sorted(map(tuple, components.components(path).collect())) == [(k, 0) for k in range(41)]
