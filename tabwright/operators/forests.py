@@ -33,8 +33,9 @@ from ..session import settle
 ROWS_PER_GROUP, MOST_ROWS = 200_000, 1_000_000
 #: Levels that are added at a time, up to Spark's bound.
 MORE_LEVELS, MAX_LEVELS = 4, 30
-#: Values of an input between which a regression tree may cut, its deepest level, and parts among which the rows of one input are dealt.
-CUTS, MOST_DEPTH, SPREAD = 256, 10, 4
+#: Values of an input between which a regression tree may cut (the fewest are those of Spark's forest), its deepest level, and parts among
+#: which the rows of one input are dealt.
+CUTS, FEWEST_CUTS, MOST_DEPTH, SPREAD = 256, 32, 10, 4
 NODES = "tree int, root int, feature array<int>, threshold array<double>, left array<int>, share array<double>"
 
 
@@ -228,6 +229,45 @@ def _bags(trees: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), *[pa.array(c, pa.list_(pa.float64())) for c in cells]], names=["tree", "x", "n", "s"])
 
 
+def _cut_values(rows: DataFrame, inputs: int) -> list[np.ndarray]:
+    """For each input of ``x`` the values between which trees may cut: all of them if they are few, else quantiles; the largest is the last."""
+    x = [F.col("x")[f] for f in range(inputs)]
+    probs = [float(p) for p in np.linspace(0, 1, CUTS)]
+    found = rows.agg(*[F.percentile_approx(v, probs, 50 * CUTS) for v in x], *[F.approx_count_distinct(v) for v in x], *[F.max(v) for v in x]).first()
+    few = [f for f in range(inputs) if found[inputs + f] <= CUTS]
+    # No more than about ``CUTS`` values each.
+    values = rows.agg(*[F.collect_set(x[f]) for f in few]).first() if few else ()
+    cuts = [np.unique(np.array([*found[f], found[2 * inputs + f]], "float64")) for f in range(inputs)]
+    for f, each in zip(few, values, strict=True):
+        cuts[f] = np.unique(np.array(each, "float64"))
+    return cuts
+
+
+def _thinned(cuts: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the values, evenly spaced, with the last."""
+    return cuts if len(cuts) <= most else cuts[np.unique(np.linspace(0, len(cuts) - 1, most).astype("int64"))]
+
+
+def _raised(cuts: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y) with every value of ``x`` raised to the next cut."""
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        raised = np.column_stack([c[np.minimum(np.searchsorted(c, x[:, f]), len(c) - 1)] for f, c in enumerate(cuts)]) if len(x) else x
+        lengths = np.arange(batch.num_rows + 1, dtype="int32") * len(cuts)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(lengths), pa.array(raised.ravel())), batch.column(1)], names=["x", "y"])
+
+
+def _between_cuts(rows: DataFrame, inputs: int) -> DataFrame | None:
+    """``rows`` (x, y) with values raised to as many cuts as leave few enough inputs for a group; None if the fewest leave too many."""
+    cuts, width = _cut_values(rows, inputs), CUTS
+    while width >= FEWEST_CUTS:
+        raised = rows.mapInArrow(partial(_raised, [_thinned(c, width) for c in cuts]), "x array<double>, y double")
+        if raised.agg(F.approx_count_distinct("x")).first()[0] <= ROWS_PER_GROUP:
+            return raised
+        width //= 2
+    return None
+
+
 def grow_means(x: np.ndarray, n: np.ndarray, s: np.ndarray, depth: int, min_leaf: float) -> dict[str, np.ndarray]:
     """A regression tree over inputs with ``n`` rows and label sum ``s``, laid out as by :func:`grow`; ``share`` is a node's mean."""
     cuts, codes = [], []
@@ -291,15 +331,19 @@ def train_mean_forest(
     df: DataFrame, features_col: str = "features", label_col: str = "label", prediction_col: str = "prediction", trees: int = 100,
     depth: int = 10, min_leaf: int = 1, seed: int = 42,
 ) -> MeanForest | None:
-    """``trees`` regression trees on bags of all rows, each node trying every feature. None if there are more distinct inputs than one
-    group should hold, or more levels than the driver."""
+    """``trees`` regression trees on bags of all rows, each node trying every feature. None if there are more distinct inputs between cuts
+    than one group should hold, or more levels than the driver."""
     y = col(label_col).cast("double")
     rows = df.where(y.isNotNull()).select(vector_to_array(col(features_col)).alias("x"), y.alias("y"))
-    mean, points = rows.agg(F.avg("y"), F.approx_count_distinct("x")).first()
+    mean, points, inputs = rows.agg(F.avg("y"), F.approx_count_distinct("x"), F.max(F.size("x"))).first()
     if mean is None:
         raise ValueError("no training rows")
-    if depth > MOST_DEPTH or points > ROWS_PER_GROUP:
+    if depth > MOST_DEPTH:
         return None
+    if points > ROWS_PER_GROUP:
+        rows = _between_cuts(rows, inputs)
+        if rows is None:
+            return None
     spark = df.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Most rows of one input meet, so that their draws are added up at once; a hot input is dealt out.

@@ -1,6 +1,7 @@
 """Equal rows are counted, not repeated; small sides are sent to the large ones."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,35 @@ def test_regression_forest_draws_every_row(grid, monkeypatch):
     assert not isinstance(models.train_random_forest_regressor(grid, trees=2, depth=3), forests.MeanForest)
 
 
+def test_regression_forest_over_many_distinct_inputs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(c % 3), float(10 * (a > 0.3) + 5 * (b > 0.7) + c % 3)) for c, (a, b) in enumerate(rng.random((3000, 2)))]
+    table = models.assemble(spark.createDataFrame(rows, "a double, b double, c double, label double"), ["a", "b", "c"])
+    monkeypatch.setattr(forests, "CUTS", 32)
+    monkeypatch.setattr(forests, "FEWEST_CUTS", 8)
+    monkeypatch.setattr(forests, "ROWS_PER_GROUP", 1000)
+    model = models.train_random_forest_regressor(table, trees=5, depth=6)
+    assert isinstance(model, forests.MeanForest)
+    assert models.regression_metrics(model.transform(table)).first().r2 > 0.9
+    # Labels and rows are kept; an input of few values keeps them all, the others are raised to their cuts.
+    given = table.select(F.array("a", "b", "c").alias("x"), F.col("label").alias("y"))
+    raised = forests._between_cuts(given, 3).collect()
+    assert sorted(r.y for r in raised) == sorted(r[3] for r in rows) and len({tuple(r.x) for r in raised}) <= 1100
+    assert {r.x[2] for r in raised} == {0.0, 1.0, 2.0}
+    assert 8 <= len({r.x[0] for r in raised}) <= 16 and max(r.x[0] for r in raised) == max(r[0] for r in rows)
+
+
+def test_a_cut_parts_raised_values_as_it_parts_values():
+    cuts = np.array([0.2, 0.5, 0.9])
+    x = np.array([0.1, 0.2, 0.3, 0.5, 0.6, 0.9])
+    batch = pa.RecordBatch.from_arrays([pa.array([[v] for v in x]), pa.array(x)], names=["x", "y"])
+    (raised,) = forests._raised([cuts], [batch])
+    made = np.array(raised.column(0).to_pylist()).ravel()
+    assert made.tolist() == [0.2, 0.2, 0.5, 0.5, 0.9, 0.9] and raised.column(1).to_pylist() == x.tolist()
+    assert all(((x <= c) == (made <= c)).all() for c in cuts)
+    assert forests._thinned(np.arange(100.0), 10)[-1] == 99 and len(forests._thinned(np.arange(100.0), 10)) == 10
+
+
 @pytest.mark.parametrize(("epsilon", "rows"), [(None, 10), (0.1, 540)])
 def test_gradient_of_shared_inputs(grid, monkeypatch, epsilon, rows):
     monkeypatch.setattr(networks, "HOT", 50)
