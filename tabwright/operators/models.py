@@ -638,7 +638,9 @@ def stacking_regressor(
                 fitted = train_models(folded.where(F.col("fold") != i), names, "Regression", params)
                 parts.append(meta_inputs(folded.where(F.col("fold") == i), fitted).select("meta", "label"))
             inputs = reduce(DataFrame.unionByName, parts)
-        model = train_linear_regression(inputs, "meta", "label", "prediction")
+        # The fit and its summary both read them; the members predict once.
+        with shared(inputs) as seen:
+            model = train_linear_regression(seen, "meta", "label", "prediction")
     return model.transform(meta_inputs(test, members)).drop("meta", *[p for _, p in members.values()])
 
 

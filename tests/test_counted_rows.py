@@ -148,3 +148,11 @@ def test_rows_are_numbered_once_for_resamples(spark, monkeypatch):
     monkeypatch.setattr(prep, "settle", lambda df: calls.append(1) or settle(df))
     rows = spark.range(50).withColumnRenamed("id", "k")
     assert prep.bootstrap_augment(rows, "k", 2).count() == 100 and calls == [1]
+
+
+def test_stacked_inputs_are_kept_for_the_fit(grid, monkeypatch):
+    kept = []
+    shared = models.shared
+    monkeypatch.setattr(models, "shared", lambda df, *rest: kept.append(df.columns) or shared(df, *rest))
+    stacked = models.stacking_regressor(grid, grid, params={"Random Forest": {"trees": 3, "depth": 3}, "Ridge Regression": {}})
+    assert ["meta", "label"] in kept and models.regression_metrics(stacked).first().r2 > 0.9
