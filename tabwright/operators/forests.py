@@ -4,6 +4,8 @@ Spark grows the upper levels of all trees until the distinct rows of a node fit
 tree and node, and every group grows the rest of its tree at once, level by level, until leaves are pure or their rows equal. The
 nodes stay a table; the driver never holds them. A table that fits a task needs no upper levels.
 
+Rows travel in packs, one for each task, tree and node, and a group sorts its inputs once: a level only parts what is sorted.
+
 Equal rows are counted first. A group draws the number of times that each of its rows is in the tree's bag, from a generator seeded by tree and
 node over rows in a fixed order, so a group that is computed again gives the same tree.
 
@@ -36,69 +38,112 @@ MORE_LEVELS, MAX_LEVELS = 4, 30
 #: Values of an input between which a regression tree may cut (the fewest are those of Spark's forest), its deepest level, and parts among
 #: which the rows of one input are dealt.
 CUTS, FEWEST_CUTS, MOST_DEPTH, SPREAD = 256, 32, 10, 4
+#: Distinct rows that travel in one pack for each tree: on the way to grow trees, and to descend them (every tree's shares of a pack meet).
+GROW_PACK, DESCEND_PACK = 100_000, 20_000
 NODES = "tree int, root int, feature array<int>, threshold array<double>, left array<int>, share array<double>"
 
 
-def _splits(x, y, w, node, counts, wanted, min_leaf):
-    """For each node the best split among its wanted features: (score, feature, threshold), score -inf if there is none."""
+def _splits(x, w, node, counts, wanted, min_leaf, orders):
+    """For each node the best split among its wanted features: (score, feature, threshold), score -inf if there is none.
+
+    ``x`` has an array for each feature, ``w`` the rows' weights for each class, ``orders`` the rows for each feature, sorted by node
+    and value."""
     n_nodes, classes = counts.shape
     best, feature, threshold = np.full(n_nodes, -np.inf), np.full(n_nodes, -1), np.zeros(n_nodes)
-    for f in range(x.shape[1]):
-        rows = np.flatnonzero(wanted[node, f])
-        if len(rows) < 2:
+    for f, order in enumerate(orders):
+        tries = np.ascontiguousarray(wanted[:, f])
+        if not tries.any():
             continue
-        rows = rows[np.lexsort((x[rows, f], node[rows]))]
-        at, v = node[rows], x[rows, f]
-        weights = np.zeros((len(rows), classes))
-        weights[np.arange(len(rows)), y[rows]] = w[rows]
-        total = weights.cumsum(axis=0)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        before = np.repeat(total[first] - weights[first], np.diff(np.r_[first, len(rows)]), axis=0)
-        left = total - before
-        right = counts[at] - left
-        n_left, n_right = left.sum(axis=1), right.sum(axis=1)
-        valid = np.r_[(at[1:] == at[:-1]) & (v[1:] > v[:-1]), False] & (n_left >= min_leaf) & (n_right >= min_leaf)
+        at = node[order]
+        if not tries.all():
+            chosen = tries[at]
+            order, at = order[chosen], at[chosen]
+        v = x[f][order]
+        same = at[1:] == at[:-1]
+        # Only a place between two values of a node can be a split.
+        ends = np.flatnonzero(same & (v[1:] > v[:-1]))
+        if not len(ends):
+            continue
+        first = np.r_[0, np.flatnonzero(~same) + 1]
+        of, began = at[ends], at[first]
+        n_left, n_right, here, there = np.zeros(len(ends)), np.zeros(len(ends)), np.zeros(len(ends)), np.zeros(len(ends))
+        for c in range(classes):
+            total = w[c][order].cumsum()
+            before = np.zeros(n_nodes)
+            before[began] = np.r_[0.0, total[first[1:] - 1]]
+            left = total[ends] - before[of]
+            right = counts[:, c][of] - left
+            n_left += left
+            n_right += right
+            here += left * left
+            there += right * right
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(valid, (left**2).sum(axis=1) / n_left + (right**2).sum(axis=1) / n_right, -np.inf)
-        top = np.maximum.reduceat(score, first)
-        hits = np.flatnonzero(valid & (score == np.repeat(top, np.diff(np.r_[first, len(rows)]))))
-        nodes, index = np.unique(at[hits], return_index=True)
-        place = hits[index]
-        better = score[place] > best[nodes]
-        nodes, place = nodes[better], place[better]
+            score = here / n_left + there / n_right
+        if min_leaf > 0:
+            score[(n_left < min_leaf) | (n_right < min_leaf)] = -np.inf
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        top = np.maximum.reduceat(score, start)
+        hits = np.flatnonzero((score > -np.inf) & (score == np.repeat(top, np.diff(np.r_[start, len(of)]))))
+        hits = hits[np.flatnonzero(np.r_[True, of[hits][1:] != of[hits][:-1]])] if len(hits) else hits
+        nodes, place, score = of[hits], ends[hits], score[hits]
+        better = score > best[nodes]
+        nodes, place, score = nodes[better], place[better], score[better]
         middle = v[place] + (v[place + 1] - v[place]) / 2
-        best[nodes], feature[nodes] = score[place], f
+        best[nodes], feature[nodes] = score, f
         threshold[nodes] = np.where(middle < v[place + 1], middle, v[place])
     return best, feature, threshold
 
 
+def _parted(order: np.ndarray, node: np.ndarray, n_nodes: int) -> np.ndarray:
+    """Rows sorted by parent and value, sorted by node and value; the nodes of a parent are an even number and the next."""
+    at = node[order]
+    right = (at & 1).astype(bool)
+    held = np.bincount(at, minlength=n_nodes)
+    left_upto, right_upto = held[::2].cumsum(), held[1::2].cumsum()
+    parted = np.empty_like(order)
+    for side, shift in ((~right, right_upto - held[1::2]), (right, left_upto)):
+        rows = order[side]
+        parted[np.arange(len(rows)) + shift[at[side] >> 1]] = rows
+    return parted
+
+
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, tried: int, min_leaf: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
     """A tree over rows of weight ``w``: rows with x[feature] <= threshold go to ``left``, others to ``left + 1``; leaves have feature -1.
 
     Each node tries ``tried`` features drawn at random, and the others if none of these parts its rows.
     """
     feature, threshold, left, share = [], [], [], []
-    rows, node, made = np.flatnonzero(w > 0), np.zeros(int((w > 0).sum()), "int64"), 1
+    held = np.flatnonzero(w > 0)
+    inputs, y, w = [np.ascontiguousarray(c) for c in x[held].T], y[held], w[held]
+    weights = [np.where(y == c, w, 0.0) for c in range(classes)]
+    rows, node, made = np.arange(len(held), dtype="int32"), np.zeros(len(held), "int32"), 1
+    orders = [np.argsort(v, kind="stable").astype("int32") for v in inputs]
     n_nodes = 1
     while n_nodes:
-        counts = np.bincount(node * classes + y[rows], w[rows], n_nodes * classes).reshape(n_nodes, classes)
+        at = node[rows]
+        counts = np.column_stack([np.bincount(at, v[rows], n_nodes) for v in weights])
         total = counts.sum(axis=1)
         open_ = counts.max(axis=1) < total
         drawn = rng.random((n_nodes, x.shape[1])).argsort(axis=1).argsort(axis=1) < tried
-        part = x[rows], y[rows], w[rows], node, counts
-        score, best, cut = _splits(*part, drawn & open_[:, None], min_leaf)
+        part = inputs, weights, node, counts
+        score, best, cut = _splits(*part, drawn & open_[:, None], min_leaf, orders)
         missing = open_ & (best < 0)
         if missing.any() and tried < x.shape[1]:
-            _, more, at = _splits(*part, ~drawn & missing[:, None], min_leaf)
-            best, cut = np.where(missing, more, best), np.where(missing, at, cut)
+            _, more, where = _splits(*part, ~drawn & missing[:, None], min_leaf, orders)
+            best, cut = np.where(missing, more, best), np.where(missing, where, cut)
         split = best >= 0
         below = made + 2 * (np.cumsum(split) - 1)
         feature.append(best), threshold.append(cut), left.append(np.where(split, below, -1))
         share.append(counts / np.maximum(total, 1e-300)[:, None])
-        goes = split[node]
-        rows, node = rows[goes], node[goes]
-        right = x[rows, best[node]] > cut[node]
-        node, n_nodes = below[node] - made + right, 2 * int(split.sum())
+        n_nodes = 2 * int(split.sum())
+        orders = [o[split[node[o]]] for o in orders]
+        rows, at = rows[split[at]], at[split[at]]
+        by, right = best[at], np.zeros(len(rows), bool)
+        for f, v in enumerate(inputs):
+            of = np.flatnonzero(by == f)
+            right[of] = v[rows[of]] > cut[at[of]]
+        node[rows] = below[at] - made + right
+        orders = [_parted(o, node, n_nodes) for o in orders]
         made += n_nodes
     return {"feature": np.concatenate(feature), "threshold": np.concatenate(threshold), "left": np.concatenate(left), "share": np.concatenate(share)}
 
@@ -125,20 +170,37 @@ class DeepForest:
         """Shares averaged over the trees; the most likely class, the smallest of several. Distinct points descend once."""
         classes, own = self.classes, f"_{self.prediction_col}_x"
 
-        def shares(key: tuple, rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-            if rows.empty or nodes.empty:
-                return pd.DataFrame({own: [], "share": []}, dtype=object)
+        def shares(key: tuple, packs: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+            if packs.empty or nodes.empty:
+                return pd.DataFrame({"pack": [], "tree": [], "place": [], "x": [], "share": []}, dtype=object)
             tree = {c: np.asarray(nodes[c].iloc[0]) for c in ("feature", "threshold", "left", "share")}
             tree["share"] = tree["share"].reshape(-1, classes)
-            found = descend(tree, np.stack(rows[own].to_numpy()))
-            return pd.DataFrame({own: rows[own].to_numpy(), "share": list(found)})
+            found = [descend(tree, x.reshape(len(place), -1)).ravel() for x, place in zip(packs.x, packs.place, strict=True)]
+            # The points themselves come back once.
+            return pd.DataFrame({"pack": packs.pack, "tree": packs.tree, "place": packs.place, "x": packs.x if key[0] == 0 else None, "share": found})
+
+        def summed(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+            given = parts[parts.tree == 0]
+            n = sum(map(len, given.place))
+            x, share = np.empty((n, sum(map(len, given.x)) // n)), np.zeros((n, classes))
+            for place, values in zip(given.place, given.x, strict=True):
+                x[place] = values.reshape(len(place), -1)
+            # Always in the same order.
+            for place, values in zip(*(parts.sort_values("tree")[c] for c in ("place", "share")), strict=True):
+                share[place] += values.reshape(len(place), -1)
+            return pd.DataFrame({own: list(x), "share": list(share)})
 
         given = df.withColumn(own, vector_to_array(col(self.features_col)))
-        points = _placed(self.top, given.select(own).distinct(), own, self.trees)
-        each = points.groupBy("tree", "root").cogroup(self.nodes.groupBy("tree", "root")).applyInPandas(shares, f"`{own}` array<double>, share array<double>")
+        points = given.select(F.col(own).alias("x")).distinct()
+        # In the same order if a task runs again, as packs are numbered.
+        dealt = points.repartition(_tasks(df), "x").sortWithinPartitions("x")
+        packs = _packs(self.top, dealt, self.trees, DESCEND_PACK)
+        each = packs.groupBy("tree", "root").cogroup(self.nodes.groupBy("tree", "root")).applyInPandas(
+            shares, "pack long, tree int, place array<int>, x array<double>, share array<double>"
+        )
+        scored = each.groupBy("pack").applyInPandas(summed, f"`{own}` array<double>, share array<double>")
         # Rounded, so that the order of summation decides no tie.
-        mean = [F.round(F.sum(F.col("share")[c]) / self.trees, 12) for c in range(classes)]
-        scored = each.groupBy(own).agg(F.array(*mean).alias("_share"))
+        scored = scored.select(own, F.array(*[F.round(F.col("share")[c] / self.trees, 12) for c in range(classes)]).alias("_share"))
         probability, raw = f"{self.prediction_col}_probability", f"{self.prediction_col}_raw"
         best = (F.array_position("_share", F.array_max("_share")) - 1).cast("double")
         return given.join(scored, own).withColumns({
@@ -146,12 +208,70 @@ class DeepForest:
         }).drop(own, "_share")
 
 
-def _placed(top, points: DataFrame, vector: str, trees: int) -> DataFrame:
-    """Every row once for each tree, with its node."""
-    if top is None:
-        return points.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).alias("root"))
-    leaves = top.transform(points.withColumn("_v", array_to_vector(vector)))
-    return leaves.select(*points.columns, F.posexplode(vector_to_array("_leaf"))).withColumnRenamed("pos", "tree").withColumn("root", F.col("col").cast("int")).drop("col")
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _with_leaves(top, points: DataFrame) -> DataFrame:
+    """``points`` with their node in every tree (``leaf``)."""
+    return top.transform(points.withColumn("_v", array_to_vector("x"))).select(*points.columns, vector_to_array("_leaf").cast("array<int>").alias("leaf"))
+
+
+def _pack(trees: int, most: int, others: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each tree and node the task's points (``x`` and ``others``), their pack and their places in it, ``most`` points a pack."""
+    flat, held, size, number = [], [], 0, 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        x, rest = np.concatenate(flat), [np.concatenate([h[i] for h in held]) for i in range(len(others) + 1)]
+        leaf, rest = rest[-1], rest[:-1]
+        pack = (TaskContext.get().partitionId() << 32) + number
+        for tree in range(trees):
+            at = leaf[:, tree] if leaf.shape[1] else np.zeros(len(x), "int32")
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+            groups = np.split(order, starts[1:])
+            cells = [
+                pa.array(np.full(len(groups), pack)), pa.array(np.full(len(groups), tree, "int32")), pa.array(at[order][starts].astype("int32")),
+                _lists(groups, 1, order.astype("int32"), pa.int32()), _lists(groups, x.shape[1], x[order].ravel(), pa.float64()),
+                *[_lists(groups, 1, r[order], pa.float64()) for r in rest],
+            ]
+            yield pa.RecordBatch.from_arrays(cells, names=["pack", "tree", "root", "place", "x", *others])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        array = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+        flat.append(array["x"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
+        leaf = array["leaf"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if "leaf" in array else np.empty((n, 0), "int32")
+        held.append([*[array[c].to_numpy(zero_copy_only=False).astype("float64") for c in others], leaf])
+        size += n
+        if size >= most:
+            yield from flushed()
+            flat, held, size, number = [], [], 0, number + 1
+    if size:
+        yield from flushed()
+
+
+def _lists(groups: list[np.ndarray], width: int, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """``values`` in one list for each group."""
+    ends = np.cumsum([0, *map(len, groups)]) * width
+    return pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(values, kind))
+
+
+def _packs(top, points: DataFrame, trees: int, most: int) -> DataFrame:
+    """Every row of ``points`` (x and numbers) once for each tree, those of one task, tree and node (none: the root) packed together."""
+    others = [c for c in points.columns if c != "x"]
+    given = points if top is None else _with_leaves(top, points)
+    schema = "pack long, tree int, root int, place array<int>, x array<double>" + "".join(f", {c} array<double>" for c in others)
+    return given.mapInArrow(partial(_pack, trees, most, others), schema)
+
+
+def _largest_node(top, points: DataFrame) -> int:
+    """The rows of the fullest node of the trees' upper levels."""
+    placed = _with_leaves(top, points.select("x")).select(F.posexplode("leaf").alias("tree", "root"))
+    return placed.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
 
 
 def _upper_levels(points: DataFrame, n: int, trees: int, min_leaf: int, seed: int):
@@ -165,8 +285,7 @@ def _upper_levels(points: DataFrame, n: int, trees: int, min_leaf: int, seed: in
             featuresCol="_v", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
             featureSubsetStrategy="sqrt", seed=seed, leafCol="_leaf", predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r",
         ).fit(rows)
-        held = _placed(top, points, "x", trees).groupBy("tree", "root").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if held <= MOST_ROWS or depth == MAX_LEVELS:
+        if _largest_node(top, points) <= MOST_ROWS or depth == MAX_LEVELS:
             return top
         depth = min(MAX_LEVELS, depth + MORE_LEVELS)
 
@@ -190,7 +309,8 @@ def train_deep_forest(
 
     def subtree(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tree, root = (int(k) for k in key)
-        x, y, w = np.stack(group.x.to_numpy()), group.y.to_numpy(), group.w.to_numpy()
+        y, w = (np.concatenate(group[c].to_numpy()) for c in ("y", "w"))
+        x, y = np.concatenate(group.x.to_numpy()).reshape(len(y), -1), y.astype("int64")
         order = np.lexsort((y, *x.T))
         x, y, w = x[order], y[order], w[order]
         rng = np.random.default_rng((seed, tree, root))
@@ -199,7 +319,9 @@ def train_deep_forest(
         made = grow(x, y, bag if bag.any() else w, classes, tried, min_leaf, rng)
         return pd.DataFrame({"tree": [tree], "root": [root], **{c: [made[c].ravel()] for c in ("feature", "threshold", "left", "share")}})
 
-    nodes = _placed(top, points, "x", trees).groupBy("tree", "root").applyInPandas(subtree, NODES)
+    # Few groups of much work each: dealt to more tasks than their bytes would get.
+    dealt = _packs(top, points, trees, GROW_PACK).drop("pack", "place").repartition(max(trees, _tasks(df)), "tree", "root")
+    nodes = dealt.groupBy("tree", "root").applyInPandas(subtree, NODES)
     return DeepForest(top, settle(nodes), trees, classes, features_col, prediction_col)
 
 
@@ -344,8 +466,7 @@ def train_mean_forest(
         rows = _between_cuts(rows, inputs)
         if rows is None:
             return None
-    spark = df.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = _tasks(df)
     # Most rows of one input meet, so that their draws are added up at once; a hot input is dealt out.
     dealt = rows.select("x", (F.col("y") - mean).alias("y")).repartition(parts, "x", F.pmod(F.xxhash64("y"), F.lit(SPREAD)))
     cells = dealt.sortWithinPartitions("x", "y").mapInArrow(partial(_bags, trees, seed), "tree int, x array<double>, n array<double>, s array<double>")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabwright.operators import forests
 from tabwright.operators.models import assemble, train_random_forest_classifier
@@ -91,3 +92,35 @@ def test_forest_learns_rings_with_and_without_upper_levels(spark, monkeypatch, r
     again = train_random_forest_classifier(train.repartition(7), trees=20)
     if rows > 3000:
         assert {r.id: r.prediction for r in out} == {r.id: r.prediction for r in again.transform(test).collect()}
+
+
+def test_rows_travel_in_packs_to_every_tree(spark, rings):
+    points = rings.groupBy(F.array("a", "b").alias("x"), F.col("label").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w")).repartition(4)
+    packs = forests._packs(None, points, 3, 200).collect()
+    # One row for each pack and tree, not for each point and tree.
+    assert len(packs) <= 3 * (4 + 2001 // 200) and {(r.tree, r.root) for r in packs} == {(0, 0), (1, 0), (2, 0)}
+    whole = sorted((*r.x, r.y, r.w) for r in points.collect())
+    for tree in range(3):
+        got = [(*np.reshape(r.x, (-1, 2))[i], r.y[i], r.w[i]) for r in packs if r.tree == tree for i in range(len(r.place))]
+        assert sorted(got) == whole
+    assert all(sorted(r.place) == list(range(len(r.place))) for r in packs)
+
+
+@pytest.mark.parametrize("rows", [200_000, 300])
+def test_packs_of_any_size_descend_alike(rings, monkeypatch, rows):
+    monkeypatch.setattr(forests, "ROWS_PER_GROUP", rows)
+    monkeypatch.setattr(forests, "MOST_ROWS", rows * 5)
+    model = train_random_forest_classifier(rings.where("id % 4 > 0"), trees=8)
+    test, found = rings.where("id % 4 = 0 and id < 2100"), []
+    for most in (20_000, 7):
+        monkeypatch.setattr(forests, "DESCEND_PACK", most)
+        found.append({r.id: tuple(r.prediction_probability) for r in model.transform(test).select("id", "prediction_probability").collect()})
+    assert found[0] == found[1] and len(found[0]) == test.count()
+
+
+def test_levels_part_what_is_sorted():
+    rng = np.random.default_rng(6)
+    parent, value = rng.integers(0, 5, 300), rng.random(300)
+    node = 2 * parent + rng.integers(0, 2, 300)
+    parted = forests._parted(np.lexsort((value, parent)), node, 10)
+    assert np.array_equal(parted, np.lexsort((value, node)))
