@@ -658,7 +658,9 @@ def retrain_on(
     chosen = {name: params or {}}
 
     def score(rows: DataFrame, names: list[str], row_key: str, grow: bool = False) -> DataFrame:
-        train, test = train_test_split(rows, row_key, test_size)
+        # Columns that the change made and no model reads are not kept for the fits.
+        made = [c for c in rows.columns if c not in df.columns and c not in names]
+        train, test = (d.drop(*made) for d in train_test_split(rows, row_key, test_size, keep=True))
         train = bootstrap_augment(train, key, 2) if grow else train
         return compare_models(assemble(train, names), assemble(test, names), [name], problem, chosen).select(metric)
 

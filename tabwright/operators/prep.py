@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.hashing import digest, digest_prefix, hash_uniform
+from ..functions.hashing import digest, hash_uniform
 from ..plans.ranks import exact_quantiles, number_rows
 from ..plans.scalars import col, scalar_row
 from ..session import settle
@@ -56,19 +56,21 @@ def prepare_xy(df: DataFrame, target: str, features: list[str], order_by: list[s
     )
 
 
-def with_test_flag(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, digits: int = 5) -> DataFrame:
+def with_test_flag(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, digits: int = 4) -> DataFrame:
     """Add ``is_test``: true for exactly ceil(n·test_size) rows, those first in hash order of the key.
 
     Rows do not move. Bucket counts give the bucket where the test set ends; only that bucket, one
     row in ``16**digits``, is ranked.
     """
     hexed = digest(col(key), seed)
-    bucket = digest_prefix(hexed, digits)
+    # Hex text sorts like its number.
+    bucket = F.substring(hexed, 1, digits)
     counts = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    running = counts.select("b", F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("b")).alias("upto"), "c")
-    wanted = scalar_row(df, k=F.ceil(F.count(F.lit(1)) * F.lit(test_size).cast("decimal(10,6)")).cast("bigint"))["k"]
-    last = running.where(F.col("upto") >= wanted).agg(
-        F.min(F.struct("b", (wanted - (F.col("upto") - F.col("c"))).alias("left"))).alias("e")
+    whole = W.partitionBy(F.lit(0))
+    wanted = F.ceil(F.sum("c").over(whole) * F.lit(test_size).cast("decimal(10,6)")).cast("bigint")
+    running = counts.select("b", F.sum("c").over(whole.orderBy("b")).alias("upto"), "c", wanted.alias("k"))
+    last = running.where(F.col("upto") >= F.col("k")).agg(
+        F.min(F.struct("b", (F.col("k") - (F.col("upto") - F.col("c"))).alias("left"))).alias("e")
     ).scalar()
     edge = df.where(bucket == last["b"]).select(F.struct(hexed.alias("h"), col(key).alias("k")).alias("s"))
     placed = edge.select("s", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("s")).alias("place"))
@@ -76,11 +78,15 @@ def with_test_flag(df: DataFrame, key: str, test_size: float = 0.2, seed: int =
     return df.withColumn("is_test", F.struct(hexed.alias("h"), col(key).alias("k")) <= cut)
 
 
-def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with a test share of exactly ceil(n·test_size), by hash of the unique key."""
+def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(train, test) with a test share of exactly ceil(n·test_size), by hash of the unique key.
+
+    With ``keep`` the rows are written with their side, so that fits and scores that read them again hash no keys.
+    """
     if not 0.1 <= test_size <= 0.5:
         raise ValueError("test_size must lie in 0.1..0.5")
     flagged = with_test_flag(df, key, test_size, seed)
+    flagged = settle(flagged) if keep else flagged
     return flagged.where(~F.col("is_test")).drop("is_test"), flagged.where("is_test").drop("is_test")
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.hashing import digest, digest_prefix
+from ..functions.hashing import digest
 from .scalars import col
 
 MAX_BUCKETS = 16_384
@@ -125,9 +125,8 @@ def number_rows(df: DataFrame, key: str, by: list[str] | None = None, seed: int
     """
     by = by or []
     keys = [col(b) for b in by]
-    hashed = df.withColumn("_digest", digest(col(key), seed)).withColumn(
-        "_bucket", digest_prefix(F.col("_digest"), digits)
-    )
+    # Hex text sorts like its number.
+    hashed = df.withColumn("_digest", digest(col(key), seed)).withColumn("_bucket", F.substring("_digest", 1, digits))
     totals = hashed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket"))
     group = W.partitionBy(*keys) if by else W.partitionBy(F.lit(0))
     offsets = totals.select(

@@ -279,3 +279,19 @@ def test_augmentation_of_training_rows_alone(linear):
         one(models.retrain_on(rows, ["a"], "id", "Random Forest", "augmented", problem="Classification", params={"trees": 5}, train_only=t)) for t in (False, True)
     )
     assert before["changed"] > after["changed"] + 0.05 and after["original"] == before["original"]
+
+
+def test_kept_split_hashes_keys_once(spark):
+    rows = spark.createDataFrame([(i % 40 if i % 50 else None, i) for i in range(700)], "k long, v long")
+    plain, kept = prep.train_test_split(rows, "k"), prep.train_test_split(rows, "k", keep=True)
+    for a, b in zip(plain, kept, strict=True):
+        assert sorted(r.v for r in a.collect()) == sorted(r.v for r in b.collect())
+        assert "md5" in a._jdf.queryExecution().optimizedPlan().toString() and "md5" not in b._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_retraining_splits_each_table_once(linear, monkeypatch):
+    plans = []
+    settle = prep.settle
+    monkeypatch.setattr(prep, "settle", lambda df: plans.append(df.columns) or settle(df))
+    models.retrain_on(linear, ["a", "b"], "id", "Linear Regression", "augmented").collect()
+    assert sum("is_test" in columns for columns in plans) == 2
